@@ -8,29 +8,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlake.llm import quality, secrets, urls
+from packlake.llm import common, packing, quality, secrets, token_files, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = common.shared_dir(spark, "warc")
+    manifest = warc.write(_table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = common.shared_dir(spark, "tokens")
+    manifest = token_files.write(_table(spark, sf_dir, "documents"), out, tokens.tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read(spark, out, manifest)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(_table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op4_secret_scans": op4_secret_scans,
+    "op5_token_id_output": op5_token_id_output,
     "op6_quality_rules": op6_quality_rules,
+    "op8_byte_level_bpe": op8_byte_level_bpe,
     "op10_url_filters": op10_url_filters,
 }
 
