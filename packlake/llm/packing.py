@@ -237,8 +237,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
         bpe, uid = tokens.load(path), TaskContext.get().partitionId() << 33
         for batch in batches:
             columns: list[list] = [[] for _ in schema]
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = bpe.encode(value.as_py()) + tail
+            for key, found in zip(batch.column(0).to_pylist(), bpe.encode_batch(batch.column(1)), strict=True):
+                ids = found.astype("<u4").tobytes() + tail
                 n = len(ids) // 4
                 start, stop, piece = 0, n % capacity or min(n, capacity), 0
                 while start < n:

@@ -229,17 +229,16 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 0, doc_id: str = "
             seq, pending, lengths = seq + 1, [], []
 
         for batch in batches:
-            for key, value, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for key, found, place in zip(batch.column(0).to_pylist(), bpe.encode_batch(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 if place != shard or len(ids) >= 4 * file_tokens:
                     yield from flush()
                     ids = bytearray()
                     if place != shard:
                         shard, seq = place, 0
-                found = bpe.encode(value.as_py())
-                ids += found
+                ids += found.astype("<u4").tobytes()
                 ids += tail
                 pending.append(key)
-                lengths.append(len(found) // 4 + 1)
+                lengths.append(len(found) + 1)
         yield from flush()
 
     return common.stage(dealt.mapInArrow(run, "shard int, seq int, file string, docs long, tokens long, bytes long, crc32 long"), "tokens-manifest")

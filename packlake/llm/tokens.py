@@ -1,12 +1,13 @@
 """Byte-level BPE by the tokenizers library, over Arrow batches.
 
 A pre-token never begins before a space that stands alone between two other
-characters, so a text is cut there and each distinct piece is encoded once by
-the library and remembered; a text where white space meets a space is encoded
-whole. Both give the ids of encoding the whole text.
+characters, so the texts of a batch are cut there and each distinct piece is
+encoded once by the library; what it gave is remembered in Arrow arrays. A text
+where white space meets a space is encoded whole. Both give the ids of encoding
+the whole text.
 
 Null texts count as empty and have no ids. Repeated rows are encoded alike.
-Texts are encoded one at a time and whole; the memory is that of the longest.
+Texts are encoded whole; memory follows the longest text and ``SLICE_BYTES``.
 """
 
 from __future__ import annotations
@@ -14,19 +15,22 @@ from __future__ import annotations
 import base64
 import functools
 import os
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: White space beside a space: there, pieces would depend on each other.
-_EDGE = re.compile(r" \s|\s ")
-#: Bounds of the memory of one worker's piece cache.
-CACHE_PIECES, CACHE_CHARS = 250_000, 6_000_000
+#: Texts that aren't cut: white space beside a space, at either end, or the mark.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHOLE = rf"^ | $| {_SPACE}|{_SPACE} |\x01"
+#: Stands before a text's first piece, which has no space before it.
+MARK = "\x01"
+#: Bytes of text that are cut at once, and pieces that are remembered.
+SLICE_BYTES, KNOWN = 12 << 20, 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -86,32 +90,73 @@ class Bpe:
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        self.cache: dict[str, bytes] = {}
-        self.chars = 0
-
-    def _remember(self, pieces: Iterable[str], lead: str) -> None:
-        pieces = list(pieces)
-        for piece, e in zip(pieces, self.lib.encode_batch_fast([lead + p for p in pieces], add_special_tokens=False), strict=True):
-            self.cache[piece if lead else " " + piece] = np.array(e.ids, "<u4").tobytes()
-            self.chars += len(piece)
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if text[0] == " " or text[-1] == " " or _EDGE.search(text):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.cache) > CACHE_PIECES or self.chars > CACHE_CHARS:
-            self.cache.clear()
-            self.chars = 0
-        first, *rest = text.split(" ")
-        if " " + first not in self.cache:
-            self._remember([first], "")
-        try:
-            return self.cache[" " + first] + b"".join(map(self.cache.__getitem__, rest))
-        except KeyError:
-            self._remember(set(rest) - self.cache.keys(), " ")
-        return self.cache[" " + first] + b"".join(map(self.cache.__getitem__, rest))
+        self.sizes = np.array([len(x) for x in self.bytes_of], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.known_ids = pa.LargeListArray.from_arrays(pa.array([0], pa.int64()), pa.array([], pa.uint32()))
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Encode unknown pieces; their places among the known ones."""
+        first = np.asarray(pc.starts_with(new, MARK))
+        plain = new.filter(pa.array(~first))
+        texts, chunk = plain.to_pylist(), 4096
+        ids = [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast([" " + " ".join(texts[i : i + chunk]) for i in range(0, len(texts), chunk)], add_special_tokens=False)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        ends = np.cumsum(np.asarray(pc.binary_length(plain)).astype(np.int64) + 1)
+        reached = np.cumsum(self.sizes[flat])
+        upto = np.searchsorted(reached, ends)
+        if len(ends) and not (reached[upto] == ends).all():
+            raise AssertionError("a token crosses the end of a piece")
+        heads = [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast([x[1:] for x in new.filter(pa.array(first)).to_pylist()], add_special_tokens=False)]
+        offsets = np.concatenate([[0], upto + 1, len(flat) + np.cumsum([len(x) for x in heads], dtype=np.int64)])
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate([flat, *heads]), pa.uint32()))
+        base, places = len(self.known), np.empty(len(new), np.int64)
+        places[~first] = base + np.arange(len(plain))
+        places[first] = base + len(plain) + np.arange(len(heads))
+        self.known = pa.concat_arrays([self.known, plain, new.filter(pa.array(first))])
+        self.known_ids = pa.concat_arrays([self.known_ids, lists])
+        return places
+
+    def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        whole = pc.match_substring_regex(texts, WHOLE)
+        odd = np.flatnonzero(np.asarray(whole))
+        mark, none = pa.scalar(MARK, pa.large_string()), pa.scalar("", pa.large_string())
+        split = pc.split_pattern(pc.binary_join_element_wise(mark, pc.if_else(whole, none, texts) if len(odd) else texts, none), " ")
+        coded = split.flatten().dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        places = np.asarray(found.fill_null(-1)).astype(np.int64)
+        unknown = places < 0
+        if unknown.any():
+            places[unknown] = self._learn(coded.dictionary.filter(pa.array(unknown)))
+        pieces = self.known_ids.take(pa.array(places[np.asarray(coded.indices)]))
+        counts = np.concatenate([[0], np.cumsum(np.asarray(pieces.value_lengths()).astype(np.int64))])
+        ids, offsets = np.asarray(pieces.flatten()), counts[np.asarray(split.offsets).astype(np.int64) - int(split.offsets[0].as_py())]
+        if len(self.known) > KNOWN:
+            self.known, self.known_ids = coded.dictionary, self.known_ids.take(pa.array(places))
+        if not len(odd):
+            return ids, offsets
+        parts = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        for i in odd.tolist():
+            parts[i] = np.array(self.lib.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+
+    def encode_batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(np.asarray(pc.binary_length(texts)))
+        at = 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            ids, offsets = self._encode_slice(texts.slice(at, stop - at))
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                yield ids[a:b]
+            at = stop
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return next(self.encode_batch(pa.array([text], pa.large_string())))
 
     def encode_with_offsets(self, text: str | None) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and, for each, the range of characters that its bytes touch."""
@@ -146,14 +191,14 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         bpe = load(path)
         for batch in batches:
             ids, starts, ends = [], [], []
-            for value in batch.column(1):
-                if offsets:
+            if offsets:
+                for value in batch.column(1):
                     found, spans = bpe.encode_with_offsets(value.as_py())
                     ids.append(found)
                     starts.append([a for a, _ in spans])
                     ends.append([b for _, b in spans])
-                else:
-                    ids.append(np.frombuffer(bpe.encode(value.as_py()), "<u4").astype("i4"))
+            else:
+                ids = [x.astype(np.int32) for x in bpe.encode_batch(batch.column(1))]
             columns = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
             names = [doc_id, "ids"]
             if offsets:
@@ -188,8 +233,8 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
         decimal = [str(i) for i in range(len(bpe.bytes_of))]
         for batch in batches:
             n, ids_digest, text_digest = [], [], []
-            for value in batch.column(1):
-                ids = np.frombuffer(bpe.encode(value.as_py()), "<u4").tolist()
+            for found in bpe.encode_batch(batch.column(1)):
+                ids = found.tolist()
                 n.append(len(ids))
                 ids_digest.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 text_digest.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
