@@ -136,19 +136,27 @@ def path_places(path: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(sorted({zlib.crc32(x.encode()) % PATHS for x in names}))
 
 
+def bag_of(words: list[str]) -> np.ndarray:
+    some = np.bincount([zlib.crc32(w.encode()) % BAG for w in words], minlength=BAG)
+    return some * (0.3 / np.sqrt(np.dot(some, some)))
+
+
+def counts_of(blocks: list[Block]) -> np.ndarray:
+    """Lengths, links, ending and place of each block."""
+    n = len(blocks)
+    return np.array([
+        (np.log1p(len(b.text)) / 6, min(1.0, b.text.count(" ") / 60), b.linked / len(b.text), b.text[-1] in ".,;:!?", i / n, 1.0 - i / n, i == 0, 1.0)
+        for i, b in enumerate(blocks)
+    ], np.float32)
+
+
 def describe(blocks: list[Block]) -> np.ndarray:
     """One row of features for each block."""
     x = np.zeros((len(blocks), INPUT), np.float32)
-    for i, b in enumerate(blocks):
-        x[i, list(path_places(b.path))] = 1
-        words = b.text.split(" ")
-        some = np.bincount([zlib.crc32(w.encode()) % BAG for w in words], minlength=BAG)
-        x[i, PATHS : PATHS + BAG] = some / max(1.0, float(np.sqrt(np.square(some).sum()))) * 0.3
-        size = len(b.text)
-        x[i, PATHS + BAG :] = (
-            np.log1p(size) / 6, min(1.0, len(words) / 60), b.linked / size, sum(c in ".,;:!?" for c in b.text[-1:]) * 1.0,
-            i / len(blocks), 1.0 - i / len(blocks), 1.0 * (i == 0), 1.0,
-        )
+    for row, b in zip(x, blocks, strict=True):
+        row[list(path_places(b.path))] = 1
+        row[PATHS : PATHS + BAG] = bag_of(b.text.split(" "))
+    x[:, PATHS + BAG :] = counts_of(blocks)
     return x
 
 
@@ -156,11 +164,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States of one direction. x: batch, steps, inputs; padded steps keep the state."""
-    batch, steps, _ = x.shape
+def lstm(given: np.ndarray, wh: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """States of one direction. given: batch, steps, gates, from the inputs;
+    padded steps keep the state."""
+    batch, steps, _ = given.shape
     h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-    out, given = np.empty((batch, steps, HIDDEN), np.float32), x @ wx + b
+    out = np.empty((batch, steps, HIDDEN), np.float32)
     for t in range(steps):
         g = given[:, t] + h @ wh
         i, f, o, u = sigmoid(g[:, :HIDDEN]), sigmoid(g[:, HIDDEN : 2 * HIDDEN] + 1), sigmoid(g[:, 2 * HIDDEN : 3 * HIDDEN]), np.tanh(g[:, 3 * HIDDEN :])
@@ -211,20 +220,38 @@ class Labeller:
         one = lambda: [deal(INPUT, 4 * HIDDEN), deal(HIDDEN, 4 * HIDDEN), np.zeros(4 * HIDDEN, np.float32)]
         return cls([*one(), *one(), deal(2 * HIDDEN), np.zeros(1, np.float32)])
 
-    def scores(self, x: np.ndarray, lengths: np.ndarray, keep: tuple[list, list] | None = None) -> np.ndarray:
-        """Log-odds of main text; x: batch, steps, inputs."""
+    def scores(self, ahead: np.ndarray, back: np.ndarray, lengths: np.ndarray, keep: tuple[list, list] | None = None) -> np.ndarray:
+        """Log-odds of main text from the gates' inputs of both directions."""
         w = self.weights
-        mask = (np.arange(x.shape[1]) < lengths[:, None]).astype(np.float32)
-        ahead = lstm(x, *w[0:3], mask, keep and keep[0])
-        back = reverse(lstm(reverse(x, lengths), *w[3:6], mask, keep and keep[1]), lengths)
-        self.states = np.concatenate([ahead, back], axis=2)
+        mask = (np.arange(ahead.shape[1]) < lengths[:, None]).astype(np.float32)
+        states = lstm(ahead, w[1], mask, keep and keep[0])
+        others = reverse(lstm(reverse(back, lengths), w[4], mask, keep and keep[1]), lengths)
+        self.states = np.concatenate([states, others], axis=2)
         return self.states @ w[6] + w[7]
 
+    def gates(self, blocks: list[Block]) -> np.ndarray:
+        """``describe(blocks)`` times the input weights of both directions,
+        with the share of each tag path worked out once."""
+        if not hasattr(self, "both"):
+            w = self.weights
+            self.both, self.bias, self.known = np.concatenate([w[0], w[3]], axis=1), np.concatenate([w[2], w[5]]), {}
+        if len(self.known) > 50_000:
+            self.known.clear()
+        out = np.empty((len(blocks), 8 * HIDDEN), np.float32)
+        bags = np.empty((len(blocks), BAG), np.float32)
+        for i, b in enumerate(blocks):
+            if b.path not in self.known:
+                self.known[b.path] = self.both[list(path_places(b.path))].sum(axis=0) + self.bias
+            out[i] = self.known[b.path]
+            bags[i] = bag_of(b.text.split(" "))
+        return out + bags @ self.both[PATHS : PATHS + BAG] + counts_of(blocks) @ self.both[PATHS + BAG :]
+
     def gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         kept: tuple[list, list] = ([], [])
         mask = np.arange(x.shape[1]) < lengths[:, None]
-        error = (sigmoid(self.scores(x, lengths, kept)) - y) * mask / mask.sum()
-        w, states = self.weights, self.states
+        w = self.weights
+        error = (sigmoid(self.scores(x @ w[0] + w[2], x @ w[3] + w[5], lengths, kept)) - y) * mask / mask.sum()
+        states = self.states
         dstates = error[:, :, None] * w[6]
         ahead = lstm_back(x, w[0], w[1], kept[0], dstates[:, :, :HIDDEN])
         back = lstm_back(reverse(x, lengths), w[3], w[4], kept[1], reverse(dstates[:, :, HIDDEN:], lengths))
@@ -238,8 +265,8 @@ class Labeller:
         while order:
             size = max(1, min(256, cells // len(pages[order[-1]])))
             some, order = order[-size:], order[:-size]
-            x, lengths = padded([describe(pages[i]) for i in some])
-            scores = self.scores(x, lengths)
+            gates, lengths = padded([self.gates(pages[i]) for i in some])
+            scores = self.scores(gates[:, :, : 4 * HIDDEN], gates[:, :, 4 * HIDDEN :], lengths)
             for i, s, n in zip(some, scores, lengths, strict=True):
                 out[i] = s[:n] > 0
         return out
@@ -247,7 +274,7 @@ class Labeller:
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(p) for p in pages])
-    x = np.zeros((len(pages), int(lengths.max()), INPUT), np.float32)
+    x = np.zeros((len(pages), int(lengths.max()), pages[0].shape[1]), np.float32)
     for row, p in zip(x, pages, strict=True):
         row[: len(p)] = p
     return x, lengths
