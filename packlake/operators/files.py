@@ -52,7 +52,7 @@ def without_mounts(files: DataFrame, mounts: DataFrame, root_dev: int) -> DataFr
 
 
 def is_temporary(name: Column) -> Column:
-    return name.rlike(r"^\..*\.partial$") | name.startswith(".backup-write-test-")
+    return name.rlike(r"^\..*\.partial$") | name.rlike(r"^\.[a-z]+-write-test-")
 
 
 def stale_partials(files: DataFrame, now: Column, seconds: int = STALE_PARTIAL_SECONDS) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packlake.schemas import LIVE_PERCENT, PACK_TARGET, YOUNG_PACK_SECONDS
+from packlake.schemas import LIVE_PERCENT, PACK_TARGET, PROGRESS_BYTES, YOUNG_PACK_SECONDS
 
 
 # -- membership and dedup
@@ -118,6 +118,26 @@ def assign_packs(rows: DataFrame, group: str = "destination", seq: str = "seq",
     return rows.repartition(group).sortWithinPartitions(group, seq).select(*names).mapInPandas(fold, schema)
 
 
+def progress(rows: DataFrame, group: str = "run_id", seq: str = "seq", length: str = "size", step: int = PROGRESS_BYTES) -> DataFrame:
+    """group, seq, done: a row whenever ``step`` more bytes have gone since the last."""
+    schema = f"`{group}` {rows.schema[group].dataType.simpleString()}, `{seq}` {rows.schema[seq].dataType.simpleString()}, done bigint"
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, done, told = object(), 0, 0
+        for frame in frames:
+            out = []
+            for key, at, size in zip(frame[group], frame[seq], frame[length], strict=True):
+                if key != current:
+                    current, done, told = key, 0, 0
+                done += size
+                if done - told >= step:
+                    told = done
+                    out.append((key, at, done))
+            yield pd.DataFrame(out, columns=[group, seq, "done"])
+
+    return rows.select(group, seq, length).repartition(group).sortWithinPartitions(group, seq).mapInPandas(fold, schema)
+
+
 # -- garbage collection
 
 def live_chunks(chunks: DataFrame) -> DataFrame:

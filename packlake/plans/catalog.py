@@ -344,11 +344,11 @@ def usage(spark, sf_dir):
     return files.usage(roles.content(spark, sf_dir).withColumnRenamed("size", "len"))
 
 
-@query("""SELECT doc_id, name FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '.' || source || '.partial' WHEN doc_id % 3 = 1 THEN '.backup-write-test-' || doc_id ELSE source || '.partial' END AS name,
-TIMESTAMP '2001-08-27 00:00:00' + INTERVAL 1 MINUTE * doc_id AS modified FROM documents) WHERE (name LIKE '.%.partial' OR name LIKE '.backup-write-test-%') AND modified < TIMESTAMP '2001-08-28 12:00:00' - INTERVAL 24 HOUR""")
+@query("""SELECT doc_id, name FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '.' || source || '.partial' WHEN doc_id % 3 = 1 THEN '.store-write-test-' || doc_id ELSE source || '.partial' END AS name,
+TIMESTAMP '2001-08-27 00:00:00' + INTERVAL 1 MINUTE * doc_id AS modified FROM documents) WHERE (name LIKE '.%.partial' OR name LIKE '.store-write-test-%') AND modified < TIMESTAMP '2001-08-28 12:00:00' - INTERVAL 24 HOUR""")
 def stale_partials(spark, sf_dir):
     third = F.col("doc_id") % 3
-    name = F.when(third == 0, F.concat(F.lit("."), "source", F.lit(".partial"))).when(third == 1, F.concat(F.lit(".backup-write-test-"), "doc_id")).otherwise(F.concat("source", F.lit(".partial")))
+    name = F.when(third == 0, F.concat(F.lit("."), "source", F.lit(".partial"))).when(third == 1, F.concat(F.lit(".store-write-test-"), "doc_id")).otherwise(F.concat("source", F.lit(".partial")))
     rows = roles.documents(spark, sf_dir).select("doc_id", name.alias("path"), (F.expr("timestamp_ntz'2001-08-27 00:00:00'") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("modified"))
     return files.stale_partials(rows, F.lit(NOW).cast("timestamp_ntz")).select("doc_id", F.col("path").alias("name"))
 

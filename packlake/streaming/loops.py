@@ -46,9 +46,9 @@ def to_folder(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None) -> None:
+def each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None, mode: str = "append") -> None:
     """Run ``step`` on every micro-batch: once over what is there, or forever."""
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
     writer.start().awaitTermination()
 
