@@ -149,15 +149,17 @@ def _halves(size: int) -> list[int]:
     return out
 
 
-def group_min(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """``df`` with ``out``, the least ``value`` among rows of equal ``keys``.
+def group_min(df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None) -> DataFrame:
+    """``df`` with ``out``, the least ``value`` among rows of equal ``keys``, and
+    on request ``count``, the number of these rows.
 
     A group may hold a third of all rows: rows carry a salt, are aggregated by
     key and salt, and the group's minimum returns to each of its at most
     ``SALTS`` pairs of key and salt, so no task meets a whole group.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
-    some = salted.groupBy(*keys, "_salt").agg(F.min(value).alias("_least"))
-    least = some.groupBy(*keys).agg(F.min("_least").alias(out), F.collect_set("_salt").alias("_salts"))
-    spread = least.select(*keys, out, F.explode("_salts").alias("_salt"))
+    some = salted.groupBy(*keys, "_salt").agg(F.min(value).alias("_least"), F.count(F.lit(1)).alias("_some"))
+    least = some.groupBy(*keys).agg(F.min("_least").alias(out), F.sum("_some").alias("_all"), F.collect_set("_salt").alias("_salts"))
+    more = [F.col("_all").alias(count)] if count else []
+    spread = least.select(*keys, out, *more, F.explode("_salts").alias("_salt"))
     return salted.join(spread, [*keys, "_salt"], "left").drop("_salt")

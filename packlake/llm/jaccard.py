@@ -50,6 +50,8 @@ WORDS, SIMILARITY = 5, 75
 #: A batch of the scan closes at so many shingles or texts.
 BATCH_SHINGLES, BATCH_TEXTS = 3_000_000, 60_000
 HOT, SIDE = 48, 0xFFFF
+#: Texts with more copies than this are joined to their component by salts.
+MANY_COPIES = 10_000
 #: Shingles of a range, and of a group that one task searches.
 RANGE_SHINGLES, GROUP_SHINGLES = 2_500_000, 1_500_000
 
@@ -423,11 +425,11 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_
     ranges = max(common.partitions(spark), -(-volume // (6 * RANGE_SHINGLES)))
     found = common.stage(_texts(_count(_scan(rows, ranges, words)), percent), "jaccard-texts")
 
-    members = common.group_min(found.where("signature is not null").select("doc_id", "n_shingles", "signature"), ["signature"], "doc_id", "id")
+    members = common.group_min(found.where("signature is not null").select("doc_id", "n_shingles", "signature"), ["signature"], "doc_id", "id", "copies")
     members = common.stage(members, "jaccard-members")
-    named = members.where("id is not null").groupBy("signature").agg(F.min("id").alias("id"))
+    named = members.where("id is not null").groupBy("signature").agg(F.min("id").alias("id"), F.min("copies").alias("copies"))
     partners = found.where("prefix is not null").groupBy("signature").agg(F.min(F.struct("n_shingles", "shared", "prefix")).alias("t"))
-    partners = common.stage(partners.join(named, "signature").select("id", "t.*"), "jaccard-partners")
+    partners = common.stage(partners.join(named, "signature").select("id", "copies", "t.*"), "jaccard-partners")
 
     posts = partners.select("id", F.explode(F.transform(F.sequence(F.lit(0), (F.octet_length("prefix") / 8).cast("int") - 1), lambda i: F.substring("prefix", i * 8 + 1, 8))).alias("shingle"))
     ties = common.group_min(posts, ["shingle"], "id", "least").where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
@@ -437,9 +439,11 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_
     links = _search(_blocked(weighed), percent)
     linked = components(links, name="jaccard-links").withColumnsRenamed({"u": "id", "component": "component_id"})
 
-    # members of one text share its id, and a text may be a third of all rows: the join takes salted ids
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(common.SALTS)).cast("int")
-    spread = linked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(common.SALTS - 1))))
+    # members of one text share its id, and a text may be a third of all rows: those of many copies join by salted ids
+    hot = F.col("copies") > MANY_COPIES
+    salts = F.sequence(F.lit(0), F.when(hot, F.lit(common.SALTS - 1)).otherwise(F.lit(0)))
+    spread = linked.join(partners.select("id", "copies"), "id").select("id", "component_id", F.explode(salts).alias("salt"))
+    salt = F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(common.SALTS)).cast("int")).otherwise(F.lit(0))
     named_rows = members.withColumn("salt", salt).join(spread, ["id", "salt"], "left")
     out = named_rows.select("doc_id", "n_shingles", F.coalesce("component_id", "id", "doc_id").alias("component_id"))
     alone = found.where("signature is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
