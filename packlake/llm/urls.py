@@ -48,13 +48,15 @@ LABELLED = tuple(
     [(f"{sub}{host}.example.{top}", f"/{lang}/{page}", 1) for sub, lang, page in (("", "en", "12"), ("www.", "de", "7.html"), ("m.", "fr", "90/"), ("blog.", "es", "415")) for host, top in (
         ("spam-farm", "org"), ("spamfarm", "net"), ("cheap-pills", "com"), ("buy-cheap-pills", "org"), ("pills4u", "net"), ("casino-win", "org"),
         ("best-casino", "net"), ("free-money", "org"), ("xxx-cams", "org"), ("adult-cams", "net"), ("replica-watches", "org"), ("warez-crack", "net"),
-        ("payday-loan", "org"), ("click-spam", "org"), ("link-spam", "net"), ("seo-spam", "org"), ("viagra-shop", "org"), ("poker-bets", "net"),
+        ("payday-loan", "org"), ("click-spam", "org"), ("link-spam", "net"), ("spamfarm9", "org"), ("spam-farm3", "net"), ("seo-spam", "org"), ("viagra-shop", "org"), ("poker-bets", "net"), ("spamhub", "org"), ("spam4all", "net"), ("hotspam", "org"),
+        ("ads-server", "net"), ("ad-tracker", "org"), ("track-ads", "net"), ("sports-bets", "org"), ("bets-free", "net"), ("adult-chat", "org"), ("x-adult", "net"),
     )]
     + [(f"{sub}{host}.example.{top}", f"/{lang}/{page}", 0) for sub, lang, page in (("", "en", "685"), ("www.", "de", "97.html"), ("m.", "fr", "22/"), ("blog.", "es", "31"), ("", "en", "4")) for host, top in (
         ("thther", "org"), ("therin", "net"), ("ththed", "org"), ("tiontion", "com"), ("ththst", "org"), ("thering", "net"), ("therand", "org"),
         ("ththble", "org"), ("ththwh", "net"), ("therti", "org"), ("tionsh", "net"), ("ththen", "com"), ("library", "org"), ("university", "net"),
-        ("news", "org"), ("weather", "net"), ("museum", "org"), ("recipes", "org"), ("cityhall", "net"), ("farm", "org"), ("farm-market", "net"),
+        ("news", "org"), ("weather", "net"), ("museum", "org"), ("recipes", "org"), ("cityhall", "net"), ("farm", "org"), ("market", "net"),
         ("farmers", "org"), ("garden", "net"), ("health", "org"), ("school", "org"), ("docs", "net"), ("free-library", "org"), ("shop", "net"),
+        ("anding", "org"), ("ererth", "net"), ("oronti", "org"), ("inedha", "net"), ("leaerst", "org"), ("thanand", "net"), ("hawhen", "org"), ("blendre", "org"), ("ouatsh", "net"), ("nderea", "org"),
     )]
 )
 
@@ -95,7 +97,7 @@ class UrlModel:
         return self.bias + self.part(host, "h") + self.part(path, "p")
 
 
-def fit(labelled: tuple[tuple[str, str, int], ...] = LABELLED, rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> UrlModel:
+def fit(labelled: tuple[tuple[str, str, int], ...] = LABELLED, rounds: int = 2500, rate: float = 1.0, decay: float = 1e-3) -> UrlModel:
     """Logistic regression by full-batch gradient steps: the same weights on
     every run."""
     x = np.zeros((len(labelled), DIMENSIONS))
