@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlake.functions.ignore import excluded
+from packlake.operators.sizes import one_row, small
 from packlake.schemas import CHANGED_PATHS_SHOWN, STALE_PARTIAL_SECONDS
 
 
@@ -28,7 +29,7 @@ def changed_paths(before: DataFrame, after: DataFrame) -> DataFrame:
 def changed_summary(changes: DataFrame, shown: int = CHANGED_PATHS_SHOWN) -> DataFrame:
     """total and the first paths; only ``shown`` rows are ever gathered."""
     some = changes.select("path").orderBy("path").limit(shown).agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    return changes.agg(F.count(F.lit(1)).alias("total")).join(F.broadcast(some))
+    return changes.agg(F.count(F.lit(1)).alias("total")).join(one_row(some))
 
 
 def hardlink_targets(files: DataFrame) -> DataFrame:
@@ -45,10 +46,10 @@ def exclude(files: DataFrame, lines: list[str]) -> DataFrame:
 def without_mounts(files: DataFrame, mounts: DataFrame, root_dev: int) -> DataFrame:
     """Rows on the root's device that lie at or below no mount point.
 
-    ``mounts`` is the machine's mount table, some tens of rows.
+    ``mounts`` is the machine's mount table.
     """
     below = (F.col("path") == F.col("mount")) | F.col("path").startswith(F.concat(F.col("mount"), F.lit("/")))
-    return files.where(F.col("dev") == root_dev).join(F.broadcast(mounts), below, "left_anti")
+    return files.where(F.col("dev") == root_dev).join(small(mounts), below, "left_anti")
 
 
 def is_temporary(name: Column) -> Column:

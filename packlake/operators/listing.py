@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packlake.operators.sizes import one_row
+
 
 def with_previous(snapshots: DataFrame) -> DataFrame:
     """``previous``: the name of the job's snapshot before each."""
@@ -64,7 +66,7 @@ def latest(listing: DataFrame, local: Column) -> DataFrame:
     The newest is one row of an aggregate, so the join broadcasts a single row.
     """
     newest = listing.agg(F.max(F.struct("created", "name")).alias("m")).select(F.col("m.name").alias("name"))
-    return listing.join(F.broadcast(newest), "name").orderBy(~local, "destination")
+    return listing.join(one_row(newest), "name").orderBy(~local, "destination")
 
 
 def shrunk(history: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packlake.operators.sizes import one_row, small
 from packlake.schemas import LIVE_PERCENT, PACK_TARGET, PROGRESS_BYTES, YOUNG_PACK_SECONDS
 
 
@@ -16,16 +17,12 @@ from packlake.schemas import LIVE_PERCENT, PACK_TARGET, PROGRESS_BYTES, YOUNG_PA
 def tagged(stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``stream`` (chunk, seq) with tag: Data where a chunk comes first and isn't
     known yet, else Reference."""
-    first = F.row_number().over(Window.partitionBy("chunk").orderBy("seq")) == 1
-    rows = stream.withColumn("first", first)
-    if known is None:
-        fresh = F.col("first")
-    else:
-        rows = rows.join(known.select("chunk").distinct().withColumn("held", F.lit(True)), "chunk", "left")
-        fresh = F.col("first") & F.col("held").isNull()
-        rows = rows.withColumn("fresh", fresh).drop("held")
-        fresh = F.col("fresh")
-    return rows.withColumn("tag", F.when(fresh, "Data").otherwise("Reference")).drop("first", "fresh")
+    first = stream.groupBy("chunk").agg(F.min("seq").alias("seq"))
+    if known is not None:
+        first = first.join(known.select("chunk").distinct(), "chunk", "left_anti")
+    # the join is by chunk and place, so a chunk that fills the stream meets in no one task
+    rows = stream.join(first.withColumn("fresh", F.lit(True)), ["chunk", "seq"], "left")
+    return rows.withColumn("tag", F.when(F.col("fresh"), "Data").otherwise("Reference")).drop("fresh").select(*stream.columns, "tag")
 
 
 def dedup_stats(stream: DataFrame) -> DataFrame:
@@ -40,16 +37,16 @@ def known_everywhere(holdings: DataFrame) -> DataFrame:
     """Chunks that every destination holds."""
     pairs = holdings.select("destination", "chunk").distinct()
     total = pairs.agg(F.count_distinct("destination").alias("total"))
-    return pairs.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total), F.col("n") == F.col("total"), "left_semi").select("chunk")
+    return pairs.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).join(one_row(total), F.col("n") == F.col("total"), "left_semi").select("chunk")
 
 
 def missing(wanted: DataFrame, destinations: DataFrame, holdings: DataFrame) -> DataFrame:
     """destination, chunk: what each destination lacks of a snapshot.
 
-    ``destinations`` is the configured list, a few rows, so it is broadcast;
-    the product is what has to be sent at most.
+    ``destinations`` is the configured list; the product with it is what has to
+    be sent at most.
     """
-    need = wanted.select("chunk").distinct().join(F.broadcast(destinations.select("destination").distinct()))
+    need = wanted.select("chunk").distinct().join(small(destinations.select("destination").distinct()))
     return need.join(holdings.select("destination", "chunk").distinct(), ["destination", "chunk"], "left_anti")
 
 

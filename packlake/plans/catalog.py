@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from packlake.functions import chunking, codec, durations, location, names, parity
 from packlake.functions.ignore import excluded
 from packlake.operators import files, health, legacy, listing, retention, schedule, state, store, verify
+from packlake.operators.sizes import one_row
 from packlake.plans import roles
 from packlake.streaming import loops
 
@@ -239,8 +240,7 @@ def store_check(spark, sf_dir):
     damaged = found.where("pack < 30").select("pack").distinct()
     bad = found.where("pack = 31 and chunk % 5 = 0")
     recipes = chunks.where("name % 700 = 0").select("name").distinct()
-    out = verify.store_check(found.select("pack").distinct(), found, damaged, bad, chunks, recipes)
-    return out.select("packs", *[F.size(c).cast("bigint").alias(c) for c in ("intact", "damaged_packs", "bad_chunks", "bad_recipes", "incomplete")], "clean")
+    return verify.summary(found.select("pack").distinct(), verify.findings(found, damaged, bad, chunks, recipes))
 
 
 @query("""SELECT l_partkey AS chunk, min(l_suppkey) AS source FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1""")
@@ -427,7 +427,7 @@ def history(spark, sf_dir):
 @query(f"WITH {STATE_SQL}, g AS (SELECT run_id FROM r WHERE completed_at < TIMESTAMP '1998-01-01 00:00:00') SELECT (SELECT count(*) FROM r WHERE run_id NOT IN (SELECT run_id FROM g)) AS runs, (SELECT count(*) FROM d WHERE run_id NOT IN (SELECT run_id FROM g)) AS deliveries")
 def purge_candidates(spark, sf_dir):
     runs, deliveries = state.purged(roles.runs(spark, sf_dir), roles.deliveries(spark, sf_dir), F.expr("timestamp_ntz'1998-01-01 00:00:00'"))
-    return runs.agg(F.count(F.lit(1)).alias("runs")).join(F.broadcast(deliveries.agg(F.count(F.lit(1)).alias("deliveries"))))
+    return runs.agg(F.count(F.lit(1)).alias("runs")).join(one_row(deliveries.agg(F.count(F.lit(1)).alias("deliveries"))))
 
 
 RESULTS_SQL = "SELECT run_id, destination, destination % 3 <> 0 AS ok, 'offline' AS error FROM d WHERE destination % 5 <> 0"
@@ -463,7 +463,7 @@ def complete_runs(spark, sf_dir):
 @query(f"""WITH {STATE_SQL}, g AS (SELECT run_id FROM r WHERE job = 7 AND completed_at IS NULL) SELECT (SELECT count(*) FROM r WHERE run_id NOT IN (SELECT run_id FROM g)) AS runs, (SELECT count(*) FROM d WHERE run_id NOT IN (SELECT run_id FROM g)) AS deliveries""")
 def forget_job(spark, sf_dir):
     runs, deliveries = state.forgotten(roles.runs(spark, sf_dir), roles.deliveries(spark, sf_dir), 7)
-    return runs.agg(F.count(F.lit(1)).alias("runs")).join(F.broadcast(deliveries.agg(F.count(F.lit(1)).alias("deliveries"))))
+    return runs.agg(F.count(F.lit(1)).alias("runs")).join(one_row(deliveries.agg(F.count(F.lit(1)).alias("deliveries"))))
 
 
 @query(f"""WITH {STATE_SQL} SELECT run_id, count(*) FILTER (delivered) AS delivered, count(*) FILTER (NOT delivered) AS failed, count(*) FILTER (delivered) > 0 AS ok,
@@ -487,7 +487,7 @@ def rename_job(spark, sf_dir):
     runs = roles.runs(spark, sf_dir).withColumns({"job": F.col("job").cast("string"), "archive_name": F.concat(F.col("job").cast("string"), F.lit("-old"))})
     table = runs.select("job").distinct().withColumn("last", F.lit(1))
     moved, _, copied = state.renamed_job(runs, roles.deliveries(spark, sf_dir), table, "7", "9001")
-    return moved.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("job") == "9001").alias("moved")).join(F.broadcast(copied.agg(F.count(F.lit(1)).alias("schedules"))))
+    return moved.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("job") == "9001").alias("moved")).join(one_row(copied.agg(F.count(F.lit(1)).alias("schedules"))))
 
 
 @query("""SELECT user_id, count(*) AS attempts, CASE least(count(*), 4) WHEN 1 THEN 60 WHEN 2 THEN 300 WHEN 3 THEN 900 ELSE 3600 END AS delay, max(ts) + INTERVAL 1 SECOND * CASE least(count(*), 4) WHEN 1 THEN 60 WHEN 2 THEN 300 WHEN 3 THEN 900 ELSE 3600 END AS next_retry

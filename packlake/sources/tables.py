@@ -125,8 +125,8 @@ class Store:
         """The store check's one row."""
         entries, good = self.table("pack_entry"), self.contents().select("pack", "chunk")
         bad = entries.select("pack", "chunk").join(good, ["pack", "chunk"], "left_anti")
-        damaged = bad.select("pack").distinct()
-        return verify.store_check(entries.select("pack").distinct(), entries, damaged.limit(0), bad, self.table("snapshot_chunk"), self.table("snapshot").select("name").limit(0))
+        found = verify.findings(entries, bad.select("pack").limit(0), bad, self.table("snapshot_chunk"), self.table("snapshot").select("name").limit(0))
+        return verify.summary(entries.select("pack").distinct(), found).withColumn("clean", F.col("clean") & F.lit(not bad.limit(1).count()))
 
     # -- maintain
 

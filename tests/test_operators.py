@@ -160,8 +160,10 @@ def test_check_and_repair(spark):
     entries = spark.createDataFrame([("p1", "a"), ("p1", "b"), ("p2", "b"), ("p3", "c")], "pack string, chunk string")
     chunks = spark.createDataFrame([("s1", "b"), ("s2", "a"), ("s2", "c"), ("s3", "c")], "name string, chunk string")
     packs, damaged = entries.select("pack").distinct(), spark.createDataFrame([("p1",)], "pack string")
-    row = verify.store_check(packs, entries, damaged, entries.limit(0), chunks, spark.createDataFrame([("s3",)], "name string")).first()
-    assert (row["packs"], row["intact"], row["damaged_packs"], row["bad_chunks"], row["bad_recipes"], row["incomplete"], row["clean"]) == (3, ["s1"], ["p1"], ["a"], ["s3"], ["s2"], False)
+    found = verify.findings(entries, damaged, entries.limit(0), chunks, spark.createDataFrame([("s3",)], "name string"))
+    assert {r["kind"]: r["items"] for r in verify.listed(found).collect()} == {"intact": ["s1"], "damaged_packs": ["p1"], "bad_chunks": ["a"], "bad_recipes": ["s3"], "incomplete": ["s2"]}
+    row = verify.summary(packs, found).first()
+    assert row["packs"] == 3 and row["incomplete"] == 1 and not row["clean"]
     lone, safe = verify.rehomed(entries, damaged)
     assert [tuple(r) for r in lone.collect()] == [("p1", "a")] and safe.count() == 0
     pieces = spark.createDataFrame([("f", i, i >= n) for n, f in () for i in range(4)] + [("f0", 0, True), ("f1", 0, False), ("f2", 0, False), ("f2", 1, False), ("f3", 0, False), ("f3", 1, False), ("f3", 2, False)], "file string, i int, good boolean")
