@@ -5,7 +5,8 @@ a projection: no shuffle, no user function.
 
 Null and empty texts have no words, every measure is 0 and they fail. Repeated
 rows are judged alike, each by itself; further columns pass through ``judge``
-untouched and names of measures are prefixed when they would clash.
+untouched, but own columns named like a measure give way to it. ``keep`` returns
+the input's columns as they are.
 """
 
 from __future__ import annotations
@@ -95,46 +96,44 @@ def _text_measures(text: Column) -> dict[str, Column]:
     }
 
 
-def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the counts and ratios that rules may name.
-
-    With ``prefix`` the new columns are named so, for inputs whose own columns
-    clash with them.
-    """
-    value = F.coalesce(F.col(text), F.lit(""))
-    inner = docs.withColumns({f"{prefix}_m_{k}": v for k, v in _text_measures(value).items()})
-    col = lambda k: F.col(f"{prefix}_m_{k}")
-    n = col("_words")["n"]
+def _ratios(of: Callable[[str], Column]) -> dict[str, Column]:
+    """The measures that rules may name, from the counts of a text."""
+    words, lines = of("_words"), of("_lines")
+    n = words["n"]
     over = lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
-    out = {
+    return {
         "n_words": n,
-        "word_chars": col("word_chars"),
-        "n_symbols": col("n_symbols"),
-        "n_dup_lines": col("_lines")["dup"],
-        "n_repeat_words": col("_words")["rep"],
-        "mean_word_length": over(col("word_chars"), n),
-        "symbol_ratio": over(col("n_symbols"), n),
-        "stop_word_ratio": over(col("_words")["stop"], n),
-        "dup_line_ratio": over(col("_lines")["dup"], col("_lines")["n"]),
+        "word_chars": of("word_chars"),
+        "n_symbols": of("n_symbols"),
+        "n_dup_lines": lines["dup"],
+        "n_repeat_words": words["rep"],
+        "mean_word_length": over(of("word_chars"), n),
+        "symbol_ratio": over(of("n_symbols"), n),
+        "stop_word_ratio": over(words["stop"], n),
+        "dup_line_ratio": over(lines["dup"], lines["n"]),
     }
-    out = {prefix + k: v for k, v in out.items()}
+
+
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with the measures; own columns of their names give way to them."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    inner = docs.withColumns({f"_m_{k}": v for k, v in _text_measures(value).items()})
+    out = _ratios(lambda k: F.col(f"_m_{k}"))
     return inner.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in out], *[v.alias(k) for k, v in out.items()])
 
 
-def base_failed(prefix: str = "") -> Column:
-    n, repeats = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
-    return (n < 50) | (100 * repeats > 50 * n)
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    return (of("n_words") < 50) | (100 * of("n_repeat_words") > 50 * of("n_words"))
 
 
-def verdict(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
-    """The table of rules as one boolean expression."""
+def verdict(rules: tuple[Rule, ...] = RULES, of: Callable[[str], Column] = F.col) -> Column:
+    """The table of rules as one boolean expression over the measures."""
     keep = F.lit(True)
     for r in rules:
-        value = F.col(prefix + r.measure)
         if r.low is not None:
-            keep = keep & (value >= F.lit(r.low))
+            keep = keep & (of(r.measure) >= F.lit(r.low))
         if r.high is not None:
-            keep = keep & (value <= F.lit(r.high))
+            keep = keep & (of(r.measure) <= F.lit(r.high))
     return keep
 
 
@@ -144,7 +143,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns only."""
-    p = "_quality_"
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return measure(docs, text, p).where(~base_failed(p) & verdict(rules, p)).select(*own)
+    """The rows of ``docs`` that pass. The filter is one expression that works
+    out the measures of a text once."""
+    counts = F.struct(*[v.alias(k) for k, v in _text_measures(F.coalesce(F.col(text), F.lit(""))).items()])
+
+    def passes(m: Column) -> Column:
+        ratios = _ratios(lambda k: m[k])
+        return ~base_failed(ratios.__getitem__) & verdict(rules, ratios.__getitem__)
+
+    return docs.where(let(counts, passes))
