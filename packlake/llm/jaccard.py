@@ -48,12 +48,12 @@ from packlake.llm.components import components
 
 WORDS, SIMILARITY = 5, 75
 #: A batch of the scan closes at so many shingles or texts.
-BATCH_SHINGLES, BATCH_TEXTS = 3_000_000, 60_000
+BATCH_SHINGLES, BATCH_TEXTS = 1_400_000, 60_000
 HOT, SIDE = 48, 0xFFFF
 #: Texts with more copies than this are joined to their component by salts.
 MANY_COPIES = 10_000
 #: Shingles of a range, and of a group that one task searches.
-RANGE_SHINGLES, GROUP_SHINGLES = 2_500_000, 1_500_000
+RANGE_SHINGLES, GROUP_SHINGLES = 1_400_000, 1_000_000
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -83,7 +83,7 @@ class Shingler:
         try:
             h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
         except KeyError:
-            if len(known) > 300_000:
+            if len(known) > 200_000:
                 known.clear()
             for w in found:
                 if w not in known:
