@@ -6,14 +6,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of one refinement round of ``range_bounds``.
-RANGE_BUCKETS = 4096
+#: Buckets of one refinement round of ``ranges_of``, and ranges it gives at most.
+RANGE_BUCKETS, MAX_RANGES = 4096, 1024
 #: A group's rows are dealt over this many salts before they meet.
 SALTS = 64
 
@@ -68,40 +69,57 @@ def publish(fs: pafs.FileSystem, temporary: str, final: str) -> None:
         fs.delete_file(temporary)
 
 
+#: Bytes of rows that go to Python at once, where the session has Spark's default.
+ARROW_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Send rows to Python in smaller Arrow batches: long texts are wide rows, and
+    each batch is held by the JVM and by the worker. Settings made by the user stay."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("bB")) == 64 << 20:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of an integer key: ``edges`` are their lower bounds but the
+    first's, then the end; each is cut into ``parts`` equal shards."""
+
+    low: int
+    edges: tuple[int, ...]
+    parts: int = 1
 
 
-def range_bounds(df: DataFrame, key: str, weight: Column, parts: int) -> list[int]:
-    """Lower bounds (all but the first range's) that cut the integer ``key``
-    into about ``parts`` ranges of equal weight, the same on every run.
+def ranges_of(df: DataFrame, key: str, weight: Column, shards: int) -> Ranges:
+    """Ranges that cut the key into about ``shards`` shards of equal weight, the
+    same on every run.
 
     Each round adds up the weights of ``RANGE_BUCKETS`` equal key intervals in
     one aggregation over all rows; intervals that weigh more than a range are
     refined in the next, so the driver sees a bounded histogram, never keys.
+    More shards than ``MAX_RANGES`` are equal cuts of the ranges.
     """
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), weight.cast("long").alias("w"))
     low, high = rows.agg(F.min("k"), F.max("k")).first()
-    if low is None or parts < 2:
-        return []
-    spans, done = [(low, high + 1)], []
-    total = None
+    if low is None:
+        return Ranges(0, (1,))
+    parts = max(1, min(shards, MAX_RANGES))
+    spans, done, total = [(low, high + 1)], [], None
     for _ in range(8):
         share = max(1, RANGE_BUCKETS // len(spans))
         steps = [(a, b, max(1, -(-(b - a) // share))) for a, b in spans]
-        bucket = F.lit(None).cast("long")
-        index = F.lit(None).cast("int")
+        bucket, index = F.lit(None).cast("long"), F.lit(None).cast("int")
         for i, (a, b, step) in enumerate(steps):
             inside = (F.col("k") >= a) & (F.col("k") < b)
-            bucket = F.when(inside, F.expr(f"cast(({'k'} - {a}L) div {step}L as long)")).otherwise(bucket)
+            bucket = F.when(inside, F.expr(f"cast((cast(k as decimal(20,0)) - {a}) div {step} as long)")).otherwise(bucket)
             index = F.when(inside, F.lit(i)).otherwise(index)
         found = rows.select(index.alias("i"), bucket.alias("b"), "w").where("i is not null").groupBy("i", "b").agg(F.sum("w").alias("w")).collect()
-        if total is None:
-            total = sum(r["w"] for r in found) or 1
+        total = total or sum(r["w"] for r in found) or 1
         spans = []
         for r in sorted(found, key=lambda r: (r["i"], r["b"])):
             a, b, step = steps[r["i"]]
@@ -114,39 +132,34 @@ def range_bounds(df: DataFrame, key: str, weight: Column, parts: int) -> list[in
         if not spans:
             break
     done.extend((a, 0) for a, _ in spans)
-    bounds, filled, goal = [], 0, total / parts
+    edges, filled, goal = [], 0, total / parts
     for start, weight_here in sorted(done):
-        if filled >= goal * (len(bounds) + 1) and start > low:
-            bounds.append(start)
+        if filled >= goal * (len(edges) + 1) and start > low:
+            edges.append(start)
         filled += weight_here
-    return bounds
+    return Ranges(low, (*edges, high + 1), max(1, -(-shards // parts)))
 
 
-def shard_of(key: str, bounds: list[int]) -> Column:
-    """The number of the range that holds ``key``; nulls lie in the first."""
-    if not bounds:
-        return F.lit(0)
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-    # binary search by halving, as a closed expression
-    size = 1
-    while size < len(bounds):
+def shard_of(key: str, ranges: Ranges) -> Column:
+    """The number of the shard that holds ``key``; nulls lie in the first.
+
+    The range is found by binary search in a literal array, halving by halving.
+    """
+    edges = F.array(*[F.lit(e).cast("decimal(20,0)") for e in (ranges.low, *ranges.edges)])
+    n, size = len(ranges.edges), 1
+    while size < n:
         size *= 2
-    place = F.lit(0)
-    key_col = F.col(key).cast("long")
-    out = F.aggregate(
-        F.array(*[F.lit(step) for step in _halves(size)]),
-        place,
-        lambda at, step: F.when((at + step <= len(bounds)) & (F.get(edges, at + step - 1) <= key_col), at + step).otherwise(at),
+    halves = [size >> i for i in range(size.bit_length())]
+    value = F.col(key).cast("decimal(20,0)")
+    place = F.aggregate(
+        F.array(*[F.lit(h) for h in halves]),
+        F.lit(0),
+        lambda at, step: F.when((at + step < n) & (F.get(edges, at + step) <= value), at + step).otherwise(at),
     )
-    return F.when(key_col.isNull(), F.lit(0)).otherwise(out)
-
-
-def _halves(size: int) -> list[int]:
-    out = []
-    while size:
-        out.append(size)
-        size //= 2
-    return out
+    if ranges.parts == 1:
+        return F.when(value.isNull(), F.lit(0)).otherwise(place)
+    cut = F.transform(F.array(place), lambda at: at * ranges.parts + F.floor((value - F.get(edges, at)) * ranges.parts / (F.get(edges, at + 1) - F.get(edges, at))).cast("int")).getItem(0)
+    return F.when(value.isNull(), F.lit(0)).otherwise(cut)
 
 
 def group_min(df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None) -> DataFrame:

@@ -16,8 +16,10 @@ Exact throughout: no sketches, no caps.
    set aside, the short ones are merged by a heap, candidates found often enough
    are looked up in the long lists by binary search, and those reaching the
    required overlap are links (DivideSkip). Lists leave out texts that are
-   already in the text's component. Groups beyond a task's memory are searched
-   as pairs of blocks.
+   already in the text's component. In a group beyond a task's memory, texts are
+   first held against a few hubs, which ties most of a large group of near copies
+   in passes over its rows; its largest part and the rest are then searched as
+   pairs of blocks, but for pairs within the largest part.
 
 A hot shingle of a batch (in more than ``HOT`` of its texts) is sent once with
 its count; which texts hold it stays in a side list of the batch. Groups of
@@ -38,7 +40,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as dataset
 import xxhash
+from pyarrow.fs import FileSelector
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,10 +54,12 @@ WORDS, SIMILARITY = 5, 75
 #: A batch of the scan closes at so many shingles or texts.
 BATCH_SHINGLES, BATCH_TEXTS = 1_400_000, 60_000
 HOT, SIDE = 48, 0xFFFF
+#: In a larger group, texts are held against so many hubs, in so many rounds.
+HUBS, HUB_ROUNDS = 16, 4
 #: Texts with more copies than this are joined to their component by salts.
 MANY_COPIES = 10_000
 #: Shingles of a range, and of a group that one task searches.
-RANGE_SHINGLES, GROUP_SHINGLES = 1_400_000, 1_000_000
+RANGE_SHINGLES, GROUP_SHINGLES = 800_000, 1_000_000
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -159,8 +165,8 @@ def _scan(docs: DataFrame, ranges: int, words: int) -> DataFrame:
             own = np.array(members, dtype=DOCUMENT).tobytes()
             head = np.array([len(sets), len(side_hash) // 8], "<i8").tobytes()
             rows.append(("d", number % ranges, number, zlib.compress(head + sizes.astype("<i8").tobytes() + signature, 1), side_hash + side_text, zlib.compress(own, 1)))
-            for at in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 64], strict=True), schema, strict=True)], schema=schema)
+            for at in range(0, len(rows), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 16], strict=True), schema, strict=True)], schema=schema)
             sets, seen, members, held, number = [], {}, [], 0, number + 1
 
         for batch in batches:
@@ -273,7 +279,7 @@ def _texts(answers: DataFrame, percent: int) -> DataFrame:
 class Links:
     """T-occurrence search over the texts of a group, smallest first."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int = SIMILARITY):
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int = SIMILARITY, parts: np.ndarray | None = None):
         order = np.lexsort((ids, sizes))
         self.ids, self.sizes, self.percent = ids[order], sizes[order], percent
         sets = [sets[i] for i in order]
@@ -285,6 +291,9 @@ class Links:
         self.posts = owner[by_token]
         self.lists = np.concatenate([[0], np.cumsum(np.bincount(self.token, minlength=len(known)))]).astype(np.int64)
         self.root = np.arange(len(sets))
+        if parts is not None:  # texts of equal parts are known to be joined
+            _, first, part = np.unique(parts[order], return_index=True, return_inverse=True)
+            self.root = first[part]
 
     def find(self, x: int) -> int:
         root = self.root
@@ -309,7 +318,7 @@ class Links:
     def linked(self, x: int, y: int) -> bool:
         return self.overlap(x, y) >= need(int(self.sizes[x]), int(self.sizes[y]), self.percent)
 
-    def candidates(self, x: int, low: int, high: int, skip: int | None) -> Iterator[int]:
+    def candidates(self, x: int, low: int, high: int, skip: int) -> Iterator[int]:
         """Texts y in [low, high) that link with x, but for those whose root is ``skip``."""
         tokens = self.tokens(x)
         lengths = self.lists[tokens + 1] - self.lists[tokens]
@@ -325,8 +334,7 @@ class Links:
         for t in short.tolist():
             posts = self.posts[self.lists[t] : self.lists[t + 1]]
             posts = posts[np.searchsorted(posts, low) : np.searchsorted(posts, high)]
-            if skip is not None and len(posts):
-                posts = posts[self.flat_root[posts] != skip]
+            posts = posts[self.flat_root[posts] != skip]
             if len(posts):
                 merged.append(posts)
         if not merged:
@@ -375,33 +383,36 @@ class Links:
     def run(self) -> list[tuple[int, int]]:
         """Links that join all components, as pairs of ids."""
         out = []
-        self.flat_root = np.arange(len(self.ids))
+        self.flat_root = self.root.copy()
         links = np.zeros(len(self.ids), np.int64)
         hub: int | None = None
         for x in range(len(self.ids)):
             low = int(np.searchsorted(self.sizes[:x], -(-self.percent * int(self.sizes[x]) // 100)))
             if low >= x:
                 continue
-            skip = None
+            skip = int(self.flat_root[x])
             # most of a large group links with its hub, the text of most links;
             # then only texts of other components are left to seek
-            if hub is not None and hub >= low and self.linked(x, hub):
-                self.union(x, hub)
-                out.append((int(self.ids[hub]), int(self.ids[x])))
-                self.flat_root[x] = skip = self.find(hub)
+            if hub is not None and hub >= low and self.flat_root[hub] != skip and self.linked(x, hub):
+                self.merge(x, hub, out)
+                skip = int(self.flat_root[x])
                 links[hub] += 1
             for y in self.candidates(x, low, x, skip):
                 links[y] += 1
                 if hub is None or links[y] > links[hub]:
                     hub = y
-                old = {int(self.flat_root[x]), int(self.flat_root[y])}
-                if self.union(x, y):
-                    out.append((int(self.ids[y]), int(self.ids[x])))
-                    new = self.find(x)
-                    for r in old - {new}:
-                        self.flat_root[self.flat_root == r] = new
+                self.merge(x, y, out)
         return out
 
+    def merge(self, x: int, y: int, out: list[tuple[int, int]]) -> None:
+        """Note a link and join the components of its ends."""
+        old = {int(self.flat_root[x]), int(self.flat_root[y])}
+        if self.union(x, y):
+            out.append((int(self.ids[y]), int(self.ids[x])))
+            new = self.find(x)
+            for r in old - {new}:
+                self.flat_root[self.flat_root == r] = new
+
 
 def _search(groups: DataFrame, percent: int) -> DataFrame:
     """Links of each group and block pair."""
@@ -409,7 +420,7 @@ def _search(groups: DataFrame, percent: int) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("id")
         sets = [np.frombuffer(x, "<u8").astype(np.uint64) for x in frame["shared"]]
-        found = Links(frame["id"].to_numpy(np.int64), frame["n_shingles"].to_numpy(np.int64), sets, percent).run()
+        found = Links(frame["id"].to_numpy(np.int64), frame["n_shingles"].to_numpy(np.int64), sets, percent, frame["part"].to_numpy(np.int64)).run()
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return groups.groupBy("group", "a", "b").applyInPandas(run, "u long, v long")
@@ -420,6 +431,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_
     if words > len(MIX) * 8:
         raise ValueError("shingles of so many words aren't supported")
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(common.partitions(spark), -(-volume // (6 * RANGE_SHINGLES)))
@@ -436,7 +448,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_
     grouped = components(ties, name="jaccard-ties").withColumnsRenamed({"u": "id", "component": "group"})
     weighed = partners.select("id", "n_shingles", "shared").join(grouped, "id").withColumn("w", F.octet_length("shared") / 8)
     weighed = common.stage(weighed, "jaccard-groups")
-    links = _search(_blocked(weighed), percent)
+    parted, hub_links = _hubs(weighed, percent)
+    links = _search(_blocked(parted), percent)
+    links = links if hub_links is None else links.unionByName(hub_links)
     linked = components(links, name="jaccard-links").withColumnsRenamed({"u": "id", "component": "component_id"})
 
     # members of one text share its id, and a text may be a third of all rows: those of many copies join by salted ids
@@ -450,21 +464,81 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_
     return out.unionByName(alone)
 
 
-def _blocked(weighed: DataFrame) -> DataFrame:
+def _hubs(weighed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """``weighed`` with part, a component so far, and the links found.
+
+    Only groups beyond ``GROUP_SHINGLES`` take part. In each round a few texts
+    that aren't linked yet become hubs, and all such texts are held against the
+    hubs of their group. What is left is for the search by blocks.
+    """
+    alone = weighed.withColumn("part", F.col("id"))
+    large = weighed.groupBy("group").agg(F.sum("w").alias("volume")).where(F.col("volume") > GROUP_SHINGLES).select("group")
+    large = common.stage(large, "jaccard-large")
+    if not large.limit(1).count():
+        return alone, None
+    big = common.stage(weighed.join(large, "group"), "jaccard-big")
+    left, links = big, None
+    for r in range(HUB_ROUNDS):
+        order = Window.partitionBy("group").orderBy(F.xxhash64("id", F.lit(r)), "id")
+        path = common.shared_dir(weighed.sparkSession, "jaccard-hubs")
+        left.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= HUBS).select("group", "id", "n_shingles", "shared").write.parquet(path)
+        found = common.stage(_against(left, path, percent), "jaccard-hub-links")
+        links = found if links is None else links.unionByName(found)
+        left = common.stage(left.join(found.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_anti"), "jaccard-left")
+    tied = components(links, name="jaccard-hub-ties").withColumnsRenamed({"u": "id", "component": "part"})
+    parts = big.join(tied, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    return alone.join(large, "group", "left_anti").unionByName(parts.select(alone.columns)), links
+
+
+def _against(texts: DataFrame, path: str, percent: int) -> DataFrame:
+    """Links of texts with the hubs of their groups, which lie in a folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = common.open_fs(path)
+        hubs = dataset.dataset([i.path for i in fs.get_file_info(FileSelector(root)) if i.path.endswith(".parquet")], filesystem=fs, format="parquet")
+        known: dict[int, list] = {}
+        for batch in batches:
+            groups = batch.column(0).to_pylist()
+            if new := set(groups) - known.keys():
+                if len(known) > 256:
+                    known.clear()
+                    new = set(groups)
+                known.update({g: [] for g in new})
+                for h in hubs.to_table(filter=dataset.field("group").isin(sorted(new))).to_pylist():
+                    known[h["group"]].append((h["id"], h["n_shingles"], np.frombuffer(h["shared"], "<u8")))
+            out = []
+            for group, key, size, shared in zip(groups, batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                own = np.frombuffer(shared.as_py(), "<u8")
+                for hub, n, other in known[group]:
+                    least = need(size, n, percent)
+                    if hub != key and least <= min(size, n) and len(np.intersect1d(own, other, assume_unique=True)) >= least:
+                        out.append((hub, key))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+
+    return texts.select("group", "id", "n_shingles", "shared").mapInArrow(run, "u long, v long")
+
+
+def _blocked(parted: DataFrame) -> DataFrame:
     """Rows dealt to tasks: small groups whole, larger ones as pairs of blocks.
 
-    A group's texts are cut into blocks; a text goes to every pair of blocks
-    that holds its own, so any two texts meet. The number of blocks follows the
-    group's own volume, so the memory of a task stays bounded.
+    The largest part of a group makes the first blocks, the other texts the last
+    ones. A text goes to every pair of its own block and another, but for pairs
+    of first blocks, whose texts are joined already. The number of blocks follows
+    the group's own volume, so the memory of a task stays bounded.
     """
-    volume = weighed.groupBy("group").agg(F.sum("w").alias("volume"))
-    blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("volume") / GROUP_SHINGLES)).cast("int")
-    volume = volume.select("group", F.when(F.col("volume") <= GROUP_SHINGLES, F.lit(1)).otherwise(blocks).alias("blocks"))
-    dealt = weighed.join(volume, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))
-    # with more than one block, a block meets itself in its pairs with others
-    pairs = F.filter(pairs, lambda p: (p["a"] != p["b"]) | (F.col("blocks") == 1))
-    return dealt.select("group", "id", "n_shingles", "shared", F.explode(pairs).alias("p")).select("group", "id", "n_shingles", "shared", "p.a", "p.b")
+    volumes = parted.groupBy("group", "part").agg(F.sum("w").alias("volume"))
+    volumes = volumes.groupBy("group").agg(F.max(F.struct("volume", "part")).alias("main"), F.sum("volume").alias("volume"))
+    count = lambda v: F.ceil(2 * v / GROUP_SHINGLES).cast("int")
+    small = F.col("volume") <= GROUP_SHINGLES
+    volumes = volumes.select("group", F.col("main.part").alias("main"), small.alias("small"), count(F.col("main.volume")).alias("first"), count(F.col("volume") - F.col("main.volume")).alias("last"))
+    salt = F.xxhash64("id")
+    block = F.when(F.col("small"), F.lit(0)).when(F.col("part") == F.col("main"), F.pmod(salt, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(salt, F.greatest("last", F.lit(1)))).cast("int")
+    dealt = parted.join(volumes, "group").withColumn("block", block)
+    every = F.sequence(F.lit(0), F.greatest(F.col("first") + F.col("last") - 1, F.lit(0)))
+    others = F.filter(every, lambda k: F.when(F.col("small"), k == 0).otherwise((k != F.col("block")) & (F.greatest(k, F.col("block")) >= F.col("first"))))
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))
+    return dealt.select("group", "id", "n_shingles", "shared", "part", F.explode(pairs).alias("p")).select("group", "id", "n_shingles", "shared", "part", "p.a", "p.b")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from packlake.llm import common, tokens
 
 MAGIC = b"PLTOKEN1"
 BLOCK, LANES = 1 << 18, 1024
-FILE_TOKENS = 6_000_000
+FILE_TOKENS = 4_000_000
 SHARD_BYTES = 256 << 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
@@ -201,11 +201,12 @@ class TokenFile:
 def write(docs: DataFrame, out: str, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode and write all documents below ``out``; the manifest, one row per file."""
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     weight = F.octet_length("text") + 64
     total = rows.agg(F.sum(weight)).first()[0] or 0
-    bounds = common.range_bounds(rows, "doc_id", weight, max(2 * common.partitions(spark), -(-total // SHARD_BYTES)))
-    dealt = rows.withColumn("shard", common.shard_of("doc_id", bounds)).repartition(common.partitions(spark), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
+    ranges = common.ranges_of(rows, "doc_id", weight, max(2 * common.partitions(spark), -(-total // SHARD_BYTES)))
+    dealt = rows.withColumn("shard", common.shard_of("doc_id", ranges)).repartition(common.partitions(spark), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

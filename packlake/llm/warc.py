@@ -113,10 +113,11 @@ def write(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url"
     Equal payloads shorter than ``least_bytes`` are all written as responses.
     """
     spark = pages.sparkSession
+    common.bounded_batches(spark)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("html"))
     weight = F.octet_length("html") + 512
     total = rows.agg(F.sum(weight)).first()[0] or 0
-    bounds = common.range_bounds(rows, "page_id", weight, max(2 * common.partitions(spark), -(-total // SHARD_BYTES)))
+    ranges = common.ranges_of(rows, "page_id", weight, max(2 * common.partitions(spark), -(-total // SHARD_BYTES)))
 
     digests = rows.select("page_id", "url", F.octet_length("html").alias("n"), F.sha2("html", 256).alias("digest"))
     own = F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))
@@ -124,8 +125,8 @@ def write(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url"
     revisits = first.where((F.col("n") >= least_bytes) & ~F.col("first.page_id").eqNullSafe(F.col("page_id")) & F.col("first").isNotNull())
     # one row per page_id: equal rows of one page_id refer to the same first page unless their payloads differ
     revisits = revisits.select("page_id", "digest", "first").distinct()
-    keyed = rows.withColumn("digest", F.sha2("html", 256)).withColumn("shard", common.shard_of("page_id", bounds))
-    links = revisits.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "first").withColumn("shard", common.shard_of("r_page", bounds))
+    keyed = rows.withColumn("digest", F.sha2("html", 256)).withColumn("shard", common.shard_of("page_id", ranges))
+    links = revisits.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "first").withColumn("shard", common.shard_of("r_page", ranges))
     # pages and links meet by the shard, in one task's sorted stream, not by a join on the digest
     kind = "page_id long, url string, html binary, digest string, shard int, first struct<page_id:bigint,url:string>, is_page int"
     pages_side = keyed.select("page_id", "url", "html", "digest", "shard", F.lit(None).cast("struct<page_id:bigint,url:string>").alias("first"), F.lit(1).alias("is_page"))
