@@ -232,11 +232,16 @@ def test_warc_of_nothing_and_damage(spark, tmp_path):
         warc.parse(data[:-3])
 
 
-def test_range_bounds(spark):
+def test_ranges(spark, monkeypatch):
     ids = [10**15] + list(range(1000)) + [2**62, -5]
     df = spark.createDataFrame([(i,) for i in ids], "k long")
-    bounds = common.range_bounds(df, "k", F.lit(1), 8)
-    counts = Counter(r[0] for r in df.select(common.shard_of("k", bounds)).collect())
-    assert bounds == sorted(set(bounds)) and max(counts.values()) < 200 and sum(counts.values()) == len(ids)
-    want = {i: sum(b <= i for b in bounds) for i in ids}
-    assert all(r["s"] == want[r["k"]] for r in df.select("k", common.shard_of("k", bounds).alias("s")).collect())
+    ranges = common.ranges_of(df, "k", F.lit(1), 8)
+    counts = Counter(r[0] for r in df.select(common.shard_of("k", ranges)).collect())
+    assert list(ranges.edges) == sorted(set(ranges.edges)) and max(counts.values()) < 200 and sum(counts.values()) == len(ids)
+    want = {i: sum(b <= i for b in ranges.edges[:-1]) for i in ids}
+    assert all(r["s"] == want[r["k"]] for r in df.select("k", common.shard_of("k", ranges).alias("s")).collect())
+    monkeypatch.setattr(common, "MAX_RANGES", 4)
+    fine = common.ranges_of(df, "k", F.lit(1), 16)
+    placed = [r[0] for r in df.orderBy("k").select(common.shard_of("k", fine)).collect()]
+    assert fine.parts == 4 and placed == sorted(placed) and len(set(placed)) > 8
+    assert df.limit(0).select(common.shard_of("k", common.ranges_of(df.limit(0), "k", F.lit(1), 4))).count() == 0
