@@ -9,7 +9,7 @@ into the other, bins that would then hold a piece twice are opened, and the
 pieces they lose are placed again best-fit. Between epochs each island's elite
 bins, as lists of lengths, migrate to the next island, which builds them from
 its own pieces of those lengths. Bins that are full stay; the pieces of an
-island's worst bins, at most an eighth of it, are pooled on fewer islands, until
+island's worst bins, at most a quarter of it, are pooled on fewer islands, until
 one holds the rest: no piece is dropped and only the last island's waste is left.
 
 Null and empty texts are one piece with the end id only. Repeated rows and ids
@@ -35,8 +35,8 @@ from packlake.llm import common, tokens
 CAPACITY = 2048
 ISLAND = 16_384
 POPULATION, OFFSPRING, ELITES = 6, 60, 64
-#: Share of an island's pieces that may move on to the next level.
-OPEN = 8
+#: One in so many of an island's pieces may move on to the next level.
+OPEN = 4
 
 
 class Spare:
@@ -328,4 +328,5 @@ def _offsets(closed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, island: int = ISLAND, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    common.bounded_batches(docs.sparkSession)
     return pack(common.stage(pieces(docs, path, capacity, doc_id=doc_id, text=text), "pieces"), capacity, island)
