@@ -35,6 +35,8 @@ MAGIC = b"PLTOKEN1"
 BLOCK, LANES = 1 << 18, 1024
 FILE_TOKENS = 4_000_000
 SHARD_BYTES = 256 << 20
+#: Ids below this are counted and looked up in dense arrays.
+DENSE = 1 << 22
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 MASK = np.uint64(0xFFFFFFFF)
@@ -47,10 +49,16 @@ class Table:
         self.ids, self.freq, self.bits = ids.astype("<u4"), freq.astype(np.uint64), bits
         self.cum = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64) if len(ids) else np.zeros(0, np.uint64)
         self._slots: np.ndarray | None = None
+        self._places: np.ndarray | None = None
 
     @classmethod
     def count(cls, ids: np.ndarray) -> Table:
-        seen, counts = np.unique(ids, return_counts=True)
+        if len(ids) and int(ids.max()) < DENSE:
+            counts = np.bincount(ids)
+            seen = np.flatnonzero(counts)
+            counts = counts[seen]
+        else:
+            seen, counts = np.unique(ids, return_counts=True)
         bits = max(16, min(24, int(len(seen)).bit_length() + 4))
         if not len(seen):
             return cls(seen, counts, bits)
@@ -60,6 +68,15 @@ class Table:
         freq[np.argsort(-(exact % 1), kind="stable")[:left]] += 1
         return cls(seen, freq, bits)
 
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Where each id stands in the table."""
+        if not len(self.ids) or int(self.ids[-1]) >= DENSE:
+            return np.searchsorted(self.ids, ids)
+        if self._places is None:
+            self._places = np.zeros(int(self.ids[-1]) + 1, np.int32)
+            self._places[self.ids] = np.arange(len(self.ids))
+        return self._places[ids]
+
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
@@ -71,7 +88,7 @@ def encode_block(table: Table, ids: np.ndarray) -> bytes:
     """States of the lanes, then the words in the order of decoding."""
     n = len(ids)
     lanes = min(LANES, n)
-    at = np.searchsorted(table.ids, ids)
+    at = table.places(ids)
     freq, cum, bits = table.freq[at], table.cum[at], np.uint64(table.bits)
     limit = (LOW >> bits) << WORD
     state = np.full(lanes, LOW, np.uint64)

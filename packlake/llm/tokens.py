@@ -30,7 +30,7 @@ WHOLE = rf"^ | $| {_SPACE}|{_SPACE} |\x01"
 #: Stands before a text's first piece, which has no space before it.
 MARK = "\x01"
 #: Bytes of text that are cut at once, and pieces that are remembered.
-SLICE_BYTES, KNOWN = 12 << 20, 1_000_000
+SLICE_BYTES, KNOWN = 8 << 20, 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
