@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -184,10 +184,25 @@ def _scan(docs: DataFrame, ranges: int, words: int) -> DataFrame:
                 if held >= BATCH_SHINGLES or len(sets) >= BATCH_TEXTS or len(members) >= 8 * BATCH_TEXTS:
                     yield from flush()
         yield from flush()
+        shingler.known.clear()
+        common.release()
 
     return docs.mapInArrow(run, MESSAGE)
 
 
+def _trimmed(run: Callable[[pd.DataFrame], pd.DataFrame], least: int = 0) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``run``, after which groups of at least so many shared bytes leave no memory behind."""
+
+    def trimmed(frame: pd.DataFrame) -> pd.DataFrame:
+        large = not least or int(frame["shared"].str.len().sum()) >= least
+        out = run(frame)
+        if large:
+            common.release()
+        return out
+
+    return trimmed
+
+
 def _count(messages: DataFrame) -> DataFrame:
     """By range: answers (kind a) to each batch with its shared shingles, in how
     many texts each occurs, and who holds it; rows of kind d pass through."""
@@ -221,7 +236,7 @@ def _count(messages: DataFrame) -> DataFrame:
         found = pd.DataFrame(rows, columns=["kind", "range", "batch", "hashes", "texts", "docs"])
         return pd.concat([own, found], ignore_index=True) if rows else own
 
-    return messages.groupBy("range").applyInPandas(run, MESSAGE)
+    return messages.groupBy("range").applyInPandas(_trimmed(run), MESSAGE)
 
 
 TEXT = "doc_id long, n_shingles long, signature binary, shared binary, prefix binary"
@@ -273,7 +288,7 @@ def _texts(answers: DataFrame, percent: int) -> DataFrame:
             rows.append((key, int(sizes[at]), signature[16 * at : 16 * at + 16], *lists))
         return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "signature", "shared", "prefix"]).astype({"doc_id": "Int64"})
 
-    return answers.groupBy("batch").applyInPandas(run, TEXT)
+    return answers.groupBy("batch").applyInPandas(_trimmed(run), TEXT)
 
 
 class Links:
@@ -423,7 +438,7 @@ def _search(groups: DataFrame, percent: int) -> DataFrame:
         found = Links(frame["id"].to_numpy(np.int64), frame["n_shingles"].to_numpy(np.int64), sets, percent, frame["part"].to_numpy(np.int64)).run()
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return groups.groupBy("group", "a", "b").applyInPandas(run, "u long, v long")
+    return groups.groupBy("group", "a", "b").applyInPandas(_trimmed(run, 100_000), "u long, v long")
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -549,6 +564,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY,
     """
     gone = classes(docs, words, percent, doc_id, text).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
-    same = Window.partitionBy(doc_id, "_same").orderBy("_same")
-    left = left.withColumn("_same", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("_copy", F.row_number().over(same))
+    same = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_same")
+    if not docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id, same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return left  # no row repeats, so whole rows needn't be sorted
+    order = Window.partitionBy(doc_id, "_same").orderBy("_same")
+    left = left.withColumn("_same", same).withColumn("_copy", F.row_number().over(order))
     return left.where(F.col(doc_id).isNull() | (F.col("_copy") == 1)).drop("_same", "_copy")
