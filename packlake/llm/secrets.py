@@ -4,6 +4,8 @@ The patterns report by form. Structural confirmation decodes base64 and hex
 candidates and reports them only if the bytes parse: private keys in DER
 (PKCS #1, PKCS #8, SEC 1) or OpenSSH form, whose nested lengths must tile the
 value, and signed tokens whose first part is a JSON header naming an algorithm.
+Keys in base64 may be wrapped at any width, by line breaks or by "\\n" and
+"\\r\\n" written out; each line may start one, whatever stands on the line before.
 
 Null and empty texts have no spans. Repeated rows are scanned each by itself;
 other columns are not read. Texts are scanned whole, one at a time, so memory
@@ -28,9 +30,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "key", "jwt")
 
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{4,76})*={0,2}")
+# A line starts after any other character or a written-out break; DER of a key begins with 0x30.
+KEY_START = re.compile(r"(?:M(?=[A-P])|b(?=3Bl))(?:(?<![A-Za-z0-9+/_-].)|(?<=\\n.))")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)(?=[A-Za-z0-9+/_-])")
+PADDING = re.compile(r"={0,2}")
+LEAST_KEY = 27  # bytes: SEC 1 of a 160-bit key without parameters
 HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
-TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}")
+# The second and third part; the first is read backwards from the dot, so that each part is tried as a first one.
+TOKEN_REST = re.compile(r"\.(?=([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]{8,}+))")
 
 Span = tuple[str, int, int]
 
@@ -142,31 +150,71 @@ def _json(part: str) -> object:
         return None
 
 
+def _characters(text: str, at: int, count: int) -> tuple[str, int]:
+    """Up to ``count`` base64 characters from ``at`` on, over line breaks, and where they end."""
+    out = []
+    while m := LINE.match(text, at, at + count):
+        out.append(m[0])
+        count, at = count - len(m[0]), m.end()
+        if not count or not (m := BREAK.match(text, at)):
+            break
+        at = m.end()
+    return "".join(out), at
+
+
+def key_end(text: str, at: int) -> int:
+    """Where the base64 characters end of the key that starts at ``at``, or 0."""
+    head = _base64(_characters(text, at, 8)[0])
+    if head[:1] == b"0" and len(head) == 6:
+        count = head[1] & 0x7F if head[1] & 0x80 else 0
+        size = 2 + count + (int.from_bytes(head[2 : 2 + count], "big") if count else head[1])
+        if count > 4 or not LEAST_KEY <= size <= len(text):
+            return 0
+        chars, end = _characters(text, at, -(-size * 4 // 3))
+        return end if der_key(_base64(chars)) == size else 0
+    if head != b"openss":
+        return 0
+    size = openssh_key(_base64(_characters(text, at, len(text))[0]))
+    return _characters(text, at, -(-size * 4 // 3))[1] if size else 0
+
+
+def base64_keys(text: str) -> list[Span]:
+    """Keys in base64 from a line's start or right after another key. What holds
+    one line only must end with a key."""
+    out: list[Span] = []
+    done = 0
+    for m in KEY_START.finditer(text):
+        if m.start() < done:
+            continue
+        found, at = [], m.start()
+        while end := key_end(text, at):
+            found.append(("key", at, PADDING.match(text, end).end()))
+            at = end
+        if found and (not LINE.match(text, at, at + 1) or BREAK.match(text, LINE.match(text, m.start()).end())):
+            out += found
+            done = found[-1][2]
+    return out
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Candidates whose decoded bytes parse as a key or a signed token."""
-    out = []
-    for m in BASE64_RUN.finditer(text):
-        run = m[0]
-        data = _base64(run.replace("\r", "").replace("\n", ""))
-        if length := key_length(data):
-            chars, at = -(-length * 4 // 3), 0
-            for at, c in enumerate(run, 1):  # noqa: B007
-                chars -= c not in "\r\n"
-                if not chars:
-                    break
-            while at < len(run) and run[at] == "=":
-                at += 1
-            if "\n" in run or at == len(run):
-                out.append(("key", m.start(), m.start() + at))
+    out = base64_keys(text)
     for m in HEX_RUN.finditer(text):
         data = bytes.fromhex(m[0])
         if key_length(data) == len(data):
             out.append(("key", m.start(), m.end()))
-    for m in TOKEN_RUN.finditer(text):
-        header, body, signature = m[0].split(".")
+    for m in TOKEN_REST.finditer(text):
+        at = m.start()
+        while at and (c := text[at - 1]).isascii() and (c.isalnum() or c in "_-"):
+            at -= 1
+        if text[at - 1 : at + 1] == "\\n":
+            at += 1
+        header = text[at : m.start()]
+        if len(header) < 8:
+            continue
         found = _json(header)
-        if isinstance(found, dict) and isinstance(found.get("alg"), str) and found["alg"].lower() != "none" and _json(body) is not None and len(_base64(signature)) >= 6:
-            out.append(("jwt", m.start(), m.end()))
+        if isinstance(found, dict) and isinstance(found.get("alg"), str) and found["alg"].lower() != "none" and _json(m[1]) is not None and len(_base64(m[2])) >= 6:
+            out.append(("jwt", at, m.end(2)))
     return out
 
 

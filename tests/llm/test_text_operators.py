@@ -104,6 +104,43 @@ def test_tokens_are_confirmed():
     assert secrets.confirmed_spans("A" * 400 + " " + "0f" * 100) == []
 
 
+def ec_key(n):
+    """PKCS#8 whose value has n bytes in all."""
+    head = der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48"))
+    return next(k for i in range(n) if len(k := der(0x30, head + der(4, der(0x30, der(4, bytes(i)))))) == n)
+
+
+def wrapped(data, width=64, line="\n"):
+    return line.join(re.findall(f".{{1,{width}}}", base64.b64encode(data).decode()))
+
+
+def keys_in(text):
+    return [text[a:b] for k, a, b in secrets.confirmed_spans(text) if k == "key"]
+
+
+@pytest.mark.parametrize("size", [240, 241, 242, 193, 194])
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\\n", "\\r\\n"])
+def test_wrapped_keys_with_short_last_lines(size, line):
+    key = wrapped(ec_key(size), line=line)
+    for text in (key, f"-----BEGIN PRIVATE KEY-----{line}{key}{line}-----END PRIVATE KEY-----{line}", f'"{key}"'):
+        assert keys_in(text) == [key]
+
+
+def test_keys_after_other_lines():
+    key, short = wrapped(ec_key(241)), base64.b64encode(ec_key(48)).decode()
+    for before in ("0f" * 32, "a-slug-of-words-" * 4, "short", "M" * 64):
+        assert keys_in(f"{before}\n{key}\nmore") == [key] and keys_in(f"{before}\n{short}") == [short]
+    assert keys_in(f"{short}\n{short}\n{key} {short}") == [short, short, key, short]
+    assert keys_in(short + short) == [short, short] and keys_in(short + short + "x") == []
+    assert keys_in(wrapped(ec_key(241), 32)) == [wrapped(ec_key(241), 32)]
+
+
+def test_tokens_after_other_parts():
+    for before in ("hostname1.", "hostname1.example.", "\\n", "www.longhostname.example-site."):
+        text = f"see {before}{token()} there"
+        assert [text[a:b] for k, a, b in secrets.confirmed_spans(text)] == [token()]
+
+
 def test_secret_query(spark):
     texts = [None, "", "token=abcdefgh " + token(), "clean text", "secret: abcdef token=1", "token=abcdefgh " + token()]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
