@@ -11,9 +11,11 @@ The network is trained on the driver, from pages that ``training_page`` makes
 from a seed: ``PAGES`` of them, each with known labels, whose layouts vary in
 element names, class names and order. It is the same on every run.
 
-Null and empty html give an empty text. Script, style and other raw elements,
-comments and the head never give blocks. Nothing is cut short: pages and blocks
-of any length are read whole. Repeated rows give equal texts. Only the named
+Null and empty html give an empty text. Script, style and other raw elements
+and comments never give blocks, and so what belongs in a head doesn't; anything
+else ends the head, closed or not. Nothing is cut short: pages and blocks of any
+length are read whole, and a raw element that is never closed, other than script
+and style, loses its start tag only. Formulas and fallback text are inline. Repeated rows give equal texts. Only the named
 columns are read.
 """
 
@@ -33,10 +35,16 @@ from pyspark.sql import DataFrame
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select option".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input object".split())
+INLINE |= frozenset("math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtext mtr munder munderover semantics".split())
+SPACED = frozenset("br mtd annotation annotation-xml".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select option".split())
+ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in RAW} | {
+    "select": re.compile(r"</select\b[^>]*>|(?=<select\b)", re.IGNORECASE),
+    "option": re.compile(r"</option\b[^>]*>|(?=</?(?:option|optgroup|datalist|select)\b)", re.IGNORECASE),
+}
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
-FENCE = frozenset("ul ol dl table article section div aside nav header footer main form blockquote body td th".split())
+FENCE = frozenset("ul ol dl table article section div aside nav header footer main form blockquote body td th object".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -61,6 +69,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     path: tuple[str, ...] | None = None
     linked, links, at, n = 0, 0, 0, len(page)
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal path, linked
@@ -85,13 +94,21 @@ def blocks_of(page: str) -> list[Block]:
                     linked += len(text.strip())
             continue
         name = name.lower()
-        if name in RAW or name == "head":
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>|(?=<body\b)" if name == "head" else rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
-            if name not in ("select", "option"):
-                continue
-        if name == "br":
+        if name == "head":
+            continue
+        if name in RAW:
+            if not m[1] and not m[3].endswith("/") and name not in endless:
+                end = ENDS[name].search(page, at)
+                if end:
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = n
+                else:
+                    endless.add(name)
+            if name in ("select", "option"):
+                flush()
+            continue
+        if name in SPACED:
             parts.append(" ")
             continue
         inline = name in INLINE

@@ -203,6 +203,30 @@ def test_blocks():
     assert html_text.blocks_of("<p>" * 3000 + "x")[-1].text == "x" and html_text.blocks_of("<script>never closed")[0:] == []
 
 
+def test_nothing_after_unclosed_elements_is_lost():
+    texts = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert texts("<html><head><title>T</title><meta charset=x><p>article<p>more") == ["article", "more"]
+    assert texts("<head><title>T</title><style>a{}</style>\n open text<p>more</head>") == ["open text", "more"]
+    for after in ("", "<select><option>last</option></select>"):
+        assert texts(f"<datalist><option value=a>x<option value=b>y</datalist><p>article</p>{after}") == ["article"]
+        assert texts(f"<select><option>x<optgroup><option>y</select><p>article</p>{after}") == ["article"]
+    for name in ("noscript", "iframe", "object", "textarea", "svg", "template", "title", "select", "option"):
+        assert texts(f"<p>before</p><{name} id=x><p>article</p><p>more</p>") == ["before", "article", "more"], name
+    assert texts("<p>a</p><style>b{}<p>c</p>") == ["a"] and texts("<noscript>a</noscript>b<iframe>c</iframe>") == ["b"]
+    many = html_text.blocks_of("<p>a</p><iframe>" * 20000)
+    assert len(many) == 20000
+
+
+def test_formulas_and_fallback_stay_in_their_block():
+    blocks = html_text.blocks_of("<article><p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> be <object data=f>a <b>plot</b></object> here.</p><p>Next.</p></article>")
+    assert [b.text for b in blocks] == ["Let x=12 be a plot here.", "Next."] and blocks[0].path == blocks[1].path == ("article", "p")
+    assert [b.text for b in html_text.blocks_of("<p>A <object><p>B</p></object><math><mtable><mtr><mtd>1</mtd><mtd>0</mtd></mtr></mtable></math>")] == ["A", "B", "1 0"]
+
+
+def test_paths_after_a_skipped_select():
+    assert html_text.blocks_of("<div><select><option>a</select><p>b</p></div>")[0].path == ("div", "p")
+
+
 def test_labeller_holds_out():
     blocks, labels = html_text.training_set(120, seed=977)
     found = html_text.train().label(blocks)
