@@ -559,14 +559,33 @@ def _blocked(parted: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near copies: of each component the smallest doc_id stays.
 
-    Of rows that repeat in all columns one stays; other rows of one doc_id stay
-    or go together. Rows without doc_id stay.
+    Of rows that repeat in all columns one stays. Other rows of one doc_id count
+    by their own text: each goes only if a near copy of it has a smaller doc_id.
+    Rows without doc_id stay.
     """
-    gone = classes(docs, words, percent, doc_id, text).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    hashed = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"))
+    repeats = hashed.groupBy("d").agg(F.count(F.lit(1)).alias("n"), (F.min("h") != F.max("h")).alias("mixed"))
+    repeats = repeats.agg(F.max("n").alias("n"), F.max("mixed").alias("mixed")).first()
+    if repeats["mixed"]:
+        left = _left_by_row(docs, words, percent, doc_id, text)
+    else:
+        gone = classes(docs, words, percent, doc_id, text).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+        left = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
     same = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_same")
-    if not docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id, same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+    if (repeats["n"] or 0) < 2 or not docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id, same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         return left  # no row repeats, so whole rows needn't be sorted
     order = Window.partitionBy(doc_id, "_same").orderBy("_same")
     left = left.withColumn("_same", same).withColumn("_copy", F.row_number().over(order))
     return left.where(F.col(doc_id).isNull() | (F.col("_copy") == 1)).drop("_same", "_copy")
+
+
+def _left_by_row(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """What stays of ``docs`` where texts differ within a doc_id: components are
+    found over numbered rows, as one doc_id may stand in several."""
+    rows = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    named = rows.where(F.col(doc_id).isNotNull())
+    found = classes(named, words, percent, "_row", text).select(F.col("doc_id").alias("_row"), "component_id")
+    found = found.join(named.select("_row", F.col(doc_id).cast("long").alias("doc_id")), "_row")
+    least = common.group_min(found, ["component_id"], "doc_id", "least", "copies")
+    gone = common.stage(least.where("doc_id <> least").select("_row"), "jaccard-gone")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)

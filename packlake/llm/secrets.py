@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from packlake.llm import common
+
 # The base patterns and their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -272,5 +274,6 @@ def without_secrets(docs: DataFrame, text: str = "text", mask: str = "[secret]")
         for batch in batches:
             column = pa.array([redact(v.as_py()) for v in batch.column(at)], batch.column(at).type)
             yield pa.RecordBatch.from_arrays([column if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
+        common.release()
 
     return docs.mapInArrow(run, docs.schema)

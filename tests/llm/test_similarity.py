@@ -92,6 +92,15 @@ def test_repeats_nulls_and_nothing(spark):
     assert jaccard.one_of_each(twice).count() == 1
 
 
+def test_rows_of_one_doc_id_go_by_their_own_text(spark):
+    near, lone = " ".join(f"w{i}" for i in range(40)), " ".join(f"x{i}" for i in range(40))
+    other = " ".join(f"y{i}" for i in range(40))
+    rows = [(2, near), (5, near + " more"), (5, lone), (5, lone), (7, lone + " more"), (7, other), (9, None), (9, near), (None, near), (8, other + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = sorted(map(tuple, jaccard.one_of_each(docs).collect()), key=str)
+    assert left == sorted([(2, near), (5, lone), (7, other), (9, None), (None, near)], key=str)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_divide_skip_equals_brute_force(seed):
     rng = np.random.default_rng(seed)
