@@ -8,9 +8,10 @@ of packings evolves: crossover injects whole well-filled bins of one parent
 into the other, bins that would then hold a piece twice are opened, and the
 pieces they lose are placed again best-fit. Between epochs each island's elite
 bins, as lists of lengths, migrate to the next island, which builds them from
-its own pieces of those lengths. Bins that are full stay; the pieces of an
-island's worst bins, at most a quarter of it, are pooled on fewer islands, until
-one holds the rest: no piece is dropped and only the last island's waste is left.
+its own pieces of those lengths. The pieces of an island's emptiest bins, at most
+a quarter of it, are pooled on fewer islands, until one holds the rest; all other
+bins are closed, full or not. No piece is dropped, but each level may leave waste
+in the bins it closes, and the number of sequences may depend on that of islands.
 
 Null and empty texts are one piece with the end id only. Repeated rows and ids
 are pieces of their own. Only the named columns are read; an empty table gives
