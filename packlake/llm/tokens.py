@@ -6,7 +6,12 @@ encoded once by the library; what it gave is remembered in Arrow arrays. A text
 where white space meets a space is encoded whole. Both give the ids of encoding
 the whole text.
 
-Null texts count as empty and have no ids. Repeated rows are encoded alike.
+The ids are the library's own. A tokenizer file (``.json``) may list added tokens,
+which the library finds in any text: texts that hold one are encoded whole too.
+A rank file (``.tiktoken``) has none, so such strings are ordinary text there.
+
+Null texts count as empty and have no ids. Repeated rows are encoded alike, an
+empty table gives no rows, and only the named columns are read.
 Texts are encoded whole; memory follows the longest text and ``SLICE_BYTES``.
 """
 
@@ -15,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -86,7 +92,11 @@ class Bpe:
         else:
             self.lib = Tokenizer.from_file(path)
             vocab = self.lib.get_vocab()
-        self.lib.encode_special_tokens = True
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        if any(" " in t for t in added) or self.lib.normalizer is not None:
+            self.whole = ""  # a token or a normalizer may reach over a cut, so no text is cut
+        else:
+            self.whole = "|".join([WHOLE, *(re.escape(t) for t in added if t)])
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
@@ -120,7 +130,7 @@ class Bpe:
         return places
 
     def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        whole = pc.match_substring_regex(texts, WHOLE)
+        whole = pc.match_substring_regex(texts, self.whole)
         odd = np.flatnonzero(np.asarray(whole))
         mark, none = pa.scalar(MARK, pa.large_string()), pa.scalar("", pa.large_string())
         split = pc.split_pattern(pc.binary_join_element_wise(mark, pc.if_else(whole, none, texts) if len(odd) else texts, none), " ")
