@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -138,15 +139,14 @@ def test_components(spark):
 def plain_topk(rows, k, every):
     import math
 
-    sound = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    queries = {}
-    for i, v in sound:
-        if i % every == 0:
-            queries[i] = min(queries.get(i, v), v)
+    whole = lambda v: [math.floor(256 * Fraction(x)) for x in v]
+    clean = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    sound = [(i, whole(v)) for i, v in clean]
+    queries = {i: whole(min(v for j, v in clean if j == i)) for i, _ in clean if i % every == 0}
     out = {}
     for q, a in queries.items():
         scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in sound if i != q)
-        out[q] = [(r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
+        out[q] = [(r, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(scores[:k], 1)]
     return {q: v for q, v in out.items() if v}
 
 
@@ -168,6 +168,29 @@ def test_topk_of_few_and_none(spark):
     assert topk.search(df.limit(0)).count() == 0 and topk.search(df.where("vec_id = 0")).count() == 0
 
 
+@pytest.mark.parametrize("kind,width,sizes", [("float", 200, (1e6,)), ("float", 200, (1.0, 2e6, 1e12)), ("double", 3, (1.0, 1e3, 1e9, 1e18))])
+def test_topk_of_large_components(spark, kind, width, sizes):
+    rng = np.random.default_rng(8)
+    cast = np.float32 if kind == "float" else np.float64
+    rows = [(i, [float(cast(x)) for x in rng.uniform(-1, 1, width) * sizes[i % len(sizes)]]) for i in range(60)]
+    rows += [(60 + i, rows[i + 1][1]) for i in range(7)] + [(70, [0.5])]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+    got = defaultdict(list)
+    for r in topk.search(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert dict(got) == plain_topk(rows, 5, 50)
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(9)
+    assert int(topk.floors(np.array([1.5e308]), 256.0)[0]) == 256 * int(1.5e308)
+    for size in (10, 2000, 1 << 22, 1 << 30, 1 << 40, 1 << 200):
+        a, b = (np.floor(rng.uniform(-1, 1, (4, 70)) * float(size)) for _ in range(2))
+        b[0] = 0
+        want = [[sum(int(x) * int(y) for x, y in zip(r, c)) for c in b] for r in a]
+        assert topk.products(a, b).tolist() == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from packlake.llm import common, quality, secrets
