@@ -5,17 +5,20 @@ candidates and reports them only if the bytes parse: private keys in DER
 (PKCS #1, PKCS #8, SEC 1) or OpenSSH form, whose nested lengths must tile the
 value, and signed tokens whose first part is a JSON header naming an algorithm.
 Keys in base64 may be wrapped at any width, by line breaks or by "\\n" and
-"\\r\\n" written out; each line may start one, whatever stands on the line before.
+"\\r\\n" written out, with indented lines; one may start at any character of a run,
+and hex at any digit.
 
-Null and empty texts have no spans. Repeated rows are scanned each by itself;
-other columns are not read. Texts are scanned whole, one at a time, so memory
-follows the longest text.
+Null and empty texts have no spans, and an empty table gives no rows. Repeated
+rows are scanned each by itself; other columns are not read. Texts are scanned
+whole, one at a time, so memory follows the longest text; time follows its length,
+as each run of base64 is decoded at most once for each of its four phases.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -32,13 +35,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "key", "jwt")
 
-# A line starts after any other character or a written-out break; DER of a key begins with 0x30.
-KEY_START = re.compile(r"(?:M(?=[A-P])|b(?=3Bl))(?:(?<![A-Za-z0-9+/_-].)|(?<=\\n.))")
-LINE = re.compile(r"[A-Za-z0-9+/_-]+")
-BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)(?=[A-Za-z0-9+/_-])")
+# DER of a key begins with 0x30 and a length of one byte, or 0x81 to 0x84 before it; an OpenSSH key with its name.
+KEY_START = re.compile(r"M(?=[A-H]|I[E-T])|b(?=3Bl)")
+LINE = re.compile(r"[A-Za-z0-9+/_-]++")
+BREAK = re.compile(r"(?:\r?\n|(?:\\{1,2}r)?\\{1,2}n)[\x20\t]*+(?=[A-Za-z0-9+/_-])")
 PADDING = re.compile(r"={0,2}")
 LEAST_KEY = 27  # bytes: SEC 1 of a 160-bit key without parameters
-HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){32,}")
+MOST_PARTS = 16  # items of a key: PKCS #1 has ten, the others fewer
+HEX_START = re.compile(rb"0|openssh-key-v1\0")
+HEX_RUN = re.compile(r"[0-9a-fA-F]{64,}+")
 # The second and third part; the first is read backwards from the dot, so that each part is tried as a first one.
 TOKEN_REST = re.compile(r"\.(?=([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]{8,}+))")
 
@@ -70,57 +75,62 @@ def der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 
 
 def der_children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The items that tile a constructed value, or None."""
+    """The items that tile a constructed value, or None; also where they are
+    more than any key has."""
     out = []
     while at < end:
         item = der_item(data, at, end)
-        if item is None:
+        if item is None or len(out) == MOST_PARTS:
             return None
         out.append(item)
         at = item[2]
     return out
 
 
-def der_key(data: bytes) -> int:
-    """Length of the private key in DER that ``data`` begins with, or 0."""
-    top = der_item(data, 0, len(data))
+def der_key(data: bytes, at: int = 0, end: int | None = None) -> int:
+    """Length of the private key in DER that stands at ``at``, or 0."""
+    end = len(data) if end is None else end
+    top = der_item(data, at, end)
     if top is None or top[0] != 0x30:
         return 0
     parts = der_children(data, top[1], top[2])
     if not parts:
         return 0
-    tags = [p[0] for p in parts]
+    tags, size = [p[0] for p in parts], top[2] - at
     small = tags[0] == 0x02 and parts[0][2] - parts[0][1] == 1 and data[parts[0][1]] <= 1
     named = lambda p: (x := der_children(data, p[1], p[2])) and x[0][0] == 0x06
     if small and len(tags) >= 9 and set(tags[:9]) == {0x02}:
-        return top[2]
+        return size
     if small and len(tags) >= 3 and tags[1:3] == [0x30, 0x04] and named(parts[1]):
         inner = der_item(data, parts[2][1], parts[2][2])
-        return top[2] if inner and inner[0] in (0x30, 0x04) and inner[2] == parts[2][2] else 0
+        return size if inner and inner[0] in (0x30, 0x04) and inner[2] == parts[2][2] else 0
     if small and len(tags) >= 2 and tags[1] == 0x04 and parts[1][2] - parts[1][1] in (20, 24, 28, 32, 48, 66) and set(tags[2:]) <= {0xA0, 0xA1}:
-        return top[2]
+        return size
     if len(tags) == 2 and tags == [0x30, 0x04] and named(parts[0]):
-        return top[2]
+        return size
     return 0
 
 
-def openssh_key(data: bytes) -> int:
-    """Length of the OpenSSH private key that ``data`` begins with, or 0."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
+MAGIC = b"openssh-key-v1\0"
+
+
+def openssh_key(data: bytes, at: int = 0, end: int | None = None) -> int:
+    """Length of the OpenSSH private key that stands at ``at``, or 0."""
+    start, end = at, len(data) if end is None else end
+    if not data.startswith(MAGIC, at, end):
         return 0
-    at = len(magic)
+    at += len(MAGIC)
 
     def field(at: int) -> int:
-        if at + 4 > len(data):
+        if at + 4 > end:
             return -1
-        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
-        return end if end <= len(data) else -1
+        stop = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        return stop if stop <= end else -1
 
     for _ in range(3):
         if (at := field(at)) < 0:
             return 0
-    if at + 4 > len(data):
+    if at + 4 > end:
         return 0
     keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     if not 1 <= keys <= 16:
@@ -128,11 +138,11 @@ def openssh_key(data: bytes) -> int:
     for _ in range(keys + 1):
         if (at := field(at)) < 0:
             return 0
-    return at
+    return at - start
 
 
-def key_length(data: bytes) -> int:
-    return der_key(data) or openssh_key(data)
+def key_length(data: bytes, at: int = 0, end: int | None = None) -> int:
+    return der_key(data, at, end) or openssh_key(data, at, end)
 
 
 def _base64(text: str) -> bytes:
@@ -152,59 +162,105 @@ def _json(part: str) -> object:
         return None
 
 
-def _characters(text: str, at: int, count: int) -> tuple[str, int]:
-    """Up to ``count`` base64 characters from ``at`` on, over line breaks, and where they end."""
-    out = []
-    while m := LINE.match(text, at, at + count):
-        out.append(m[0])
-        count, at = count - len(m[0]), m.end()
-        if not count or not (m := BREAK.match(text, at)):
-            break
-        at = m.end()
-    return "".join(out), at
-
-
-def key_end(text: str, at: int) -> int:
-    """Where the base64 characters end of the key that starts at ``at``, or 0."""
-    head = _base64(_characters(text, at, 8)[0])
-    if head[:1] == b"0" and len(head) == 6:
-        count = head[1] & 0x7F if head[1] & 0x80 else 0
-        size = 2 + count + (int.from_bytes(head[2 : 2 + count], "big") if count else head[1])
-        if count > 4 or not LEAST_KEY <= size <= len(text):
-            return 0
-        chars, end = _characters(text, at, -(-size * 4 // 3))
-        return end if der_key(_base64(chars)) == size else 0
-    if head != b"openss":
-        return 0
-    size = openssh_key(_base64(_characters(text, at, len(text))[0]))
-    return _characters(text, at, -(-size * 4 // 3))[1] if size else 0
+class Run:
+    """Base64 characters from a place of the text on, over line breaks."""
+
+    def __init__(self, text: str, at: int):
+        self.starts, self.offsets, parts, held = [], [0], [], 0
+        while m := LINE.match(text, at):
+            self.starts.append(m.start())
+            parts.append(m[0])
+            held += len(m[0])
+            self.offsets.append(held)
+            at = self.end = m.end()
+            if not (m := BREAK.match(text, at)):
+                break
+            at = m.end()
+        self.chars = "".join(parts).replace("-", "+").replace("_", "/")
+        self.phases: dict[int, bytes] = {}
+        self.last: dict[int, int] = {}
+
+    def line(self, offset: int) -> int:
+        return bisect.bisect_right(self.offsets, offset) - 1
+
+    def place(self, offset: int) -> int:
+        """Where in the text the character ``offset`` stands."""
+        k = self.line(offset)
+        return self.starts[k] + offset - self.offsets[k]
+
+    def offset(self, place: int) -> int:
+        k = bisect.bisect_right(self.starts, place) - 1
+        return self.offsets[k] + place - self.starts[k]
+
+    def after_key(self, offset: int) -> int:
+        """The offset after the key that starts at ``offset``, or 0."""
+        phase = offset % 4
+        if phase not in self.phases:
+            chars = self.chars[phase:]
+            self.phases[phase] = base64.b64decode(chars + "A" * (-len(chars) % 4))
+        end = (len(self.chars) - phase) * 3 // 4
+        at = (offset - phase) // 4 * 3
+        size = key_length(self.phases[phase], at, end) if end - at >= LEAST_KEY else 0
+        return offset - (-size * 4 // 3) if size else 0
+
+    def after_keys(self, offset: int) -> int:
+        """The offset after all keys that follow each other from ``offset`` on."""
+        seen = []
+        while offset not in self.last and (after := self.after_key(offset)):
+            seen.append(offset)
+            offset = after
+        end = self.last.get(offset, offset)
+        for x in seen:
+            self.last[x] = end
+        return end
 
 
 def base64_keys(text: str) -> list[Span]:
-    """Keys in base64 from a line's start or right after another key. What holds
-    one line only must end with a key."""
+    """Keys in base64, also several in a row. What holds one line only must end
+    with a key."""
     out: list[Span] = []
-    done = 0
+    done, run = 0, None
     for m in KEY_START.finditer(text):
         if m.start() < done:
             continue
-        found, at = [], m.start()
-        while end := key_end(text, at):
-            found.append(("key", at, PADDING.match(text, end).end()))
-            at = end
-        if found and (not LINE.match(text, at, at + 1) or BREAK.match(text, LINE.match(text, m.start()).end())):
-            out += found
-            done = found[-1][2]
+        if run is None or m.start() >= run.end:
+            run = Run(text, m.start())
+        at = run.offset(m.start())
+        if len(run.chars) - at < LEAST_KEY * 4 // 3 or (end := run.after_keys(at)) == at:
+            continue
+        inside = end < len(run.chars) and run.line(end) == run.line(end - 1)
+        if inside and run.line(at) == len(run.starts) - 1:
+            continue
+        while at < end:
+            after = run.after_key(at)
+            stop = run.place(after - 1) + 1
+            out.append(("key", run.place(at), PADDING.match(text, stop).end()))
+            at, done = after, out[-1][2]
+    return out
+
+
+def hex_keys(text: str) -> list[Span]:
+    """Keys in hex that end with their run of digits."""
+    out = []
+    for m in HEX_RUN.finditer(text):
+        found = None
+        for phase in (0, 1):
+            digits = m[0][phase:]
+            data = bytes.fromhex(digits[: len(digits) // 2 * 2])
+            for start in HEX_START.finditer(data):
+                at = start.start()
+                if len(data) - at >= LEAST_KEY and key_length(data, at) == len(data) - at:
+                    place = m.start() + phase + 2 * at
+                    found = min(found or (len(text), 0), (place, place + 2 * (len(data) - at)))
+                    break
+        if found:
+            out.append(("key", *found))
     return out
 
 
 def confirmed_spans(text: str) -> list[Span]:
     """Candidates whose decoded bytes parse as a key or a signed token."""
-    out = base64_keys(text)
-    for m in HEX_RUN.finditer(text):
-        data = bytes.fromhex(m[0])
-        if key_length(data) == len(data):
-            out.append(("key", m.start(), m.end()))
+    out = base64_keys(text) + hex_keys(text)
     for m in TOKEN_REST.finditer(text):
         at = m.start()
         while at and (c := text[at - 1]).isascii() and (c.isalnum() or c in "_-"):

@@ -3,16 +3,19 @@ n-grams of host and path.
 
 The rules and the split into host and path are SQL expressions. Rows that no
 rule fits are judged by the model, which is fitted on the driver from the small
-labelled table below (the whole table, no sampling) and sent to the executors
-as one fixed-size vector of weights.
+labelled table that ``labelled`` makes (the whole table, no sampling) and sent to
+the executors as one fixed-size vector of weights.
 
 A null url, or one without ``://``, has an empty host and path; no rule fits
-it and the model judges it by its bias, which is on the side of allow. Repeated
-rows are judged alike. Only the named columns are read.
+it, and as it gives the model nothing to judge it is allowed. Repeated rows are
+judged alike, and urls of any length whole. An empty table gives no rows. Only the
+two named columns are read.
 """
 
 from __future__ import annotations
 
+import functools
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,22 +46,49 @@ RULES = (
     UrlRule("block", "net", "/fr/"),
 )
 
-#: Labelled URLs, 1 = block. Hosts and paths are invented.
-LABELLED = tuple(
-    [(f"{sub}{host}.example.{top}", f"/{lang}/{page}", 1) for sub, lang, page in (("", "en", "12"), ("www.", "de", "7.html"), ("m.", "fr", "90/"), ("blog.", "es", "415")) for host, top in (
-        ("spam-farm", "org"), ("spamfarm", "net"), ("cheap-pills", "com"), ("buy-cheap-pills", "org"), ("pills4u", "net"), ("casino-win", "org"),
-        ("best-casino", "net"), ("free-money", "org"), ("xxx-cams", "org"), ("adult-cams", "net"), ("replica-watches", "org"), ("warez-crack", "net"),
-        ("payday-loan", "org"), ("click-spam", "org"), ("link-spam", "net"), ("spamfarm9", "org"), ("spam-farm3", "net"), ("seo-spam", "org"), ("viagra-shop", "org"), ("poker-bets", "net"), ("spamhub", "org"), ("spam4all", "net"), ("hotspam", "org"),
-        ("ads-server", "net"), ("ad-tracker", "org"), ("track-ads", "net"), ("sports-bets", "org"), ("bets-free", "net"), ("adult-chat", "org"), ("x-adult", "net"),
-    )]
-    + [(f"{sub}{host}.example.{top}", f"/{lang}/{page}", 0) for sub, lang, page in (("", "en", "685"), ("www.", "de", "97.html"), ("m.", "fr", "22/"), ("blog.", "es", "31"), ("", "en", "4")) for host, top in (
-        ("thther", "org"), ("therin", "net"), ("ththed", "org"), ("tiontion", "com"), ("ththst", "org"), ("thering", "net"), ("therand", "org"),
-        ("ththble", "org"), ("ththwh", "net"), ("therti", "org"), ("tionsh", "net"), ("ththen", "com"), ("library", "org"), ("university", "net"),
-        ("news", "org"), ("weather", "net"), ("museum", "org"), ("recipes", "org"), ("cityhall", "net"), ("farm", "org"), ("market", "net"),
-        ("farmers", "org"), ("garden", "net"), ("health", "org"), ("school", "org"), ("docs", "net"), ("free-library", "org"), ("shop", "net"),
-        ("anding", "org"), ("ererth", "net"), ("oronti", "org"), ("inedha", "net"), ("leaerst", "org"), ("thanand", "net"), ("hawhen", "org"), ("blendre", "org"), ("ouatsh", "net"), ("nderea", "org"),
-    )]
-)
+# The labelled table is made by rule from the words below. They are common words of
+# unwanted and of ordinary sites, and syllables; no host of any given table stands among them.
+BLOCK_WORDS = (
+    "casino poker slots jackpot roulette betting wager gamble bingo lottery pills pharma pharmacy viagra cialis meds steroid adult porn xxx sex cams escort nude hookup "
+    "warez crack keygen torrent serial cheats replica fakes rolex payday loans debt cash crypto coins profit spam linkfarm backlinks seo traffic clicks ads advert adserver popup tracker pixel affiliate banner prize winner win giveaway freebies"
+).split()
+BLOCK_ADDS = "free cheap best hot top buy fast easy super mega vip online now pro max live hub zone shop store deals 4u 24 777".split()
+ALLOW_WORDS = (
+    "library university college school museum gallery theatre weather news gazette journal herald recipes kitchen garden farm bakery hotel travel airport railway harbour "
+    "hospital clinic health doctor science physics biology history archive council parliament ministry court police city village county market store books music radio cinema "
+    "football tennis cycling hiking camera software docs forum wiki blog photos design studio bank insurance energy water forest bridge river mountain freedom orchestra harvest"
+).split()
+ALLOW_ADDS = "the my our north south east west city county national open public modern old new green blue daily weekly local".split()
+SYLLABLES = "al an ar ba be ber ca con da de del den di do el en er es fa fe for ga gen ha he hi il in is it ka la le lin lo ma me men mi mo na ne ner no on or pa per ra re ri ro sa se ser so st ste ta te ter th ti tion to tra un ur us ve ver wa we wi".split()
+BLOCK_LEAVES = "click?id= go/ out/ promo/ bonus/ signup/ track/ win/ offer/ deal/".split()
+ALLOW_LEAVES = "article/ about/ guide/ story/ history/ topic/ chapter/ report/ page/ lesson/".split()
+LABELLED_HOSTS = 1400
+
+
+def labelled(hosts: int = LABELLED_HOSTS, seed: int = 5) -> tuple[tuple[str, str, int], ...]:
+    """Host, path, label (1 = block); ``hosts`` of each class, one url each. Names
+    vary in form within each class; languages, numbers and subdomains carry no
+    label, while some paths do."""
+    rng = random.Random(seed)
+    pick = rng.choice
+
+    def name(words: list[str], adds: list[str]) -> str:
+        word, add, other = pick(words), pick(adds), pick(words)
+        return pick([word, word, f"{word}-{add}", f"{add}-{word}", f"{word}{add}", f"{add}{word}", f"{word}-{other}", f"{word}{rng.randint(1, 99)}"])
+
+    def url(host: str, leaves: list[str], label: int) -> tuple[str, str, int]:
+        sub, top = pick(["", "", "www.", "m.", "blog."]), pick(["com", "net", "org"])
+        number = str(rng.randrange(10 ** rng.randint(1, 5)))
+        leaf = pick([number, number, number + ".html", number + "/", pick(leaves).split("?")[0] + number])
+        return f"{sub}{host}.{pick(['example.', '', ''])}{top}", f"/{pick(['en', 'de', 'fr', 'es'])}/{leaf}", label
+
+    out = []
+    for _ in range(hosts):
+        out.append(url(name(BLOCK_WORDS, BLOCK_ADDS), BLOCK_LEAVES, 1))
+        made = "".join(pick(SYLLABLES) for _ in range(rng.randint(2, 5)))
+        out.append(url(made if rng.random() < 0.5 else name(ALLOW_WORDS, ALLOW_ADDS), ALLOW_LEAVES, 0))
+    return tuple(out)
+
 
 DIMENSIONS = 1 << 14
 GRAMS = (3, 4, 5)
@@ -93,28 +123,30 @@ class UrlModel:
         return float(self.weights[places].sum() / np.sqrt(max(1, len(places))))
 
     def score(self, host: str, path: str) -> float:
-        """Log-odds of block."""
-        return self.bias + self.part(host, "h") + self.part(path, "p")
+        """Log-odds of block; 0 where there is nothing to judge."""
+        return self.bias + self.part(host, "h") + self.part(path, "p") if host or path else 0.0
 
 
-def fit(labelled: tuple[tuple[str, str, int], ...] = LABELLED, rounds: int = 2500, rate: float = 1.0, decay: float = 1e-3) -> UrlModel:
+@functools.cache
+def fit(table: tuple[tuple[str, str, int], ...] | None = None, rounds: int = 400, rate: float = 1.0, decay: float = 1e-4) -> UrlModel:
     """Logistic regression by full-batch gradient steps: the same weights on
     every run."""
-    x = np.zeros((len(labelled), DIMENSIONS))
-    for i, (host, path, _) in enumerate(labelled):
+    table = labelled() if table is None else table
+    x = np.zeros((len(table), DIMENSIONS), np.float32)
+    for i, (host, path, _) in enumerate(table):
         for places, value in features(host, path):
             np.add.at(x[i], places, value)
-    y = np.array([label for *_, label in labelled], float)
+    y = np.array([label for *_, label in table], np.float32)
     used = np.flatnonzero(x.any(axis=0))
-    x, w, b = x[:, used], np.zeros(len(used)), -1.0
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    x, w, b = x[:, used], np.zeros(len(used), np.float32), 0.0
+    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
     for _ in range(rounds):
-        error = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
-        w -= rate * 20 * (x.T @ error) + rate * decay * w
-        b -= rate * 0.2 * error.sum()
+        error = (1 / (1 + np.exp(-(x @ w + np.float32(b)))) - y) * share
+        w -= np.float32(rate * 20) * (x.T @ error) + np.float32(rate * decay) * w
+        b -= rate * 0.2 * float(error.sum())
     weights = np.zeros(DIMENSIONS)
     weights[used] = w
-    return UrlModel(weights, float(min(b, -0.1)))
+    return UrlModel(weights, float(b))
 
 
 def host_of(url: Column) -> Column:
@@ -156,7 +188,7 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, model: UrlModel
                     if len(hosts) >= 100_000:
                         hosts.clear()
                     h = hosts[host] = model.part(host, "h")
-                score = model.bias + h + model.part(path, "p")
+                score = model.bias + h + model.part(path, "p") if host or path else 0.0
                 scores.append(score)
                 verdicts.append(verdict or ("block" if score > 0 else "allow"))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
