@@ -1,5 +1,8 @@
 """Helpers shared by the training-data operators: the shared folder, staging
-of intermediate tables, range shards and skew-safe group minima."""
+of intermediate tables, range shards and skew-safe group minima.
+
+Null keys lie in the first shard. Helper columns take names that the input lacks.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +14,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Buckets of one refinement round of ``ranges_of``, and ranges it gives at most.
-RANGE_BUCKETS, MAX_RANGES = 4096, 1024
+#: Keys that one task of ``ranges_of`` adds up.
+RANGE_KEYS = 4_000_000
 #: A group's rows are dealt over this many salts before they meet.
 SALTS = 64
 
@@ -47,7 +50,29 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*staged: DataFrame | None) -> None:
+    """Delete what ``stage`` wrote, once nothing reads it any more; other tables stay."""
+    for df in staged:
+        path = getattr(df, "_staged", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, lengthened until none is among the columns ``taken``, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -97,79 +122,57 @@ def partitions(spark: SparkSession) -> int:
 
 @dataclass(frozen=True)
 class Ranges:
-    """Ranges of an integer key: ``edges`` are their lower bounds but the
-    first's, then the end; each is cut into ``parts`` equal shards."""
+    """Ranges of an integer key, in order: all but the first begin at an edge."""
 
-    low: int
     edges: tuple[int, ...]
-    parts: int = 1
+
+    @property
+    def shards(self) -> int:
+        return len(self.edges) + 1
 
 
-def ranges_of(df: DataFrame, key: str, weight: Column, shards: int) -> Ranges:
-    """Ranges that cut the key into about ``shards`` shards of equal weight, the
-    same on every run.
+def ranges_of(weights: DataFrame, shards: int) -> Ranges:
+    """Ranges that cut a key into at most ``shards`` shards of about equal weight,
+    the same on every run. ``weights`` has k, a long or null, and w.
 
-    Each round adds up the weights of ``RANGE_BUCKETS`` equal key intervals in
-    one aggregation over all rows; intervals that weigh more than a range are
-    refined in the next, so the driver sees a bounded histogram, never keys.
-    More shards than ``MAX_RANGES`` are equal cuts of the ranges.
+    Weights are added up in key order: per range partition, over the partitions
+    (one row each), then within each. A shard begins with the first key before
+    which its share of the weight lies, so the driver gets one key for each shard.
+    A key's rows stay in one shard.
     """
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), weight.cast("long").alias("w"))
-    low, high = rows.agg(F.min("k"), F.max("k")).first()
-    if low is None:
-        return Ranges(0, (1,))
-    parts = max(1, min(shards, MAX_RANGES))
-    spans, done, total = [(low, high + 1)], [], None
-    for _ in range(8):
-        share = max(1, RANGE_BUCKETS // len(spans))
-        steps = [(a, b, max(1, -(-(b - a) // share))) for a, b in spans]
-        bucket, index = F.lit(None).cast("long"), F.lit(None).cast("int")
-        for i, (a, b, step) in enumerate(steps):
-            inside = (F.col("k") >= a) & (F.col("k") < b)
-            bucket = F.when(inside, F.expr(f"cast((cast(k as decimal(20,0)) - {a}) div {step} as long)")).otherwise(bucket)
-            index = F.when(inside, F.lit(i)).otherwise(index)
-        found = rows.select(index.alias("i"), bucket.alias("b"), "w").where("i is not null").groupBy("i", "b").agg(F.sum("w").alias("w")).collect()
-        total = total or sum(r["w"] for r in found) or 1
-        spans = []
-        for r in sorted(found, key=lambda r: (r["i"], r["b"])):
-            a, b, step = steps[r["i"]]
-            start = a + r["b"] * step
-            end = min(b, start + step)
-            if r["w"] > total / parts and end - start > 1 and len(spans) < 64:
-                spans.append((start, end))
-            else:
-                done.append((start, r["w"]))
-        if not spans:
-            break
-    done.extend((a, 0) for a, _ in spans)
-    edges, filled, goal = [], 0, total / parts
-    for start, weight_here in sorted(done):
-        if filled >= goal * (len(edges) + 1) and start > low:
-            edges.append(start)
-        filled += weight_here
-    return Ranges(low, (*edges, high + 1), max(1, -(-shards // parts)))
+    rows = weights.where("k is not null").groupBy("k").agg(F.sum("w").alias("w"))
+    count = rows.count()
+    if not count:
+        return Ranges(())
+    tasks = max(1, -(-count // RANGE_KEYS))
+    placed = stage(rows.repartitionByRange(tasks, "k").withColumn("p", F.spark_partition_id()), "ranges")
+    parts = placed.groupBy("p").agg(F.sum("w").alias("whole"))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("base", F.coalesce(F.sum("whole").over(before), F.lit(0)))
+    total = parts.agg(F.sum("whole")).first()[0] or 1
+    inside = Window.partitionBy("p").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    done = placed.withColumn("done", F.coalesce(F.sum("w").over(inside), F.lit(0))).join(parts, "p")
+    shard = F.floor((F.col("base") + F.col("done")).cast("decimal(38,0)") * shards / F.lit(total).cast("decimal(38,0)"))
+    found = done.groupBy(shard.alias("shard")).agg(F.min("k").alias("k")).orderBy("k").collect()
+    discard(placed)
+    return Ranges(tuple(r["k"] for r in found[1:]))
 
 
 def shard_of(key: str, ranges: Ranges) -> Column:
     """The number of the shard that holds ``key``; nulls lie in the first.
 
-    The range is found by binary search in a literal array, halving by halving.
+    The edges are one literal array, in which the range is found by halving.
     """
-    edges = F.array(*[F.lit(e).cast("decimal(20,0)") for e in (ranges.low, *ranges.edges)])
     n, size = len(ranges.edges), 1
+    if not n:
+        return F.lit(0)
     while size < n:
         size *= 2
-    halves = [size >> i for i in range(size.bit_length())]
-    value = F.col(key).cast("decimal(20,0)")
-    place = F.aggregate(
-        F.array(*[F.lit(h) for h in halves]),
-        F.lit(0),
-        lambda at, step: F.when((at + step < n) & (F.get(edges, at + step) <= value), at + step).otherwise(at),
-    )
-    if ranges.parts == 1:
-        return F.when(value.isNull(), F.lit(0)).otherwise(place)
-    cut = F.transform(F.array(place), lambda at: at * ranges.parts + F.floor((value - F.get(edges, at)) * ranges.parts / (F.get(edges, at + 1) - F.get(edges, at))).cast("int")).getItem(0)
-    return F.when(value.isNull(), F.lit(0)).otherwise(cut)
+    edges = F.split(F.lit(",".join(map(str, ranges.edges))), ",").cast("array<bigint>")
+    halves = F.array(*[F.lit(size >> i) for i in range(size.bit_length())])
+    value = F.col(key).cast("long")
+    place = F.aggregate(halves, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(edges, at + step - 1) <= value), at + step).otherwise(at))
+    return F.when(value.isNull(), F.lit(0)).otherwise(place)
 
 
 def group_min(df: DataFrame, keys: list[str], value: str, out: str, count: str | None = None) -> DataFrame:
@@ -180,9 +183,10 @@ def group_min(df: DataFrame, keys: list[str], value: str, out: str, count: str |
     key and salt, and the group's minimum returns to each of its at most
     ``SALTS`` pairs of key and salt, so no task meets a whole group.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
-    some = salted.groupBy(*keys, "_salt").agg(F.min(value).alias("_least"), F.count(F.lit(1)).alias("_some"))
-    least = some.groupBy(*keys).agg(F.min("_least").alias(out), F.sum("_some").alias("_all"), F.collect_set("_salt").alias("_salts"))
-    more = [F.col("_all").alias(count)] if count else []
-    spread = least.select(*keys, out, *more, F.explode("_salts").alias("_salt"))
-    return salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
+    salt, less, some, every, salts = fresh([*df.columns, out, *([count] if count else [])], "salt", "least", "some", "all", "salts")
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    partial = salted.groupBy(*keys, salt).agg(F.min(value).alias(less), F.count(F.lit(1)).alias(some))
+    least = partial.groupBy(*keys).agg(F.min(less).alias(out), F.sum(some).alias(every), F.collect_set(salt).alias(salts))
+    more = [F.col(every).alias(count)] if count else []
+    spread = least.select(*keys, out, *more, F.explode(salts).alias(salt))
+    return salted.join(spread, [*keys, salt], "left").drop(salt)

@@ -26,7 +26,8 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, u: str = "u", v: str = "v", name: str = "components") -> DataFrame:
     """u, component: each vertex that an edge to another one touches, with the
-    least vertex of its component. Vertices are longs; edges may repeat."""
+    least vertex of its component. Vertices are longs; edges may repeat or join a
+    vertex to itself, which says nothing; no edges give no rows."""
     now = common.stage(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), name)
     mark = None
     while True:
@@ -34,6 +35,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", name: str = "compon
         if tuple(found) == mark:
             break
         mark = tuple(found)
-        now = common.stage(_small(_large(now)), name)
+        before, now = now, common.stage(_small(_large(now)), name)
+        common.discard(before)
     star = now.select("u", F.col("v").alias("component"))
     return star.unionByName(star.select(F.col("component").alias("u"), "component").distinct())

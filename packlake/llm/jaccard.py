@@ -21,14 +21,21 @@ Exact throughout: no sketches, no caps.
    in passes over its rows; its largest part and the rest are then searched as
    pairs of blocks, but for pairs within the largest part.
 
-A hot shingle of a batch (in more than ``HOT`` of its texts) is sent once with
-its count; which texts hold it stays in a side list of the batch. Groups of
-equal sets meet only in salted aggregations.
+A batch sends each shingle once: with the text that holds it, or with the number
+of its texts, where which ones they are stays in a side list of the batch. So the
+rows of the hottest shingle are no more than there are batches. Groups of equal
+sets meet only in salted aggregations.
+
+Shingles are compared by 64-bit hashes of their words. Two shingles that share a
+hash could add one to an overlap; among n different shingles that is expected to
+happen n**2 / 2**65 times (0.03 times in a billion), and a link is wrong only where
+such a pair also lies at the threshold.
 
 Null texts and texts without words have the empty set and no links. Rows that
 repeat a doc_id count as documents of their own and get the same component; rows
 without doc_id take the component of an equal text that has one, else none. Texts are
-hashed whole. Only the two named columns are read; an empty table gives no rows.
+hashed whole, of any length, each within one task. Only the two named columns are
+read, which must be unambiguous in any case of letters; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +53,7 @@ from pyarrow.fs import FileSelector
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from packlake.llm import common
 from packlake.llm.components import components
@@ -53,7 +61,8 @@ from packlake.llm.components import components
 WORDS, SIMILARITY = 5, 75
 #: A batch of the scan closes at so many shingles or texts.
 BATCH_SHINGLES, BATCH_TEXTS = 1_400_000, 60_000
-HOT, SIDE = 48, 0xFFFF
+#: Stands for the texts of a side list.
+SIDE = 0xFFFF
 #: In a larger group, texts are held against so many hubs, in so many rounds.
 HUBS, HUB_ROUNDS = 16, 4
 #: Texts with more copies than this are joined to their component by salts.
@@ -146,25 +155,21 @@ def _scan(docs: DataFrame, ranges: int, words: int) -> DataFrame:
             flat, text = flat[order], text[order]
             first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
             runs = np.diff(np.append(first, len(flat)))
-            hot = runs > HOT
-            side_hash, side_text = b"", b""
-            if hot.any():
-                inside = np.repeat(hot, runs)
-                side_hash, side_text = flat[inside].astype("<u8").tobytes(), text[inside].astype("<u2").tobytes()
-                keep = ~inside
-                keep[first[hot]] = True
-                marked = text.copy()
-                marked[first[hot]] = SIDE
-                flat, text = flat[keep], marked[keep]
+            many = runs > 1
+            inside = np.repeat(many, runs)
+            side = flat[first[many]].astype("<u8").tobytes() + runs[many].astype("<u4").tobytes() + text[inside].astype("<u2").tobytes()
+            flat, text, sent = flat[first], np.where(many, np.uint16(SIDE), text[first]), np.where(many, runs, 0).astype("<u2")
+            # ranges cut the hashes evenly, so a shingle's range follows from its high half
+            place = ((flat >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(flat) else np.zeros(0, np.int64)
             rows: list[tuple] = []
-            bounds = np.searchsorted(flat, [np.uint64(r * (1 << 64) // ranges) for r in range(1, ranges)])
-            for r, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(flat)], strict=True)):
-                if a < b:
-                    rows.append(("p", r, number, pack_sorted(flat[a:b]), text[a:b].astype("<u2").tobytes(), None))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(flat)], strict=False):
+                t = text[a:b]
+                rows.append(("p", int(place[a]), number, pack_sorted(flat[a:b]), t.astype("<u2").tobytes(), sent[a:b][t == SIDE].tobytes()))
             signature = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
             own = np.array(members, dtype=DOCUMENT).tobytes()
-            head = np.array([len(sets), len(side_hash) // 8], "<i8").tobytes()
-            rows.append(("d", number % ranges, number, zlib.compress(head + sizes.astype("<i8").tobytes() + signature, 1), side_hash + side_text, zlib.compress(own, 1)))
+            head = np.array([len(sets), int(many.sum())], "<i8").tobytes()
+            rows.append(("d", number % ranges, number, zlib.compress(head + sizes.astype("<i8").tobytes() + signature, 1), zlib.compress(side, 1), zlib.compress(own, 1)))
             for at in range(0, len(rows), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 16], strict=True), schema, strict=True)], schema=schema)
             sets, seen, members, held, number = [], {}, [], 0, number + 1
@@ -220,7 +225,9 @@ def _count(messages: DataFrame) -> DataFrame:
         ordered = flat[order]
         first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         group = np.cumsum(first) - 1
-        weight = np.where(text[order] == SIDE, HOT + 1, 1)
+        weight = np.ones(len(text), np.int64)
+        weight[text == SIDE] = np.concatenate([np.frombuffer(x, "<u2") for x in posts["docs"]])
+        weight = weight[order]
         count = np.bincount(group, weight).astype(np.int64)[group]
         shared = count > 1
         order, count = order[shared], np.minimum(count[shared], 0xFFFFFFFF)
@@ -260,13 +267,13 @@ def _texts(answers: DataFrame, percent: int) -> DataFrame:
             t = np.concatenate([np.frombuffer(x, "<u2") for x in told["texts"]]).astype(np.int64)
             c = np.concatenate([np.frombuffer(x, "<u4") for x in told["docs"]]).astype(np.int64)
             if sided:
-                side_hash = np.frombuffer(own["texts"], "<u8", sided)
-                side_text = np.frombuffer(own["texts"], "<u2", sided, 8 * sided)
+                side = zlib.decompress(own["texts"])
+                side_hash, held = np.frombuffer(side, "<u8", sided), np.frombuffer(side, "<u4", sided, 8 * sided).astype(np.int64)
+                side_text = np.frombuffer(side, "<u2", -1, 12 * sided)
                 marks = np.flatnonzero(t == SIDE)
-                marks = marks[np.argsort(h[marks])]
-                count = c[marks][np.searchsorted(h[marks], side_hash)]
+                marks = marks[np.argsort(h[marks])]  # each shingle of the side list is shared, so each was answered
                 keep = t != SIDE
-                h, t, c = np.concatenate([h[keep], side_hash]), np.concatenate([t[keep], side_text]), np.concatenate([c[keep], count])
+                h, t, c = np.concatenate([h[keep], np.repeat(side_hash, held)]), np.concatenate([t[keep], side_text]), np.concatenate([c[keep], np.repeat(c[marks], held)])
             order = np.lexsort((h, c, t))
             h, t = h[order], t[order]
             ends = np.searchsorted(t, np.arange(n + 1))
@@ -467,15 +474,18 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_
     links = _search(_blocked(parted), percent)
     links = links if hub_links is None else links.unionByName(hub_links)
     linked = components(links, name="jaccard-links").withColumnsRenamed({"u": "id", "component": "component_id"})
+    copies = common.stage(partners.select("id", "copies"), "jaccard-copies")
+    common.discard(partners, weighed)
 
     # members of one text share its id, and a text may be a third of all rows: those of many copies join by salted ids
     hot = F.col("copies") > MANY_COPIES
     salts = F.sequence(F.lit(0), F.when(hot, F.lit(common.SALTS - 1)).otherwise(F.lit(0)))
-    spread = linked.join(partners.select("id", "copies"), "id").select("id", "component_id", F.explode(salts).alias("salt"))
+    spread = linked.join(copies, "id").select("id", "component_id", F.explode(salts).alias("salt"))
     salt = F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(common.SALTS)).cast("int")).otherwise(F.lit(0))
     named_rows = members.withColumn("salt", salt).join(spread, ["id", "salt"], "left")
     out = named_rows.select("doc_id", "n_shingles", F.coalesce("component_id", "id", "doc_id").alias("component_id"))
-    alone = found.where("signature is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = common.stage(found.where("signature is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")), "jaccard-alone")
+    common.discard(found)
     return out.unionByName(alone)
 
 
@@ -499,7 +509,9 @@ def _hubs(weighed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None
         left.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= HUBS).select("group", "id", "n_shingles", "shared").write.parquet(path)
         found = common.stage(_against(left, path, percent), "jaccard-hub-links")
         links = found if links is None else links.unionByName(found)
-        left = common.stage(left.join(found.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_anti"), "jaccard-left")
+        before, left = left, common.stage(left.join(found.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_anti"), "jaccard-left")
+        if before is not big:
+            common.discard(before)
     tied = components(links, name="jaccard-hub-ties").withColumnsRenamed({"u": "id", "component": "part"})
     parts = big.join(tied, "id", "left").withColumn("part", F.coalesce("part", "id"))
     return alone.join(large, "group", "left_anti").unionByName(parts.select(alone.columns)), links
@@ -561,31 +573,38 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY,
 
     Of rows that repeat in all columns one stays. Other rows of one doc_id count
     by their own text: each goes only if a near copy of it has a smaller doc_id.
-    Rows without doc_id stay.
+    Rows without doc_id stay, as do all columns of the input, whatever their names.
+    Null and empty texts have no copies; an empty table gives no rows.
     """
+    if not docs.schema:
+        return docs
+    gone_id, same, copy = common.fresh(docs.columns, "gone", "same", "copy")
     hashed = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("h"))
     repeats = hashed.groupBy("d").agg(F.count(F.lit(1)).alias("n"), (F.min("h") != F.max("h")).alias("mixed"))
     repeats = repeats.agg(F.max("n").alias("n"), F.max("mixed").alias("mixed")).first()
     if repeats["mixed"]:
         left = _left_by_row(docs, words, percent, doc_id, text)
     else:
-        gone = classes(docs, words, percent, doc_id, text).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-        left = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
-    same = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_same")
-    if (repeats["n"] or 0) < 2 or not docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id, same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        return left  # no row repeats, so whole rows needn't be sorted
-    order = Window.partitionBy(doc_id, "_same").orderBy("_same")
-    left = left.withColumn("_same", same).withColumn("_copy", F.row_number().over(order))
-    return left.where(F.col(doc_id).isNull() | (F.col("_copy") == 1)).drop("_same", "_copy")
+        gone = classes(docs, words, percent, doc_id, text).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+        left = docs.join(gone, docs[doc_id] == gone[gone_id], "left_anti")
+    if (repeats["n"] or 0) < 2:
+        return left  # no row repeats, so whole rows needn't be compared
+    # a digest of the whole row; maps have no order, so they are compared as sorted entries
+    parts = [F.struct(F.array_sort(F.map_entries(F.col(f"`{f.name}`")))) if isinstance(f.dataType, MapType) else F.struct(F.col(f"`{f.name}`")) for f in docs.schema]
+    whole = F.sha2(F.concat_ws("\x1f", *[F.to_json(p, {"ignoreNullFields": "false"}) for p in parts]), 256)
+    order = Window.partitionBy(doc_id, same).orderBy(same)
+    left = left.withColumn(same, whole).withColumn(copy, F.row_number().over(order))
+    return left.where(F.col(doc_id).isNull() | (F.col(copy) == 1)).drop(same, copy)
 
 
 def _left_by_row(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """What stays of ``docs`` where texts differ within a doc_id: components are
     found over numbered rows, as one doc_id may stand in several."""
-    rows = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    (row,) = common.fresh(docs.columns, "row")
+    rows = common.stage(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
     named = rows.where(F.col(doc_id).isNotNull())
-    found = classes(named, words, percent, "_row", text).select(F.col("doc_id").alias("_row"), "component_id")
-    found = found.join(named.select("_row", F.col(doc_id).cast("long").alias("doc_id")), "_row")
+    found = classes(named, words, percent, row, text).select(F.col("doc_id").alias("row"), "component_id")
+    found = found.join(named.select(F.col(row).alias("row"), F.col(doc_id).cast("long").alias("doc_id")), "row")
     least = common.group_min(found, ["component_id"], "doc_id", "least", "copies")
-    gone = common.stage(least.where("doc_id <> least").select("_row"), "jaccard-gone")
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    gone = common.stage(least.where("doc_id <> least").select(F.col("row").alias(row)), "jaccard-gone")
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

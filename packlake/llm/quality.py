@@ -3,10 +3,11 @@
 All measures are SQL expressions of the text alone, so the plan is a scan and
 a projection: no shuffle, no user function.
 
-Null and empty texts have no words, every measure is 0 and they fail. Repeated
-rows are judged alike, each by itself; further columns pass through ``judge``
-untouched, but own columns named like a measure give way to it. ``keep`` returns
-the input's columns as they are.
+Null and empty texts have no words, every measure is 0 and they fail. Texts are
+read whole, whatever their length. Repeated rows are judged alike, each by itself,
+and an empty table gives no rows. Further columns pass through ``judge`` untouched,
+but own columns named like a measure, ``base_failed`` or ``kept`` give way to it.
+``keep`` returns the input's columns as they are.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packlake.llm import common
+
 WHITE = " \t\n\x0b\x0c\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -117,8 +120,10 @@ def _ratios(of: Callable[[str], Column]) -> dict[str, Column]:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measures; own columns of their names give way to them."""
     value = F.coalesce(F.col(text), F.lit(""))
-    inner = docs.withColumns({f"_m_{k}": v for k, v in _text_measures(value).items()})
-    out = _ratios(lambda k: F.col(f"_m_{k}"))
+    measures = _text_measures(value)
+    names = dict(zip(measures, common.fresh(docs.columns, *measures), strict=True))
+    inner = docs.withColumns({names[k]: v for k, v in measures.items()})
+    out = _ratios(lambda k: F.col(names[k]))
     return inner.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in out], *[v.alias(k) for k, v in out.items()])
 
 

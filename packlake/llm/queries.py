@@ -60,6 +60,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4 that SQL can express: how many base spans of each kind."""
+    return op4_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10 that SQL can express: the split and the rules' verdicts."""
+    judged = op10_url_filters(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_html_extraction": op9_html_extraction,
     "op10_url_filters": op10_url_filters,
+    "secret_base_spans": secret_base_spans,
+    "url_rules": url_rules,
 }
 
 
@@ -119,4 +132,22 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": _OP3_SQL, "op6_quality_rules": _op6_sql()}
+def _secret_sql() -> str:
+    words = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = f"""({words})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    count = lambda pattern, group, least: f"len(list_filter(regexp_extract_all(coalesce(text, ''), '{pattern}', {group}), lambda x: length(x) >= {least}))::BIGINT"
+    return f"SELECT doc_id, {count(assign, 2, 6)} AS n_assign, {count('AKIA[A-Z0-9]+', 0, 20)} AS n_access, {count('[0-9a-f]+', 0, 24)} AS n_hex FROM documents"
+
+
+def _url_sql() -> str:
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    rules = sorted(urls.RULES, key=lambda r: (-len(r.name), r.name))
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in rules) + " END"
+    return f"""
+WITH t AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM t)
+SELECT page_id, host, path, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS ruled FROM s
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"secret_base_spans": _secret_sql(), "url_rules": _url_sql(), "op3_exact_top_k": _OP3_SQL, "op6_quality_rules": _op6_sql()}

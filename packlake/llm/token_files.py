@@ -6,14 +6,16 @@ table, counted over all ids of the file, is shared by its blocks. Each block of
 alone and with vector operations; the block index gives its byte offset, first
 id, length and CRC-32 (the checkpoints), the document index ids and lengths.
 
-Shards are ranges of doc_id of about equal bytes, fixed by the data. A writer
-streams its shards, starts a new file at ``FILE_TOKENS`` ids, writes it under a
+Shards are ranges of doc_id of about ``SHARD_BYTES``, fixed by the data. A task
+streams its shard, starts a new file at ``FILE_TOKENS`` ids, writes it under a
 temporary name and renames it; only files in the manifest are read. A task that
 runs twice writes the same bytes under the same names.
 
 Null texts are empty and have the end id only. A null doc_id sorts first and
-comes back null. Rows of one doc_id are ordered by their text. Only the two
-named columns are read; an empty table gives no file and no rows.
+comes back null. Rows of one doc_id are ordered by their text and lie in one
+shard. Only the two named columns are read; an empty table gives no file and no
+rows. A text is encoded whole and a file holds at least one document, so a task's
+memory follows ``FILE_TOKENS`` and the longest text.
 """
 
 from __future__ import annotations
@@ -220,10 +222,11 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 0, doc_id: str = "
     spark = docs.sparkSession
     common.bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    weight = F.octet_length("text") + 64
-    total = rows.agg(F.sum(weight)).first()[0] or 0
-    ranges = common.ranges_of(rows, "doc_id", weight, max(2 * common.partitions(spark), -(-total // SHARD_BYTES)))
-    dealt = rows.withColumn("shard", common.shard_of("doc_id", ranges)).repartition(common.partitions(spark), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
+    weights = common.stage(rows.select(F.col("doc_id").alias("k"), (F.octet_length("text") + 64).alias("w")), "tokens-weights")
+    total = weights.agg(F.sum("w")).first()[0] or 0
+    ranges = common.ranges_of(weights, max(2 * common.partitions(spark), -(-total // SHARD_BYTES)))
+    common.discard(weights)
+    dealt = rows.withColumn("shard", common.shard_of("doc_id", ranges)).repartitionById(ranges.shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text")
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,17 +268,15 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 0, doc_id: str = "
 def read(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The driver adds up one number per shard; places inside a shard are a window
-    over its few files.
+    Places are sums over the manifest: over the shards, one row each, and within
+    a shard over its files.
     """
-    totals = sorted((r["shard"], r["n"]) for r in manifest.groupBy("shard").agg(F.sum("tokens").alias("n")).collect())
-    bases, base = [], 0
-    for shard, n in totals:
-        bases.append((shard, base))
-        base += n
+    shards = manifest.groupBy("shard").agg(F.sum("tokens").alias("n"))
+    sooner = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.select("shard", F.coalesce(F.sum("n").over(sooner), F.lit(0)).alias("base"))
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.withColumn("before", before).join(spark.createDataFrame(bases, "shard int, base long"), "shard")
-    files = files.select("file", "bytes", (F.col("base") + F.col("before")).alias("start")).repartition(common.partitions(spark), "file")
+    files = manifest.withColumn("before", before).join(shards, "shard")
+    files = files.select("file", "bytes", (F.col("base") + F.col("before")).alias("start")).repartition(max(1, manifest.count()), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.open_fs(out)

@@ -14,7 +14,8 @@ html is an empty payload. Rows that repeat the smallest page_id of their payload
 are responses too, as nothing comes before them. A null page_id is written first,
 as a response unless an equal payload has a page_id. Null urls are written as
 an empty target. An empty table gives no files. Only the three named columns are
-read.
+read. A payload is held whole by the task that writes it; a page_id's rows lie in
+one shard, all other shards hold about ``SHARD_BYTES`` and are a task each.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A fixed date: files are a function of their rows.
 DATE = "1970-01-01T00:00:00Z"
 ROLL_BYTES = 512 << 20
-SHARD_BYTES = 1 << 30
+SHARD_BYTES = 512 << 20
 LEVEL = 4
 
 
@@ -115,11 +116,11 @@ def write(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url"
     spark = pages.sparkSession
     common.bounded_batches(spark)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("html"))
-    weight = F.octet_length("html") + 512
-    total = rows.agg(F.sum(weight)).first()[0] or 0
-    ranges = common.ranges_of(rows, "page_id", weight, max(2 * common.partitions(spark), -(-total // SHARD_BYTES)))
+    digests = common.stage(rows.select("page_id", "url", F.octet_length("html").alias("n"), F.sha2("html", 256).alias("digest")), "warc-digests")
+    weights = digests.select(F.col("page_id").alias("k"), (F.col("n") + 512).alias("w"))
+    total = weights.agg(F.sum("w")).first()[0] or 0
+    ranges = common.ranges_of(weights, max(2 * common.partitions(spark), -(-total // SHARD_BYTES)))
 
-    digests = rows.select("page_id", "url", F.octet_length("html").alias("n"), F.sha2("html", 256).alias("digest"))
     own = F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))
     first = common.group_min(digests.withColumn("own", own), ["digest"], "own", "first")
     revisits = first.where((F.col("n") >= least_bytes) & ~F.col("first.page_id").eqNullSafe(F.col("page_id")) & F.col("first").isNotNull())
@@ -130,7 +131,7 @@ def write(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url"
     # pages and links meet by the shard, in one task's sorted stream, not by a join on the digest
     pages_side = keyed.select("page_id", "url", "html", "digest", "shard", F.lit(None).cast("struct<page_id:bigint,url:string>").alias("first"), F.lit(1).alias("is_page"))
     links_side = links.select(F.col("r_page").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), F.col("r_digest").alias("digest"), "shard", "first", F.lit(0).alias("is_page"))
-    dealt = pages_side.unionByName(links_side).repartition(common.partitions(spark), "shard")
+    dealt = pages_side.unionByName(links_side).repartitionById(ranges.shards, "shard")
     dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "is_page", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,13 +172,16 @@ def write(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url"
                 held["crc32"] = zlib.crc32(data, held["crc32"])
         yield from close()
 
-    return common.stage(dealt.mapInArrow(run, "shard int, seq int, file string, records long, bytes long, crc32 long"), "warc-manifest")
+    manifest = common.stage(dealt.mapInArrow(run, "shard int, seq int, file string, records long, bytes long, crc32 long"), "warc-manifest")
+    common.discard(digests)
+    return manifest
 
 
 def read(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of
     each record; lengths and digests are checked against the bytes."""
-    files = manifest.select("file", "bytes").repartition(common.partitions(spark), "file")
+    files = manifest.select("file", "bytes")
+    files = files.repartition(max(1, files.count()), "file")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

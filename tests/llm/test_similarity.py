@@ -72,7 +72,7 @@ def test_classes_equal_brute_force(spark, seed):
 
 
 def test_small_batches_hot_shingles_and_blocks(spark, monkeypatch):
-    for name, value in (("BATCH_SHINGLES", 900), ("HOT", 3), ("GROUP_SHINGLES", 400), ("RANGE_SHINGLES", 500), ("MANY_COPIES", 1)):
+    for name, value in (("BATCH_SHINGLES", 900), ("GROUP_SHINGLES", 400), ("RANGE_SHINGLES", 500), ("MANY_COPIES", 1)):
         monkeypatch.setattr(jaccard, name, value)
     docs = corpus(3, 150)
     shingler = jaccard.Shingler()

@@ -346,14 +346,30 @@ def test_warc_of_nothing_and_damage(spark, tmp_path):
 
 def test_ranges(spark, monkeypatch):
     ids = [10**15] + list(range(1000)) + [2**62, -5]
-    df = spark.createDataFrame([(i,) for i in ids], "k long")
-    ranges = common.ranges_of(df, "k", F.lit(1), 8)
+    df = spark.createDataFrame([(i, 1) for i in ids] + [(None, 1)], "k long, w int")
+    ranges = common.ranges_of(df, 8)
     counts = Counter(r[0] for r in df.select(common.shard_of("k", ranges)).collect())
-    assert list(ranges.edges) == sorted(set(ranges.edges)) and max(counts.values()) < 200 and sum(counts.values()) == len(ids)
-    want = {i: sum(b <= i for b in ranges.edges[:-1]) for i in ids}
+    assert list(ranges.edges) == sorted(set(ranges.edges)) and ranges.shards == 8 and max(counts.values()) < 130 and sum(counts.values()) == len(ids) + 1
+    want = {i: sum(b <= i for b in ranges.edges) for i in ids} | {None: 0}
     assert all(r["s"] == want[r["k"]] for r in df.select("k", common.shard_of("k", ranges).alias("s")).collect())
-    monkeypatch.setattr(common, "MAX_RANGES", 4)
-    fine = common.ranges_of(df, "k", F.lit(1), 16)
+    monkeypatch.setattr(common, "RANGE_KEYS", 90)
+    assert common.ranges_of(df.repartition(3), 8) == ranges
+    fine = common.ranges_of(df, 300)
     placed = [r[0] for r in df.orderBy("k").select(common.shard_of("k", fine)).collect()]
-    assert fine.parts == 4 and placed == sorted(placed) and len(set(placed)) > 8
-    assert df.limit(0).select(common.shard_of("k", common.ranges_of(df.limit(0), "k", F.lit(1), 4))).count() == 0
+    assert fine.shards == 300 and placed == sorted(placed) and max(Counter(placed).values()) <= 6
+    assert df.limit(0).select(common.shard_of("k", common.ranges_of(df.limit(0), 4))).count() == 0
+    heavy = spark.createDataFrame([(i, 1000 if i == 7 else 1) for i in range(100)], "k long, w int")
+    assert 7 in common.ranges_of(heavy, 10).edges or 8 in common.ranges_of(heavy, 10).edges
+
+
+def test_group_min_leaves_own_columns(spark):
+    df = spark.createDataFrame([(1, 5, "a", "b", 1.0), (1, 3, "c", "d", 2.0), (2, 9, "e", "f", 3.0)], "k int, v int, salt string, Some string, all double")
+    got = common.group_min(df, ["k"], "v", "out", "n")
+    assert got.columns == [*df.columns, "out", "n"]
+    assert sorted(map(tuple, got.collect())) == [(1, 3, "c", "d", 2.0, 3, 2), (1, 5, "a", "b", 1.0, 3, 2), (2, 9, "e", "f", 3.0, 9, 1)]
+
+
+def test_quality_leaves_own_columns(spark):
+    docs = spark.createDataFrame([(1, PROSE, 7, 8, "x")], "doc_id long, text string, _words int, _Lines int, _m_n_symbols string")
+    row = quality.judge(docs).first()
+    assert (row["_words"], row["_Lines"], row["_m_n_symbols"], row["n_words"]) == (7, 8, "x", 17)
