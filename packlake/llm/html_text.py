@@ -11,12 +11,13 @@ The network is trained on the driver, from pages that ``training_page`` makes
 from a seed: ``PAGES`` of them, each with known labels, whose layouts vary in
 element names, class names and order. It is the same on every run.
 
-Null and empty html give an empty text. Script, style and other raw elements
-and comments never give blocks, and so what belongs in a head doesn't; anything
-else ends the head, closed or not. Nothing is cut short: pages and blocks of any
-length are read whole, and a raw element that is never closed, other than script
-and style, loses its start tag only. Formulas and fallback text are inline. Repeated rows give equal texts. Only the named
-columns are read.
+Null and empty html give an empty text, an empty table no rows. Script, style and
+other raw elements and comments never give blocks, and so what belongs in a head
+doesn't; anything else ends the head, closed or not. Nothing is cut short: pages
+and blocks of any length are read whole, in time that follows their length; a raw
+element that is never closed, other than script and style, loses its start tag
+only, and a quote that never closes ends with its tag. Formulas and fallback text
+are inline. Repeated rows give equal texts. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -39,14 +40,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 INLINE |= frozenset("math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtext mtr munder munderover semantics".split())
 SPACED = frozenset("br mtd annotation annotation-xml".split())
 RAW = frozenset("script style noscript template textarea title iframe svg select option".split())
-ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in RAW} | {
-    "select": re.compile(r"</select\b[^>]*>|(?=<select\b)", re.IGNORECASE),
-    "option": re.compile(r"</option\b[^>]*>|(?=</?(?:option|optgroup|datalist|select)\b)", re.IGNORECASE),
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW} | {
+    "select": re.compile(r"</select(?=[\s/>])|(?=<select[\s/>])", re.IGNORECASE),
+    "option": re.compile(r"</option(?=[\s/>])|(?=</?(?:option|optgroup|datalist|select)[\s/>])", re.IGNORECASE),
 }
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+PARAGRAPH = {"p"}
 FENCE = frozenset("ul ol dl table article section div aside nav header footer main form blockquote body td th object".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: What may end a tag or open a quoted value: a quote does only after an equals sign.
+MARKS = re.compile(r">|=[\s]*+([\"'])")
+COMMENT_END = re.compile(r"--!?>")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 
@@ -55,20 +60,148 @@ INPUT = PATHS + BAG + COUNTS
 PAGES, ROUNDS, SEED = 240, 14, 11
 
 
-@dataclass
+class Path:
+    """The elements above a block, from the root on. ``mask`` has a bit for each
+    hashed feature of them, ``place`` is that of the element which holds the text."""
+
+    __slots__ = ("mask", "node", "parent", "place")
+
+    def __init__(self, parent: Path | None, node: str):
+        self.parent, self.node = parent, node
+        words = node.split()
+        self.mask = parent.mask if parent else 0
+        for w in words:
+            self.mask |= 1 << hashed(f"in:{w}")
+        if words and words[0] not in INLINE:
+            self.place = hashed(f"at:{words[0]}")
+        else:
+            self.place = parent.place if parent else hashed("at:")
+
+    def __iter__(self) -> Iterator[str]:
+        out, at = [], self
+        while at.parent is not None:
+            out.append(at.node)
+            at = at.parent
+        return reversed(out)
+
+    @classmethod
+    def of(cls, nodes: tuple[str, ...]) -> Path:
+        out = ROOT
+        for node in nodes:
+            out = cls(out, node)
+        return out
+
+    @property
+    def features(self) -> int:
+        return self.mask | 1 << self.place
+
+
+@functools.lru_cache(maxsize=50_000)
+def hashed(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % PATHS
+
+
+ROOT = Path(None, "")
+
+
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: int
 
 
+class Tags:
+    """Finds where tags end, in time that follows the page's length."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.lost: set[int] = set()  # places of quotes from which no end is found
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``, or -1.
+        Where quotes hide all of them the first one counts."""
+        if at > self.last:
+            return -1
+        seen, place = [], at
+        while m := MARKS.search(self.page, place):
+            if m[1] is None:
+                return m.start()
+            if m.end() in self.lost or self.quotes[m[1]] < m.end():
+                break
+            seen.append(m.end())
+            place = self.page.find(m[1], m.end()) + 1
+        self.lost.update(seen)
+        return self.page.find(">", at)
+
+
+class Stack:
+    """Open elements; where the last of each name, the last block and the last link
+    stand is known at once, so that no step searches the stack."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.paths: list[Path] = [ROOT]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.fences: list[int] = []
+
+    def push(self, name: str, node: str) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.blocks.append(len(self.names))
+        if name in FENCE:
+            self.fences.append(len(self.names))
+        self.names.append(name)
+        self.paths.append(Path(self.paths[-1], node))
+
+    def last(self, name: str) -> int:
+        found = self.places.get(name)
+        return found[-1] if found else -1
+
+    def cut(self, at: int) -> None:
+        """Close all from ``at`` on."""
+        while len(self.names) > at:
+            name = self.names.pop()
+            self.paths.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+            if name in FENCE:
+                self.fences.pop()
+
+    def close(self, name: str) -> None:
+        """An end tag; one of an inline element doesn't reach over a block."""
+        at = self.last(name)
+        if at >= 0 and (name not in INLINE or not self.blocks or self.blocks[-1] < at):
+            self.cut(at)
+
+    def make_way(self, name: str) -> None:
+        """End what a block's start tag ends without an end tag."""
+        closes = CLOSES.get(name, PARAGRAPH)
+        at = max(map(self.last, closes))
+        if at < 0:
+            return
+        if closes.isdisjoint(FENCE):
+            fence = self.fences[-1] if self.fences else -1
+        else:
+            fence = max(self.last(x) for x in FENCE if x not in closes)
+        if at > fence:
+            self.cut(at)
+
+    @property
+    def linked(self) -> bool:
+        return bool(self.places.get("a"))
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    tags, stack = Tags(page), Stack()
     parts: list[str] = []
-    path: tuple[str, ...] | None = None
-    linked, links, at, n = 0, 0, 0, len(page)
+    path: Path | None = None
+    linked, at, n = 0, 0, len(page)
     endless: set[str] = set()
 
     def flush() -> None:
@@ -76,31 +209,60 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(path or (), text, min(linked, len(text))))
+                out.append(Block(path or ROOT, text, min(linked, len(text))))
             parts.clear()
         path, linked = None, 0
 
+    def say(text: str) -> None:
+        nonlocal path, linked
+        text = entities.unescape(text) if "&" in text else text
+        if path is None and not text.isspace():
+            path = stack.paths[-1]
+        parts.append(text)
+        if stack.linked:
+            linked += len(text.strip())
+
     while at < n:
-        m = TOKEN.match(page, at)
-        token, at = m[0], m.end()
-        name = m[2]
-        if name is None:
-            if token[0] != "<" or token == "<":
-                text = entities.unescape(token) if "&" in token else token
-                if path is None and not text.isspace():
-                    path = tuple(x for _, x in stack)
-                parts.append(text)
-                if links:
-                    linked += len(text.strip())
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = n if stop < 0 else stop
+            say(page[at:stop])
+            at = stop
             continue
-        name = name.lower()
+        if at > tags.last:  # no tag ends any more, so all but a comment is text
+            stop = page.find("<!--", at)
+            say(page[at : n if stop < 0 else stop])
+            break
+        m = TAG.match(page, at)
+        if m is None:
+            if page.startswith("<!--", at):
+                end = at + 5 if page.startswith(">", at + 4) else at + 6 if page.startswith("->", at + 4) else None
+                if end is None:
+                    close = COMMENT_END.search(page, at + 4)
+                    end = close.end() if close else n
+                at = end
+            elif page[at + 1 : at + 2] in ("!", "?") and at < tags.last:
+                at = page.find(">", at) + 1
+            else:
+                say("<")
+                at += 1
+            continue
+        end = tags.end(m.end())
+        if end < 0:
+            say("<")
+            at += 1
+            continue
+        name, ending, attributes, at = m[2].lower(), bool(m[1]), page[m.end() : end], end + 1
+        alone = attributes.endswith("/")
         if name == "head":
             continue
         if name in RAW:
-            if not m[1] and not m[3].endswith("/") and name not in endless:
-                end = ENDS[name].search(page, at)
-                if end:
-                    at = end.end()
+            if not ending and not alone and name not in endless:
+                close = ENDS[name].search(page, at)
+                if close:
+                    at = close.end()
+                    if close[0]:
+                        at = page.find(">", at) + 1 or n
                 elif name in ("script", "style"):
                     at = n
                 else:
@@ -114,43 +276,24 @@ def blocks_of(page: str) -> list[Block]:
         inline = name in INLINE
         if not inline:
             flush()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    links -= sum(x == "a" for x, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
+        if ending:
+            stack.close(name)
             continue
         if name in VOID:
             continue
         if not inline:
-            closes = CLOSES.get(name, {"p"})
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    links -= sum(x == "a" for x, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in FENCE and stack[k][0] not in closes:
-                    break
-        words = [w for a, b, c in NAMES.findall(m[3]) for w in WORDS.findall((a or b or c).lower())] if m[3] else ()
-        if name == "a":
-            links += 1
-        if not m[3].endswith("/"):
-            stack.append((name, " ".join([name, *words])))
+            stack.make_way(name)
+        if not alone:
+            words = [w for a, b, c in NAMES.findall(attributes) for w in WORDS.findall((a or b or c).lower())] if attributes else ()
+            stack.push(name, " ".join([name, *words]))
     flush()
     return out
 
 
 @functools.lru_cache(maxsize=50_000)
-def path_places(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Hashed features of a tag path: elements and names anywhere above, and
-    the element that holds the text."""
-    names = {f"in:{w}" for node in path for w in node.split()}
-    blocks = [node.split()[0] for node in path if node.split()[0] not in INLINE]
-    names.add(f"at:{blocks[-1] if blocks else ''}")
-    return tuple(sorted({zlib.crc32(x.encode()) % PATHS for x in names}))
+def places_of(features: int) -> np.ndarray:
+    """Where the bits of a path's features are set."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(features.to_bytes(PATHS // 8, "little"), np.uint8), bitorder="little"))
 
 
 def bag_of(words: list[str]) -> np.ndarray:
@@ -158,12 +301,13 @@ def bag_of(words: list[str]) -> np.ndarray:
     return some * (0.3 / np.sqrt(np.dot(some, some)))
 
 
-def counts_of(blocks: list[Block]) -> np.ndarray:
-    """Lengths, links, ending and place of each block."""
-    n = len(blocks)
+def counts_of(blocks: list[Block], first: int = 0, whole: int | None = None) -> np.ndarray:
+    """Lengths, links, ending and place of each block; they are those from
+    ``first`` on of a page of ``whole``."""
+    n = len(blocks) if whole is None else whole
     return np.array([
         (np.log1p(len(b.text)) / 6, min(1.0, b.text.count(" ") / 60), b.linked / len(b.text), b.text[-1] in ".,;:!?", i / n, 1.0 - i / n, i == 0, 1.0)
-        for i, b in enumerate(blocks)
+        for i, b in enumerate(blocks, first)
     ], np.float32)
 
 
@@ -171,7 +315,7 @@ def describe(blocks: list[Block]) -> np.ndarray:
     """One row of features for each block."""
     x = np.zeros((len(blocks), INPUT), np.float32)
     for row, b in zip(x, blocks, strict=True):
-        row[list(path_places(b.path))] = 1
+        row[places_of(b.path.features)] = 1
         row[PATHS : PATHS + BAG] = bag_of(b.text.split(" "))
     x[:, PATHS + BAG :] = counts_of(blocks)
     return x
@@ -181,11 +325,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def lstm(given: np.ndarray, wh: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States of one direction. given: batch, steps, gates, from the inputs;
-    padded steps keep the state."""
+def lstm(given: np.ndarray, wh: np.ndarray, mask: np.ndarray, keep: list | None = None, h: np.ndarray | None = None, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States of one direction, and the last h and c. given: batch, steps, gates,
+    from the inputs; padded steps keep the state."""
     batch, steps, _ = given.shape
-    h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
+    h = np.zeros((batch, HIDDEN), np.float32) if h is None else h
+    c = np.zeros((batch, HIDDEN), np.float32) if c is None else c
     out = np.empty((batch, steps, HIDDEN), np.float32)
     for t in range(steps):
         g = given[:, t] + h @ wh
@@ -197,7 +342,7 @@ def lstm(given: np.ndarray, wh: np.ndarray, mask: np.ndarray, keep: list | None
             keep.append((h, c, i, f, o, u, bent, m))
         h, c = m * o * bent + (1 - m) * h, m * cell + (1 - m) * c
         out[:, t] = h
-    return out
+    return out, h, c
 
 
 def lstm_back(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, kept: list, dout: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,12 +386,12 @@ class Labeller:
         """Log-odds of main text from the gates' inputs of both directions."""
         w = self.weights
         mask = (np.arange(ahead.shape[1]) < lengths[:, None]).astype(np.float32)
-        states = lstm(ahead, w[1], mask, keep and keep[0])
-        others = reverse(lstm(reverse(back, lengths), w[4], mask, keep and keep[1]), lengths)
+        states = lstm(ahead, w[1], mask, keep[0] if keep else None)[0]
+        others = reverse(lstm(reverse(back, lengths), w[4], mask, keep[1] if keep else None)[0], lengths)
         self.states = np.concatenate([states, others], axis=2)
         return self.states @ w[6] + w[7]
 
-    def gates(self, blocks: list[Block]) -> np.ndarray:
+    def gates(self, blocks: list[Block], first: int = 0, whole: int | None = None) -> np.ndarray:
         """``describe(blocks)`` times the input weights of both directions,
         with the share of each tag path worked out once."""
         if not hasattr(self, "both"):
@@ -257,11 +402,12 @@ class Labeller:
         out = np.empty((len(blocks), 8 * HIDDEN), np.float32)
         bags = np.empty((len(blocks), BAG), np.float32)
         for i, b in enumerate(blocks):
-            if b.path not in self.known:
-                self.known[b.path] = self.both[list(path_places(b.path))].sum(axis=0) + self.bias
-            out[i] = self.known[b.path]
+            features = b.path.features
+            if features not in self.known:
+                self.known[features] = self.both[places_of(features)].sum(axis=0) + self.bias
+            out[i] = self.known[features]
             bags[i] = bag_of(b.text.split(" "))
-        return out + bags @ self.both[PATHS : PATHS + BAG] + counts_of(blocks) @ self.both[PATHS + BAG :]
+        return out + bags @ self.both[PATHS : PATHS + BAG] + counts_of(blocks, first, whole) @ self.both[PATHS + BAG :]
 
     def gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         kept: tuple[list, list] = ([], [])
@@ -276,10 +422,15 @@ class Labeller:
 
     def label(self, pages: list[list[Block]], cells: int = 40_000) -> list[np.ndarray]:
         """Whether each block of each page is main text. Pages of like length
-        are read together; a batch holds ``cells`` blocks or one page."""
+        are read together; a batch holds at most ``cells`` blocks, and a page of
+        more is read in parts, both ways, with the states carried on."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
         while order:
+            if len(pages[order[-1]]) > cells:
+                out[order[-1]] = self.label_long(pages[order[-1]], cells)
+                order.pop()
+                continue
             size = max(1, min(256, cells // len(pages[order[-1]])))
             some, order = order[-size:], order[:-size]
             gates, lengths = padded([self.gates(pages[i]) for i in some])
@@ -289,6 +440,21 @@ class Labeller:
         return out
 
 
+    def label_long(self, blocks: list[Block], cells: int) -> np.ndarray:
+        w, n = self.weights, len(blocks)
+        scores = np.full(n, w[7][0], np.float32)
+        for back in (False, True):
+            h, c = (np.zeros((1, HIDDEN), np.float32) for _ in range(2))
+            for at in range(0, n, cells):
+                places = np.arange(at, min(n, at + cells))
+                places = n - 1 - places if back else places
+                low, high = int(places.min()), int(places.max()) + 1
+                given = self.gates(blocks[low:high], low, n)[:, 4 * HIDDEN :] if back else self.gates(blocks[low:high], low, n)[:, : 4 * HIDDEN]
+                states, h, c = lstm(given[::-1][None] if back else given[None], w[4] if back else w[1], np.ones((1, len(places)), np.float32), None, h, c)
+                scores[places] += states[0] @ (w[6][HIDDEN:] if back else w[6][:HIDDEN])
+        return scores > 0
+
+
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(p) for p in pages])
     x = np.zeros((len(pages), int(lengths.max()), pages[0].shape[1]), np.float32)
@@ -391,7 +557,7 @@ def training_page(rng: random.Random) -> list[tuple[tuple[str, ...], str, bool,
 def training_set(pages: int = PAGES, seed: int = SEED) -> tuple[list[list[Block]], list[np.ndarray]]:
     rng = random.Random(seed)
     made = [training_page(rng) for _ in range(pages)]
-    return [[Block(p, t, len(t) if linked else 0) for p, t, linked, _ in page] for page in made], [np.array([m for *_, m in page], np.float32) for page in made]
+    return [[Block(Path.of(p), t, len(t) if linked else 0) for p, t, linked, _ in page] for page in made], [np.array([m for *_, m in page], np.float32) for page in made]
 
 
 @functools.cache

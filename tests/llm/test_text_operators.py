@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import os
+import random
 import re
 import struct
 import time
@@ -270,12 +271,86 @@ def test_nothing_after_unclosed_elements_is_lost():
 
 def test_formulas_and_fallback_stay_in_their_block():
     blocks = html_text.blocks_of("<article><p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> be <object data=f>a <b>plot</b></object> here.</p><p>Next.</p></article>")
-    assert [b.text for b in blocks] == ["Let x=12 be a plot here.", "Next."] and blocks[0].path == blocks[1].path == ("article", "p")
+    assert [b.text for b in blocks] == ["Let x=12 be a plot here.", "Next."] and tuple(blocks[0].path) == tuple(blocks[1].path) == ("article", "p")
     assert [b.text for b in html_text.blocks_of("<p>A <object><p>B</p></object><math><mtable><mtr><mtd>1</mtd><mtd>0</mtd></mtr></mtable></math>")] == ["A", "B", "1 0"]
 
 
 def test_paths_after_a_skipped_select():
-    assert html_text.blocks_of("<div><select><option>a</select><p>b</p></div>")[0].path == ("div", "p")
+    assert html_text.blocks_of("<div><select><option>a</select><p>b</p></div>")[0].path.__iter__().__next__() == "div" and tuple(html_text.blocks_of("<div><select><option>a</select><p>b</p></div>")[0].path) == ("div", "p")
+
+
+def test_quotes_and_comments():
+    texts = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert texts("<p title='x>article</p><p>more</p>") == ["article", "more"]
+    assert texts("<p title=it's>a</p><p title=\"a > b\">c</p><p x\">d</p>") == ["a", "c", "d"]
+    assert texts("<!--><p>a</p><!---><p>b</p><!-- x --!><p>c</p><!-- y --><p>d</p><!-- <p>e") == ["a", "b", "c", "d"]
+    assert texts("1 < 2 <3 </ x <p>a < b") == ["1 < 2 <3 </ x", "a < b"]
+    assert texts("<p>a</p><script>x</script\n><p>b</p><p>c") == ["a", "b", "c"]
+    assert texts("a<b>c</b") == ["ac</b"]
+
+
+HOSTILE = [
+    "<a ", "<a", "<", "<a '", "<a ='", "<p '", '<a x=">" ', "<a ='<a =\"", "<!-- ", "<!", "</", "</b>", "<b>", "<div>", "<p>", "<i></p>", "<b></i>", "<i><h1>", "<li>", "<table><tr>", "<p>a</p>", "<div>a", "a b ", "&amp;", "&", "x",
+    "</script", "<script></script", "<option>", "<select><option>", "<a class='x", "class=", "<a>x", "<br>", "\n",
+]
+
+
+@pytest.mark.parametrize("k", range(len(HOSTILE)))
+def test_blocks_of_long_hostile_pages(k):
+    n = 1 << 18
+    for page in (HOSTILE[k] * (n // len(HOSTILE[k])), "<b>" * 2000 + "<p>" + HOSTILE[k] * (n // len(HOSTILE[k])), HOSTILE[k] * (n // len(HOSTILE[k])) + ">"):
+        start = time.perf_counter()
+        html_text.blocks_of(page)
+        assert time.perf_counter() - start < 4
+
+
+def test_blocks_of_a_megabyte():
+    for part in ("<a ", "<p '", "<b></i>", '<a x=">" '):
+        start = time.perf_counter()
+        html_text.blocks_of("<b>" * 500 + part * ((1 << 20) // len(part)) + "</p>")
+        assert time.perf_counter() - start < 5
+
+
+def test_very_long_pages_are_whole():
+    net = html_text.train()
+    page = "<article><h1>Title</h1>" + "".join(f"<p>This is sentence number {i} of the story, and it goes on.</p>" for i in range(45_000)) + "</article>"
+    blocks = html_text.blocks_of(page)
+    (main,) = net.label([blocks])
+    assert len(main) == 45_001 and main.mean() > 0.99
+    some = html_text.blocks_of(PAGE) * 9
+    assert (net.label_long(some, 7) == net.label([some])[0]).all()
+    one = html_text.blocks_of("<p>" + "long words here " * 1_300_000)
+    assert len(one) == 1 and len(one[0].text) == 16 * 1_300_000 - 1
+
+
+def rendered(page, rng):
+    """html of a page of ``training_page``, its blocks nested as their paths say."""
+    out, open_ = [], []
+    for path, text, linked, _ in page:
+        same = 0
+        while same < min(len(path) - 1, len(open_)) and path[same] == open_[same]:
+            same += 1
+        out += [f"</{x.split()[0]}>" for x in reversed(open_[same:])]
+        open_ = list(path)
+        for node in path[same:]:
+            name, *words = node.split()
+            quote = rng.choice(["'", '"'])
+            out.append(f"<{name} {rng.choice(['class', 'id', 'CLASS'])}={quote}{' '.join(words)}{quote}>" if words else f"<{name}{rng.choice(['', ' data-x=1'])}>")
+        shown = text.replace("&", "&amp;").replace("<", "&lt;").replace("©", rng.choice(["&copy;", "©", "&#169;"])).replace(" ", rng.choice([" ", "\n  ", "\t"]))
+        out.append(f"<a href='/x'>{shown}</a>" if linked and not path[-1:] == ("a",) else shown)
+        out.append("<hr>")
+    return "<!doctype html><!-- made -->" + "".join(out) + "".join(f"</{x.split()[0]}>" for x in reversed(open_))
+
+
+def test_extraction_of_rendered_pages_text_for_text():
+    rng, net, right = random.Random(4242), html_text.train(), 0
+    pages = [html_text.training_page(rng) for _ in range(150)]
+    for page in pages:
+        blocks = html_text.blocks_of(rendered(page, rng))
+        assert [b.text for b in blocks] == [" ".join(t.split()) for _, t, *_ in page]
+        want = "\n\n".join(" ".join(t.split()) for _, t, _, main in page if main)
+        right += html_text.text_of(blocks, net.label([blocks])[0]) == want
+    assert right >= 0.9 * len(pages)
 
 
 def test_labeller_holds_out():
