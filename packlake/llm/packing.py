@@ -14,8 +14,9 @@ bins are closed, full or not. No piece is dropped, but each level may leave wast
 in the bins it closes, and the number of sequences may depend on that of islands.
 
 Null and empty texts are one piece with the end id only. Repeated rows and ids
-are pieces of their own. Only the named columns are read; an empty table gives
-no rows. A piece's ids stay with its document: packing moves only lengths.
+are pieces of their own; a null doc_id comes back null. Only the named columns are
+read; an empty table gives no rows. A text is encoded whole, however long. A piece's
+ids stay with its document: packing moves only lengths.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlake.llm import common, tokens
@@ -190,8 +191,10 @@ def settle(lengths: np.ndarray, bins: np.ndarray, patterns: list[tuple[int, ...]
     return inject(lengths, bins, group, capacity, rng) if n else bins
 
 
-def evolve(lengths: np.ndarray, resident: np.ndarray | None, migrants: list[tuple[int, ...]], capacity: int, rng: np.random.Generator, population: int = POPULATION, offspring: int = OFFSPRING) -> np.ndarray:
-    """The best packing of one island after an epoch."""
+def evolve(lengths: np.ndarray, resident: np.ndarray | None, migrants: list[tuple[int, ...]], capacity: int, rng: np.random.Generator, population: int = POPULATION, offspring: int = OFFSPRING, told: Counter | None = None) -> np.ndarray:
+    """The best packing of one island after an epoch; ``told`` counts crossovers
+    and migrations. Where a seed meets the lower bound there is nothing to search."""
+    told = Counter() if told is None else told
     empty, none = np.zeros(0, np.int64), np.full(len(lengths), -1, np.int64)
     least = -(-int(lengths.sum()) // capacity)
     order = np.argsort(-lengths, kind="stable")
@@ -199,6 +202,7 @@ def evolve(lengths: np.ndarray, resident: np.ndarray | None, migrants: list[tupl
     herd.append(tidy(exact_fill(lengths, capacity, rng)))
     if migrants:
         herd.append(settle(lengths, herd[0], migrants, capacity, rng))
+        told["migrations"] += 1
     noise = 16.0
     while len(herd) < population and -fitness(lengths, herd[0], capacity)[0] > least:
         order = np.argsort(-(lengths + rng.random(len(lengths)) * noise), kind="stable")
@@ -211,6 +215,7 @@ def evolve(lengths: np.ndarray, resident: np.ndarray | None, migrants: list[tupl
         a, b = rng.choice(len(herd), 2, replace=False)
         child = crossover(lengths, herd[min(a, b)], herd[max(a, b)], capacity, rng)
         herd.append(child)
+        told["crossovers"] += 1
         herd.sort(key=lambda g: fitness(lengths, g, capacity), reverse=True)
         herd = herd[:population]
     return herd[0]
@@ -303,7 +308,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, epoch
         columns = [f.name for f in state.schema.fields]
         rounds = epochs if islands > 1 and level == 0 else 1
         for epoch in range(rounds):
-            state = common.stage(_epoch(state.select(columns), level, epoch, islands, epoch == rounds - 1, capacity, seed), f"packing-{level}-{epoch}")
+            before, state = state, common.stage(_epoch(state.select(columns), level, epoch, islands, epoch == rounds - 1, capacity, seed), f"packing-{level}-{epoch}")
+            if epoch:
+                common.discard(before)
         own = state.where("uid is not null")
         closed = own.where("not open").withColumn("sequence_id", F.lit((level + 1) << 56) + F.shiftleft(F.col("island"), 28) + F.col("bin"))
         done.append(closed)
@@ -321,8 +328,6 @@ def pack(found: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, epoch
 
 def _offsets(closed: DataFrame) -> DataFrame:
     """Places in the sequence, by uid; a sequence has at most its capacity of pieces."""
-    from pyspark.sql import Window
-
     before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1))
     return closed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
 

@@ -214,3 +214,22 @@ def test_pipeline_stages(spark):
     assert {k: v for k, v in kept[2].items() if "token" not in texts[k]} == {k: texts[k] for k in one if "token" not in texts[k]}
     packed = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
     assert {r["doc_id"] for r in packed} == one
+
+
+def test_pipeline_of_nothing_repeats_and_clashes(spark):
+    import corpus_pipeline
+    from packlake.llm import common
+
+    rng = random.Random(11)
+    words = [f"{a}{b}ing" for a in "bdfgklmnprst" for b in ("an", "er", "in", "ou", "ra", "el")]
+    make = lambda: " ".join(rng.choice(words + ["the", "of", "and"] * 8) for _ in range(90))
+    one, two = make(), make()
+    rows = [(1, one, 7, "s", {"a": 1}), (1, one, 7, "s", {"a": 1}), (2, one, 7, "s", None), (3, two, 8, "t", None), (None, None, None, None, None), (4, "", 0, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _same int, _copy string, _m__words map<string,int>")
+    for now, want in ((docs, [(1, one, 7, "s"), (3, two, 8, "t")]), (docs.limit(0), [])):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.stage(stage(spark, now, ""), "t")
+            assert now.columns == docs.columns
+        assert sorted(tuple(r)[:4] for r in now.collect()) == want
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
+        assert sorted({r["doc_id"] for r in packed}) == [r[0] for r in want]

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -181,3 +182,42 @@ def test_genetic_search_is_no_worse_than_best_fit():
         best = packing.evolve(lengths, None, [(1024, 1024), (2000, 48)], 2048, np.random.default_rng(1))
         assert np.bincount(best, lengths).max() <= 2048 and len(best) == n
         assert best.max() <= first.max()
+
+
+def triplets(rng, count, capacity):
+    """Lengths of which three fill a bin exactly, in a way that best-fit misses."""
+    out = []
+    while len(out) < 3 * count:
+        a = int(rng.integers(int(0.38 * capacity), int(0.49 * capacity)))
+        b = int(rng.integers(int(0.25 * capacity), (capacity - a) // 2 + 1))
+        if capacity - a - b > 0.25 * capacity:
+            out += [a, b, capacity - a - b]
+    return rng.permutation(np.array(out))
+
+
+@pytest.mark.parametrize("make", [lambda r: triplets(r, 40, 2048), lambda r: r.integers(513, 1024, 200)])
+def test_crossover_beats_both_seeds(make):
+    for seed in (0, 2):
+        lengths, told = make(np.random.default_rng(seed)), Counter()
+        n = len(lengths)
+        first = packing.tidy(packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), np.full(n, -1), np.zeros(0, np.int64), 2048)).max()
+        second = packing.tidy(packing.exact_fill(lengths, 2048, np.random.default_rng(1))).max()
+        best = packing.evolve(lengths, None, [], 2048, np.random.default_rng(1), told=told)
+        assert np.bincount(best, lengths).max() <= 2048 and best.max() < min(first, second) and told["crossovers"] > 0
+
+
+def test_elite_bins_migrate(spark):
+    rng, schema = np.random.default_rng(4), f"{packing.STATE}"
+    lengths = triplets(rng, 60, 2048).tolist()
+    rows = [(i, i, 0, 0, n, 0, i % 2, None, False, None) for i, n in enumerate(lengths)]
+    state = packing._epoch(spark.createDataFrame(rows, schema), 0, 0, 2, False, 2048, 7)
+    moved = [(r["island"], tuple(r["pattern"])) for r in state.where("uid is null").collect()]
+    assert {i for i, _ in moved} == {0, 1} and all(sum(p) == 2048 and len(p) > 1 for _, p in moved)
+    own = np.array([n for i, n in enumerate(lengths) if i % 2 == 0])
+    told = Counter()
+    best = packing.evolve(own, None, [p for i, p in moved if i == 0] + [tuple(int(x) for x in own[:1])], 2048, rng, told=told)
+    assert told["migrations"] == 1 and np.bincount(best, own).max() <= 2048
+    after = packing._epoch(state, 0, 1, 2, True, 2048, 7).where("uid is not null").collect()
+    assert sorted(r["uid"] for r in after) == list(range(len(lengths)))
+    built = packing.settle(np.array([1000, 1048, 900, 5]), np.array([0, 1, 2, 2]), [(1048, 1000), (7, 2041)], 2048, rng)
+    assert built[0] == built[1]
