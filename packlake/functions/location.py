@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SSH = r"^ssh://(?:([^@/?#]*)@)?([^:/?#@]*)(?::([0-9]+))?(/[^?#]*)?$"
@@ -78,5 +78,13 @@ def contains(outer: Column, inner: Column) -> Column:
     return (F.rtrim(inner, F.lit("/")) == base) | inner.startswith(F.concat(base, F.lit("/")))
 
 
+def endpoints(places: DataFrame, uri: str = "uri") -> DataFrame:
+    """host, user, port, uri, places: each remote end once, with its least uri, so
+    that a probe asks each end once."""
+    where = F.col(uri)
+    ends = places.where(scheme(where) == "ssh").select(host(where).alias("host"), user(where).alias("user"), port(where).alias("port"), where.alias("uri"))
+    return ends.groupBy("host", "user", "port").agg(F.min("uri").alias("uri"), F.count(F.lit(1)).alias("places"))
+
+
 def same_host(a: Column, b: Column) -> Column:
     return host(a).eqNullSafe(host(b)) & user(a).eqNullSafe(user(b)) & port(a).eqNullSafe(port(b))

@@ -41,6 +41,14 @@ def _shaped(name: Column) -> Column:
     )
 
 
+def parts(name: Column) -> Column:
+    """An array with archive, job and created of a name that is one, else empty:
+    for ``inline``, so that the name is worked out and parsed once."""
+    job = lambda n: F.substring(n, F.lit(1), _stem_length(n) - STAMP_PART)
+    one = F.transform(F.array(name), lambda n: F.struct(n.alias("archive"), job(n).alias("job"), parsed_created(n).alias("created")))
+    return F.filter(one, lambda x: x["created"].isNotNull())
+
+
 def is_archive_name(name: Column) -> Column:
     return _shaped(name) & parsed_created(name).isNotNull()
 
@@ -88,7 +96,17 @@ def first_token(line: Column) -> Column:
 
 
 def unescaped_mount(field: Column) -> Column:
-    """A mount point with its octal escapes decoded."""
-    for code, text in (("\\040", " "), ("\\011", "\t"), ("\\012", "\n"), ("\\134", "\\")):
-        field = F.replace(field, F.lit(code), F.lit(text))
-    return field
+    """A mount point with its octal escapes decoded; they stand for ASCII."""
+    decoded = lambda part: F.concat(F.chr(F.conv(F.substring(part, 1, 3), 8, 10).cast("int")), F.substring(part, F.lit(4), F.length(part)))
+    parts = F.split(field, r"\\(?=[0-7]{3})")
+    return F.array_join(F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(decoded(part))), "")
+
+
+def right_aligned(value: Column, width: int = 12) -> Column:
+    """Text at the right of a column of a report; longer text isn't cut."""
+    text = value.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit(" "))
+
+
+def rfc3339(time: Column) -> Column:
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")

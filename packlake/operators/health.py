@@ -67,3 +67,13 @@ def first_to_verify(destinations: DataFrame, verified: DataFrame, now: Column) -
     """The first configured destination that is due, at most one row."""
     rows = destinations.join(verified, "destination").where(now - F.col("at") >= VERIFY_SECONDS)
     return rows.orderBy("position").limit(1).select("destination")
+
+
+def maintenance_step(destinations: DataFrame, verified: DataFrame, now: Column) -> DataFrame:
+    """destination, at, verify: the table of checks after one step. What is seen for
+    the first time starts its clock now; the first destination that is due, at most
+    one, is verified, and the attempt's time is kept whatever comes of it."""
+    seen = destinations.join(verified, "destination", "left").withColumn("at", F.coalesce("at", now))
+    chosen = first_to_verify(seen.select("destination", "position"), seen.select("destination", "at"), now)
+    marked = seen.join(chosen.withColumn("verify", F.lit(True)), "destination", "left").withColumn("verify", F.coalesce("verify", F.lit(False)))
+    return marked.select("destination", F.when(F.col("verify"), now).otherwise(F.col("at")).alias("at"), "verify")

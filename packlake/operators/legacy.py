@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packlake.functions.names import is_archive_name, parsed_created, parsed_job
+from packlake.functions.names import parts
 from packlake.schemas import IMPORT_RETRY_SECONDS
 
 
 def archives(listing: DataFrame) -> DataFrame:
     """destination, archive, job, created of names that parse."""
-    name = F.col("archive")
-    return listing.where(is_archive_name(name)).select("destination", "archive", parsed_job(name).alias("job"), parsed_created(name).alias("created"))
+    return listing.select("destination", F.inline(parts(F.col("archive"))))
 
 
 def recent_failures(failures: DataFrame, now: Column) -> DataFrame:
@@ -20,11 +19,14 @@ def recent_failures(failures: DataFrame, now: Column) -> DataFrame:
 
 
 def import_queue(found: DataFrame, failures: DataFrame) -> DataFrame:
-    """archive, created, destinations: what to import next, oldest first, names
-    without a time before all. An archive lies on a configured handful of
-    destinations, so its list is short."""
+    """archive, created, destinations: what to import; an archive lies on a configured handful of
+    destinations, so its list is short. ``in_order`` sorts it."""
     open_ = found.join(failures, ["destination", "archive"], "left_anti")
-    return open_.groupBy("archive").agg(F.min("created").alias("created"), F.array_sort(F.collect_list("destination")).alias("destinations")).orderBy(F.asc_nulls_first("created"), "archive")
+    return open_.groupBy("archive").agg(F.min("created").alias("created"), F.array_sort(F.collect_list("destination")).alias("destinations"))
+
+
+def in_order(queue: DataFrame) -> DataFrame:
+    return queue.orderBy(F.asc_nulls_first("created"), "archive")
 
 
 def feeders(copies: DataFrame) -> DataFrame:

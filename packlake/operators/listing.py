@@ -50,6 +50,12 @@ def newest_first(snapshots: DataFrame) -> DataFrame:
     return snapshots.orderBy(F.desc("created"), F.desc("name"))
 
 
+def ranked(snapshots: DataFrame) -> DataFrame:
+    """``place``: 1 for a job's newest snapshot, and so on."""
+    order = Window.partitionBy("job").orderBy(F.desc("created"), F.desc("name"))
+    return snapshots.withColumn("place", F.row_number().over(order))
+
+
 def across(listings: list[DataFrame]) -> DataFrame:
     """Listings of the destinations that answered, as one."""
     if not listings:

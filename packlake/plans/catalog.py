@@ -6,34 +6,20 @@ selects columns; the SQL says the same in one statement.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from packlake.functions import chunking, codec, durations, location, names, parity
+from packlake.functions import chunking, codec, durations, events, location, names, parity
 from packlake.functions.ignore import excluded
 from packlake.operators import files, health, legacy, listing, retention, schedule, state, store, verify
 from packlake.operators.sizes import one_row
-from packlake.plans import roles
+from packlake.plans import columns, roles  # noqa: F401  columns registers queries
+from packlake.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from packlake.streaming import loops
 
 NOW = datetime(2001, 8, 28, 12)
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 SNAPSHOTS_SQL = "SELECT o_custkey AS job, o_orderkey AS name, o_orderdate AS created, CAST(round(o_totalprice) AS BIGINT) AS size, o_orderstatus = 'F' AS done FROM orders"
 OWN_SQL = "SELECT l_orderkey AS name, l_partkey AS chunk, min(CAST(round(l_quantity) AS BIGINT)) AS size FROM lineitem GROUP BY 1, 2"
@@ -104,7 +90,7 @@ def retention_applied(spark, sf_dir):
 
 # -- the store
 
-PLAN_SQL = f"""e AS ({roles.ENTRIES_SQL}), live AS (SELECT DISTINCT l_partkey AS chunk FROM lineitem WHERE l_orderkey % 20 = 0 AND l_partkey % 4 <> 1),
+PLAN_SQL = f"""e AS ({roles.ENTRIES_SQL}), live AS (SELECT DISTINCT l_partkey AS chunk FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'),
 keep AS (SELECT chunk, min(pack) AS keeper FROM e GROUP BY chunk),
 u AS (SELECT e.pack, CAST(sum(stored) AS BIGINT) AS total, CAST(coalesce(sum(CASE WHEN live.chunk IS NOT NULL AND keeper = e.pack THEN stored END), 0) AS BIGINT) AS used
   FROM e JOIN keep USING (chunk) LEFT JOIN live USING (chunk) GROUP BY e.pack),
@@ -112,7 +98,9 @@ plan AS (SELECT *, CASE WHEN used = 0 THEN 'dead' WHEN used * 100 < total * 30 T
 
 
 def _live(spark, sf_dir):
-    return store.live_chunks(roles.chunks(spark, sf_dir).where("name % 20 = 0 and chunk % 4 <> 1"))
+    """What the snapshots need that are still in progress."""
+    open_ = roles.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("name"))
+    return store.live_chunks(roles.chunks(spark, sf_dir).join(open_, "name", "left_semi"))
 
 
 @query(f"WITH {PLAN_SQL} SELECT pack, total, used, verdict FROM plan")
@@ -163,10 +151,11 @@ def known_intersection(spark, sf_dir):
 
 
 @query("""SELECT d.destination, p.p_partkey AS chunk FROM part p CROSS JOIN (SELECT DISTINCT l_suppkey % 3 AS destination FROM lineitem) d
-WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p.p_partkey AND l_suppkey % 3 = d.destination)""")
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p.p_partkey AND l_suppkey % 3 = d.destination AND NOT (l_partkey % 5 = 2 AND l_suppkey % 3 = 1))""")
 def missing_per_destination(spark, sf_dir):
     held = roles.holdings(spark, sf_dir)
-    return store.missing(roles.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk")), held.select("destination").distinct(), held)
+    destinations = held.select("destination").distinct()
+    return store.missing(roles.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk")), destinations, held.where("not (chunk % 5 = 2 and destination = 1)"))
 
 
 @query("SELECT l_orderkey AS name, count(*) AS missing FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size >= 10) GROUP BY 1")
@@ -175,10 +164,10 @@ def ensure_complete(spark, sf_dir):
     return store.incomplete(roles.chunks(spark, sf_dir), index)
 
 
-@query("SELECT l_partkey AS chunk, min(l_linenumber) AS seq FROM lineitem WHERE l_orderkey % 10 = 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size >= 10) GROUP BY 1")
+@query("SELECT l_partkey AS chunk, min(l_linenumber) AS seq FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size >= 10) GROUP BY 1")
 def unique_missing(spark, sf_dir):
     index = roles.table(spark, sf_dir, "part").where("p_size >= 10").select(F.col("p_partkey").alias("chunk"))
-    return store.unique_missing(roles.chunks(spark, sf_dir).where("name % 10 = 0"), index)
+    return store.unique_missing(roles.chunks(spark, sf_dir), index)
 
 
 @query(f"""WITH e AS ({roles.ENTRIES_SQL}), o AS (SELECT * FROM e WHERE pack < 25), n AS (SELECT * FROM e WHERE pack BETWEEN 20 AND 35)
@@ -230,13 +219,13 @@ def snapshot_check(spark, sf_dir):
     return verify.snapshot_check(roles.chunks(spark, sf_dir), good)
 
 
-@query(f"""WITH e AS ({roles.ENTRIES_SQL}), c AS (SELECT DISTINCT l_orderkey AS name, l_partkey AS chunk FROM lineitem WHERE l_orderkey % 100 = 0),
+@query(f"""WITH e AS ({roles.ENTRIES_SQL}), c AS (SELECT DISTINCT l_orderkey AS name, l_partkey AS chunk FROM lineitem),
 good AS (SELECT DISTINCT chunk FROM e WHERE pack >= 30 AND NOT (pack = 31 AND chunk % 5 = 0)), r AS (SELECT name, bool_and(g.chunk IS NOT NULL) AS intact FROM c LEFT JOIN good g USING (chunk) WHERE name % 700 <> 0 GROUP BY name)
 SELECT (SELECT count(DISTINCT pack) FROM e) AS packs, (SELECT count(*) FROM r WHERE intact) AS intact, (SELECT count(DISTINCT pack) FROM e WHERE pack < 30) AS damaged_packs,
   (SELECT count(DISTINCT chunk) FROM c WHERE chunk NOT IN (SELECT chunk FROM good)) AS bad_chunks, (SELECT count(DISTINCT name) FROM c WHERE name % 700 = 0) AS bad_recipes, (SELECT count(*) FROM r WHERE NOT intact) AS incomplete, false AS clean""")
 def store_check(spark, sf_dir):
     found = roles.entries(spark, sf_dir)
-    chunks = roles.chunks(spark, sf_dir).where("name % 100 = 0")
+    chunks = roles.chunks(spark, sf_dir)
     damaged = found.where("pack < 30").select("pack").distinct()
     bad = found.where("pack = 31 and chunk % 5 = 0")
     recipes = chunks.where("name % 700 = 0").select("name").distinct()
@@ -505,9 +494,9 @@ LAST_SQL = "l AS (SELECT user_id AS job, max(ts) AS last FROM events WHERE event
 
 
 def _slots(spark, sf_dir):
-    events = roles.table(spark, sf_dir, "events")
-    slots = events.select(F.col("user_id").alias("job"), schedule.daily_slot(F.col("ts"), 2).alias("slot"))
-    last = events.where("event_type = 'signup' and user_id % 4 <> 0").groupBy(F.col("user_id").alias("job")).agg(F.max("ts").alias("last"))
+    rows = roles.table(spark, sf_dir, "events")
+    slots = rows.select(F.col("user_id").alias("job"), schedule.daily_slot(F.col("ts"), 2).alias("slot"))
+    last = rows.where("event_type = 'signup' and user_id % 4 <> 0").groupBy(F.col("user_id").alias("job")).agg(F.max("ts").alias("last"))
     return schedule.latest_slots(slots, F.expr("timestamp_ntz'2024-01-29 12:00:00'")), last
 
 
@@ -518,7 +507,7 @@ def next_slot_asof(spark, sf_dir):
 
 @query(f"""WITH {SLOTS_SQL}, {LAST_SQL}, t AS (SELECT job, CASE WHEN job % 2 = 0 THEN slot ELSE slot - INTERVAL 1 DAY END AS retry_slot, TIMESTAMP '2024-01-29 11:00:00' + INTERVAL 1 HOUR * (job % 3) AS next_retry FROM s WHERE job % 5 <> 0)
 SELECT job, slot, NOT coalesce(retry_slot = slot AND next_retry > TIMESTAMP '2024-01-29 12:00:00', false) AS due FROM s LEFT JOIN l USING (job) LEFT JOIN t USING (job) WHERE last IS NULL OR last < slot""")
-def due_backup(spark, sf_dir):
+def due_runs(spark, sf_dir):
     slots, last = _slots(spark, sf_dir)
     held = slots.where("job % 5 <> 0").select(
         "job",
@@ -539,7 +528,7 @@ def cron_slots(spark, sf_dir):
 @query(f"""WITH {STATE_SQL}, h AS (SELECT job, run_id AS name, size, created_at AS created FROM r), k AS (SELECT job, name, size, row_number() OVER w AS rn, lead(size) OVER w AS previous_size FROM h WINDOW w AS (PARTITION BY job ORDER BY created DESC, name DESC)),
 p AS (SELECT job, 'shrank from ' || previous_size || ' to ' || size AS problem FROM k WHERE rn = 1 AND size * 2 < previous_size
   UNION ALL SELECT job, count(*) || ' deliveries pending' FROM r JOIN d USING (run_id) WHERE NOT delivered AND r.completed_at IS NULL AND epoch(TIMESTAMP '2001-08-28 12:00:00' - created_at) > 3600 GROUP BY job
-  UNION ALL SELECT c_custkey, 'verification overdue: ' || (c_custkey % 7) FROM customer JOIN (SELECT user_id AS x, max(ts) AS seen FROM events WHERE user_id < 7 AND event_type = 'click' GROUP BY 1) ON x = c_custkey % 7 WHERE epoch(TIMESTAMP '2024-02-06 12:00:00' - seen) > 8 * 86400)
+  UNION ALL SELECT c_custkey, 'verification overdue: ' || c_custkey FROM customer JOIN (SELECT user_id AS x, max(ts) AS seen FROM events WHERE event_type = 'click' GROUP BY 1) ON x = c_custkey WHERE epoch(TIMESTAMP '2024-02-06 12:00:00' - seen) > 8 * 86400)
 SELECT c_custkey AS job, count(problem) = 0 AS healthy, coalesce(string_agg(problem, '; ' ORDER BY problem), '') AS problems FROM customer LEFT JOIN p ON p.job = c_custkey GROUP BY 1""")
 def health_report(spark, sf_dir):
     runs = roles.runs(spark, sf_dir)
@@ -547,12 +536,12 @@ def health_report(spark, sf_dir):
     seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
     past = runs.select("job", F.col("run_id").alias("name"), "size", F.col("created_at").alias("created"))
     open_ = runs.where("completed_at is null").withColumn("created_at", seconds(F.col("created_at")))
-    seen = roles.table(spark, sf_dir, "events").where("user_id < 7 and event_type = 'click'").groupBy(F.col("user_id").alias("destination")).agg(F.max(seconds(F.col("ts"))).alias("at"))
+    seen = roles.table(spark, sf_dir, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("destination")).agg(F.max(seconds(F.col("ts"))).alias("at"))
     now = seconds(F.lit(NOW).cast("timestamp_ntz"))
     found = [
         health.shrank(listing.shrunk(past)),
         health.undelivered(open_, roles.deliveries(spark, sf_dir), now),
-        health.overdue(jobs.withColumn("destination", F.col("job") % 7), seen, seconds(F.expr("timestamp_ntz'2024-02-06 12:00:00'"))),
+        health.overdue(jobs.withColumn("destination", F.col("job")), seen, seconds(F.expr("timestamp_ntz'2024-02-06 12:00:00'"))),
     ]
     return health.report(jobs, found).withColumn("problems", F.array_join("problems", "; "))
 
@@ -608,10 +597,10 @@ def parity_q(spark, sf_dir):
 
 @query("SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def event_envelope(spark, sf_dir):
-    events = roles.table(spark, sf_dir, "events")
-    line = F.to_json(F.struct("event_id", "user_id", "event_type", "props"))
-    parsed = F.from_json("line", "event_id bigint, user_id bigint, event_type string, props string")
-    return events.select(line.alias("line")).select(parsed.alias("e")).select("e.event_id", "e.user_id", "e.event_type", F.get_json_object("e.props", "$.k").cast("bigint").alias("k"))
+    fields = {c: F.col(c) for c in ("event_id", "user_id", "event_type", "props")}
+    lines = roles.table(spark, sf_dir, "events").select(events.event("seen", **fields).alias("value"))
+    found = events.parsed(lines, "event string, event_id bigint, user_id bigint, event_type string, props string")
+    return found.where("event = 'seen'").select("event_id", "user_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
 @query("SELECT user_id, ts, gap FROM (SELECT user_id, ts, CAST(epoch(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS BIGINT) AS gap FROM events) WHERE gap > 900")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,13 +35,26 @@ def failures(stream: DataFrame, job: str, failed: Column) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """The result over everything there is now, as a table in the session.
-
-    The memory sink gathers results on the driver: for small ones, such as one
-    row per job. ``to_table`` writes larger ones.
-    """
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """The result over everything there is now, read from a folder that all
+    executors share; its checkpoint lies beside it. In complete mode the last
+    batch's table counts."""
+    spark = stream.sparkSession
+    root = f"{shared_root(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    if mode == "append":
+        to_folder(stream, f"{root}/rows", f"{root}/checkpoint")
+    else:
+        each_batch(stream, lambda rows, _: rows.write.mode("overwrite").parquet(f"{root}/rows"), f"{root}/checkpoint", mode=mode)
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a local master, which has one disk, may leave it unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="packlake-")
+    return root.rstrip("/")
 
 
 def to_folder(stream: DataFrame, path: str, checkpoint: str) -> None:

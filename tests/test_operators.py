@@ -1,10 +1,12 @@
 """Invariants of retention, listings, garbage collection, state, schedules, health."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from packlake.operators import files, health, legacy, listing, retention, schedule, state, store, verify
+from packlake.schemas import MILESTONE_DAYS
 
 NOW = datetime(2026, 8, 28, 12)
 
@@ -17,19 +19,30 @@ def ages_of(df, ages):
     return sorted(ages[int(r["name"][1:])] for r in df.collect())
 
 
+def plain_bucket(days):
+    """By counting the limits an age has passed, the years one by one."""
+    limits = list(MILESTONE_DAYS)
+    while limits[-1] <= days:
+        limits.append(limits[-1] + 365)
+    passed = sum(days >= x for x in limits)
+    return passed - 1 if passed else None
+
+
 def test_milestone_buckets(spark):
-    days = [6, 7, 13, 14, 29, 30, 59, 60, 89, 90, 179, 180, 364, 365, 729, 730, 1095, 3650]
-    got = [r[0] for r in spark.createDataFrame([(d,) for d in days], "d bigint").select(retention.bucket(F.col("d"))).collect()]
-    assert got == [None, 0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 8, 15]
+    days = sorted({x + d for x in (*MILESTONE_DAYS, 500, 1100, 2555, 4000) for d in (-2, 0, 3)} | {0})
+    got = [r[0] for r in spark.createDataFrame([(d,) for d in days], "d bigint").orderBy("d").select(retention.bucket(F.col("d"))).collect()]
+    assert got == [plain_bucket(d) for d in days]
 
 
 def test_keepers_and_removals(spark):
-    ages = [0, 1, 6, 8, 10, 20, 40, 100, 400, 500, 800]
-    assert ages_of(retention.milestone_keepers(aged(spark, ages), NOW), ages) == [10, 20, 40, 100, 500, 800]
-    ages = [0, 1, 2, 8, 10, 20, 40, 100, 400, 800]
-    assert ages_of(retention.removals_by_count(aged(spark, ages), NOW, 2), ages) == [2, 8]
-    ages = [0, 8, 10, 400]
-    assert ages_of(retention.removals_by_age(aged(spark, ages), NOW, 5 * 86_400), ages) == [8]
+    rng = random.Random(17)
+    for _ in range(3):
+        ages = sorted(rng.sample(range(1500), 25))
+        keepers = sorted({max(x for x in ages if plain_bucket(x) == b) for b in map(plain_bucket, ages) if b is not None})
+        rest = [x for x in ages if x not in keepers]
+        assert ages_of(retention.milestone_keepers(aged(spark, ages), NOW), ages) == keepers
+        assert ages_of(retention.removals_by_count(aged(spark, ages), NOW, 4), ages) == rest[4:]
+        assert ages_of(retention.removals_by_age(aged(spark, ages), NOW, 45 * 86_400), ages) == [x for x in rest if x > 45]
 
 
 def test_list_sized_counts_what_is_new(spark):
@@ -175,7 +188,7 @@ def test_import_queue(spark):
     rows = [("/x", name("photos", 3)), ("/y", name("photos", 3)), ("/x", name("photos-raw", 2)), ("/x", "junk.txt")]
     found = legacy.archives(spark.createDataFrame(rows, "destination string, archive string"))
     failed = legacy.recent_failures(spark.createDataFrame([("/x", name("photos", 3), "e", 99)], "destination string, archive string, error string, at bigint"), F.lit(100))
-    got = [(r["archive"], r["destinations"]) for r in legacy.import_queue(found, failed).collect()]
+    got = [(r["archive"], r["destinations"]) for r in legacy.in_order(legacy.import_queue(found, failed)).collect()]
     assert got == [(name("photos-raw", 2), ["/x"]), (name("photos", 3), ["/y"])]
     assert {r["job"] for r in found.collect()} == {"photos", "photos-raw"}
 
