@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,14 +103,21 @@ def assign_packs(rows: DataFrame, group: str = "destination", seq: str = "seq",
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, number, filled = object(), 0, 0
         for frame in frames:
-            out = []
-            for key, size in zip(frame[group], frame[length], strict=True):
-                if key != current:
-                    current, number, filled = key, 0, 0
-                elif filled >= target:
-                    number, filled = number + 1, 0
-                out.append(number)
-                filled += size
+            keys, ends = frame[group].to_numpy(), np.cumsum(frame[length].to_numpy(np.int64))
+            out = np.empty(len(keys), np.int64)
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for at, stop in pairwise(edges if len(keys) else []):
+                if keys[at] != current:
+                    current, number, filled = keys[at], 0, 0
+                while at < stop:
+                    if filled >= target:
+                        number, filled = number + 1, 0
+                    before = ends[at - 1] if at else 0
+                    # up to the chunk that fills the pack
+                    last = min(int(np.searchsorted(ends, before + target - filled)) + 1, stop)
+                    out[at:last] = number
+                    filled += int(ends[last - 1] - before)
+                    at = last
             frame["pack_no"] = out
             yield frame
 

@@ -1,7 +1,9 @@
 """TAR archives in LZ4 frames: export, restore to a folder, import of old ones.
 
-Export and restore stream file by file through the driver, as they write one
-local file or folder; import decodes archives on the executors.
+Export and restore stream chunk by chunk through the driver, as they write one
+local file or folder; import decodes archives on the executors. Modes, times,
+owners, extended attributes, links and empty folders go along; owners are set
+only where the user may.
 """
 
 from __future__ import annotations
@@ -9,13 +11,15 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import shutil
 import tarfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain, groupby
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from packlake.functions.codec import unframe
@@ -25,18 +29,62 @@ if TYPE_CHECKING:
     from packlake.sources.tables import Store
 
 
+#: Bytes that a partition holds at most on its way through the driver.
+STREAMED = 64 << 20
+XATTR = "SCHILY.xattr."
+TYPES = {"dir": tarfile.DIRTYPE, "symlink": tarfile.SYMTYPE, "file": tarfile.REGTYPE}
+
+
+class Joined(io.RawIOBase):
+    """The chunks of a file in a row, read as one stream."""
+
+    def __init__(self, first: Row, rest: Iterator[Row]):
+        self.rows, self.left = chain([first], rest), memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.left and (row := next(self.rows, None)) is not None:
+            if row["piece"] is not None and row["bytes"] is None:
+                raise ValueError(f"{row['path']}: chunks are lost")
+            self.left = memoryview(bytes(row["bytes"] or b""))
+        n = min(len(buffer), len(self.left))
+        buffer[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
+def _ordered(store: Store, name: str, *peers: Store) -> Iterator[Row]:
+    """The entries of a snapshot by path, each beside its chunks in order."""
+    entries, pieces = store.entries(name), store.pieces(name, *peers).withColumnRenamed("seq", "piece")
+    total = entries.agg(F.sum("size")).first()[0] or 0
+    rows = entries.join(pieces, "path", "left").repartitionByRange(total // STREAMED + 1, "path", "piece")
+    return rows.sortWithinPartitions("path", "piece").toLocalIterator()
+
+
+def _header(row: Row) -> tarfile.TarInfo:
+    info = tarfile.TarInfo(row["path"])
+    info.type, info.linkname = TYPES[row["kind"]], row["link_target"] or ""
+    info.size = row["size"] if row["kind"] == "file" else 0
+    if row["hard_target"] is not None:
+        info.type, info.linkname, info.size = tarfile.LNKTYPE, row["hard_target"], 0
+    if row["mode"] is not None:
+        info.mode, info.uid, info.gid, info.mtime = row["mode"] & 0o7777, row["uid"], row["gid"], row["mtime"]
+        if row["mtime_ns"]:
+            info.pax_headers["mtime"] = f"{row['mtime']}.{row['mtime_ns']:09}" if row["mtime"] >= 0 else f"{row['mtime'] + row['mtime_ns'] / 10**9:.9f}"
+    info.pax_headers |= {XATTR + x["name"]: bytes(x["value"]).decode("utf-8", "surrogateescape") for x in row["xattrs"] or []}
+    return info
+
+
 def export(store: Store, name: str, path: str) -> int:
     """Write a snapshot as one archive, complete or not at all; the files in it."""
     partial, count = f"{os.path.dirname(path) or '.'}/.{os.path.basename(path)}.{uuid.uuid4().hex}.partial", 0
     try:
         with open(partial, "wb", opener=lambda p, f: os.open(p, f, 0o600)) as raw, pa.CompressedOutputStream(raw, "lz4") as packed, tarfile.open(fileobj=packed, mode="w|", format=tarfile.PAX_FORMAT) as tar:
-            for row in store.restore(name).orderBy("path").toLocalIterator():
-                if row["bytes"] is None:
-                    raise ValueError(f"{row['path']}: chunks are lost")
-                info = tarfile.TarInfo(row["path"])
-                info.size = len(row["bytes"])
-                tar.addfile(info, io.BytesIO(row["bytes"]))
-                count += 1
+            for _, rows in groupby(_ordered(store, name), key=lambda row: row["path"]):
+                first = next(rows)
+                tar.addfile(_header(first), io.BufferedReader(Joined(first, rows)))
+                count += first["kind"] == "file"
         os.replace(partial, path)
     finally:
         if os.path.exists(partial):
@@ -44,19 +92,70 @@ def export(store: Store, name: str, path: str) -> int:
     return count
 
 
+def _inside(base: str, path: str) -> str:
+    """Where a path of a snapshot goes below a folder; it may not leave it, not by
+    a link either."""
+    target = os.path.join(base, path)
+    parent = os.path.realpath(os.path.dirname(target))
+    if os.path.basename(target) in ("", ".", "..") or (parent != base and not parent.startswith(base.rstrip(os.sep) + os.sep)):
+        raise ValueError(f"{path}: outside of the folder")
+    return os.path.join(parent, os.path.basename(target))
+
+
+def _dress(target: str, row: Row) -> None:
+    """Give a restored path its owner, mode, attributes and time."""
+    if row["mode"] is None:
+        return
+    if os.geteuid() == 0:
+        os.chown(target, row["uid"], row["gid"], follow_symlinks=False)
+    if row["kind"] != "symlink":
+        os.chmod(target, row["mode"] & 0o7777)
+    for x in row["xattrs"] or []:
+        try:
+            os.setxattr(target, x["name"], bytes(x["value"]), follow_symlinks=False)
+        except OSError:
+            pass  # the file system has no such attributes
+    at = row["mtime"] * 10**9 + (row["mtime_ns"] or 0)
+    os.utime(target, ns=(at, at), follow_symlinks=False)
+
+
 def restore_to(store: Store, name: str, folder: str, *peers: Store) -> int:
-    """Write a snapshot's files below a folder; none may leave it."""
+    """Write a snapshot's files below a folder; none may leave it. Links come after
+    the files, and folders get their modes last."""
     base, count = os.path.realpath(folder), 0
-    for row in store.restore(name, *peers).toLocalIterator():
-        target = os.path.realpath(os.path.join(base, row["path"]))
-        if target != base and not target.startswith(base + os.sep):
-            raise ValueError(f"{row['path']}: outside of the folder")
-        if row["bytes"] is None:
-            raise ValueError(f"{row['path']}: chunks are lost")
+    os.makedirs(base, exist_ok=True)
+    entries = store.entries(name)
+    for row in entries.where("kind = 'dir'").orderBy("path").toLocalIterator():
+        os.makedirs(_inside(base, row["path"]), exist_ok=True)
+    for path, rows in groupby(_ordered(store, name, *peers), key=lambda row: row["path"]):
+        first = next(rows)
+        if first["kind"] != "file" or first["hard_target"] is not None:
+            continue
+        target = _inside(base, path)
         os.makedirs(os.path.dirname(target), exist_ok=True)
-        with open(target, "wb") as f:
-            f.write(row["bytes"])
+        partial = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}.partial"
+        try:
+            with open(partial, "wb") as f:
+                shutil.copyfileobj(io.BufferedReader(Joined(first, rows)), f)
+            _dress(partial, first)
+            os.replace(partial, target)
+        finally:
+            if os.path.exists(partial):
+                os.unlink(partial)
         count += 1
+    for row in entries.where("hard_target is not null or kind = 'symlink'").orderBy(F.col("hard_target").isNull(), "path").toLocalIterator():
+        target = _inside(base, row["path"])
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        if os.path.lexists(target):
+            os.unlink(target)
+        if row["hard_target"] is not None:
+            os.link(_inside(base, row["hard_target"]), target, follow_symlinks=False)
+            count += 1
+        else:
+            os.symlink(row["link_target"], target)
+            _dress(target, row)
+    for row in entries.where("kind = 'dir'").orderBy(F.desc("path")).toLocalIterator():
+        _dress(_inside(base, row["path"]), row)
     return count
 
 
@@ -71,9 +170,18 @@ def originals(spark: SparkSession, root: str) -> DataFrame:
 
 
 def unpacked(archives: DataFrame) -> DataFrame:
-    """archive, path, bytes, error of the files in each archive. An archive that
-    doesn't match its checksum, or doesn't decode, gives one row with the error."""
-    schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("bytes", pa.binary()), ("error", pa.string())])
+    """archive, path, bytes, error of what is in each archive, with kind, mode,
+    mtime, uid, gid and links. An archive that doesn't match its checksum, or
+    doesn't decode, gives one row with the error."""
+    schema = pa.schema([
+        ("archive", pa.string()), ("path", pa.string()), ("bytes", pa.binary()), ("error", pa.string()), ("kind", pa.string()), ("mode", pa.int32()), ("mtime", pa.int64()),
+        ("uid", pa.int32()), ("gid", pa.int32()), ("link_target", pa.string()), ("hard_target", pa.string()),
+    ])
+
+    def row(archive: str, tar: tarfile.TarFile, m: tarfile.TarInfo) -> tuple:
+        kind = "dir" if m.isdir() else "symlink" if m.issym() else "file"
+        data = tar.extractfile(m).read() if m.isfile() else None
+        return archive, m.name, data, None, kind, m.mode, int(m.mtime // 1), m.uid, m.gid, m.linkname if m.issym() else None, m.linkname if m.islnk() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +192,9 @@ def unpacked(archives: DataFrame) -> DataFrame:
                         raise ValueError("the checksum doesn't match")
                     plain = b"".join(unframe(io.BytesIO(content)))
                     with tarfile.open(fileobj=io.BytesIO(plain), mode="r:") as tar:
-                        rows = [(archive, m.name, tar.extractfile(m).read(), None) for m in tar if m.isfile()]
+                        rows = [row(archive, tar, m) for m in tar if m.isfile() or m.isdir() or m.issym() or m.islnk()]
                 except (ValueError, OSError, tarfile.TarError, pa.ArrowException) as e:
-                    rows = [(archive, None, None, str(e))]
+                    rows = [(archive, None, None, str(e), *[None] * 7)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return archives.select("archive", "bytes", "expected").mapInArrow(run, "archive string, path string, bytes binary, error string")
+    return archives.select("archive", "bytes", "expected").mapInArrow(run, "archive string, path string, bytes binary, error string, kind string, mode int, mtime bigint, uid int, gid int, link_target string, hard_target string")

@@ -1,97 +1,244 @@
 """A chunk store as Parquet tables below one root, local or remote.
 
-``chunk_data`` holds bytes by pack, ``pack_entry`` is the index, ``snapshot`` and
-``snapshot_chunk`` are the recipes. A snapshot becomes visible with its row in
-``snapshot``, written last, after all its chunks were found; what a failed run
-left behind is unreferenced and goes with the next garbage collection.
+``chunk_data`` holds bytes by pack, ``pack_entry`` is the index, ``snapshot``,
+``snapshot_entry`` and ``snapshot_chunk`` are the recipes. A table is a list of
+parts, folders that never change once written. ``_log`` holds one small file a
+version, which lists the parts of all tables; writing the next one is the only
+step that changes the store, so every change of several tables shows at once or
+not at all. Two writers meet at the number of that file: additions go on after
+it, replacements are refused. What a failed run left behind is in no version and
+goes with ``vacuum``. The file system must refuse to rename onto a file.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlake.functions import chunking, codec, names
+from packlake.operators import files as catalog
 from packlake.operators import listing, retention, store, verify
-from packlake.schemas import CHUNK_AVG, CHUNK_MAX, CHUNK_MIN, PACK_TARGET
+from packlake.schemas import CHUNK_AVG, CHUNK_MAX, CHUNK_MIN, MAX_INDEX_FILES, PACK_TARGET, STALE_PARTIAL_SECONDS
 
 TABLES = {
     "chunk_data": "pack string, chunk string, seq bigint, stored binary, size bigint, compressed boolean, folder string",
     "pack_entry": "pack string, chunk string, stored bigint, size bigint, compressed boolean, modified timestamp_ntz",
     "snapshot_chunk": "name string, path string, seq int, chunk string, size bigint",
+    "snapshot_entry": (
+        "name string, path string, kind string, mode int, mtime bigint, mtime_ns bigint, uid int, gid int, "
+        "link_target string, hard_target string, xattrs array<struct<name:string,value:binary>>"
+    ),
     "snapshot": "job string, name string, created timestamp_ntz, size bigint, chunks bigint",
 }
+#: Packs that one task fills at most when a snapshot is written.
+GROUP_PACKS = 16
+
+
+class Changed(RuntimeError):
+    """Another writer has changed the store meanwhile."""
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, least: int = CHUNK_MIN, average: int = CHUNK_AVG, most: int = CHUNK_MAX, target: int = PACK_TARGET):
         self.spark, self.root, self.sizes, self.target = spark, root.rstrip("/"), (least, average, most), target
 
-    # -- tables
+    # -- versions
 
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
 
-    def _exists(self, path: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+    def _fs(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _rename(self, old: str, new: str) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        fs = hadoop.Path(old).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if fs.exists(hadoop.Path(new)):
-            fs.delete(hadoop.Path(new), True)
-        fs.rename(hadoop.Path(old), hadoop.Path(new))
+    def _children(self, *parts: str) -> list[tuple[str, float]]:
+        """Names below a folder with the seconds of their last change."""
+        fs, where = self._fs(), self._path(*parts)
+        return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(where)] if fs.exists(where) else []
 
-    def table(self, name: str) -> DataFrame:
-        if not self._exists(self._path(name)):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(self._path(name))
+    def _versions(self) -> dict[int, float]:
+        return {int(n[:-5]): at for n, at in self._children("_log") if n.endswith(".json") and n[:-5].isdigit()}
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        columns = [c.split()[0] for c in TABLES[name].split(", ")]
-        writer = rows.select(*columns).write.mode("append")
-        (writer.partitionBy("folder") if name == "chunk_data" else writer).parquet(self._path(name))
+    def _parts(self, version: int) -> dict[str, list[str]]:
+        if not version:
+            return {name: [] for name in TABLES}
+        stream = self._fs().open(self._path("_log", f"{version:012}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        """Write a new version beside the old one, then put it in its place."""
-        fresh = f"{self._path(name)}.{uuid.uuid4().hex}"
-        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+    def _state(self) -> tuple[int, dict[str, list[str]]]:
+        """The last version and the parts of each table in it."""
+        version = max(self._versions(), default=0)
+        return version, self._parts(version)
+
+    def _commit(self, version: int, parts: dict[str, list[str]]) -> None:
+        """Make ``parts`` the version after ``version``, unless there is one."""
+        fs, jvm = self._fs(), self.spark._jvm
+        partial, final = self._path("_log", f".{uuid.uuid4().hex}.partial"), self._path("_log", f"{version + 1:012}.json")
+        out = fs.create(partial, False)
+        out.write(bytearray(json.dumps(parts).encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(partial, final, options)
+        except Py4JJavaError as e:
+            fs.delete(partial, False)
+            if fs.exists(final):
+                raise Changed("the store has changed meanwhile") from e
+            raise
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        """Write a part that no version lists yet; its name."""
+        part = f"p{uuid.uuid4().hex}"
+        columns = [c.name for c in self._read(name, []).schema]
         writer = rows.select(*columns).write
-        (writer.partitionBy("folder") if name == "chunk_data" else writer).parquet(fresh)
-        self._rename(fresh, self._path(name))
+        (writer.partitionBy("folder") if name == "chunk_data" else writer).parquet(f"{self.root}/{name}/part={part}")
+        return part
+
+    def _drop(self, name: str, part: str) -> None:
+        self._fs().delete(self._path(name, f"part={part}"), True)
+
+    def _read(self, name: str, parts: list[str], with_part: bool = False) -> DataFrame:
+        schema = f"{TABLES[name]}, part string"
+        if parts:
+            rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*[f"{self.root}/{name}/part={p}" for p in parts])
+        else:
+            rows = self.spark.createDataFrame([], schema)
+        return rows if with_part else rows.drop("part")
+
+    def table(self, name: str, parts: dict[str, list[str]] | None = None) -> DataFrame:
+        return self._read(name, (parts or self._state()[1]).get(name, []))
+
+    def _add(self, added: dict[str, DataFrame], whole: Callable[[dict[str, list[str]]], bool] = lambda parts: True) -> None:
+        """Append rows to tables in one version. ``whole`` judges each version
+        that they would make; when it says no, nothing is added."""
+        written = {name: self._write(name, rows) for name, rows in added.items()}
+        try:
+            while True:
+                version, parts = self._state()
+                after = {name: parts.get(name, []) + ([written[name]] if name in written else []) for name in TABLES}
+                if not whole(after):
+                    raise ValueError("chunks of the snapshot are missing")
+                if not all(self._fs().exists(self._path(n, f"part={p}")) for n, p in written.items()):
+                    raise RuntimeError("a part went with a vacuum before it was listed")
+                try:
+                    return self._commit(version, after)
+                except Changed:
+                    continue
+        except BaseException:
+            for name, part in written.items():
+                self._drop(name, part)
+            raise
+
+    def _swap(self, version: int, parts: dict[str, list[str]], fresh: dict[str, DataFrame], kept: dict[str, list[str]] | None = None) -> None:
+        """Put new rows in the place of tables as they were in ``version``, beside
+        the parts in ``kept``; all in one step, or ``Changed``."""
+        written = {}
+        try:
+            for name, rows in fresh.items():
+                written[name] = self._write(name, rows)
+            self._commit(version, {**parts, **{name: (kept or {}).get(name, []) + [part] for name, part in written.items()}})
+        except BaseException:
+            for name, part in written.items():
+                self._drop(name, part)
+            raise
+
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        self._swap(*self._state(), {name: rows})
+
+    @contextmanager
+    def _staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """The rows written once, for several uses, and gone after them."""
+        where = f"_staging/{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(f"{self.root}/{where}")
+            yield self.spark.read.schema(rows.schema).parquet(f"{self.root}/{where}")
+        finally:
+            self._fs().delete(self._path(where), True)
+
+    def vacuum(self, seconds: int = STALE_PARTIAL_SECONDS) -> None:
+        """Delete parts and staged rows that have been in no version for so long;
+        writers and readers must be done by then."""
+        edge, versions = time.time() - seconds, self._versions()
+        order = sorted(versions)
+        # a version was read until its successor came
+        kept = [v for v, after in zip(order, [*order[1:], None], strict=True) if after is None or versions[after] > edge]
+        listed = {(name, p) for v in kept for name, parts in self._parts(v).items() for p in parts}
+        for name in TABLES:
+            for child, at in self._children(name):
+                if child.startswith("part=") and at <= edge and (name, child[5:]) not in listed:
+                    self._drop(name, child[5:])
+        for folder, old in (("_staging", lambda n: True), ("_log", lambda n: n.endswith(".partial") or n in {f"{v:012}.json" for v in set(order) - set(kept)})):
+            for child, at in self._children(folder):
+                if at <= edge and old(child):
+                    self._fs().delete(self._path(folder, child), True)
 
     # -- write
 
-    def ingest(self, files: DataFrame, job: str, created: datetime, now: datetime | None = None) -> str:
-        """Store the files (path, bytes) as a snapshot; its name."""
+    def _packed(self, rows: DataFrame, label: str) -> DataFrame:
+        """Rows (chunk, size, stored, compressed, length) with their new packs. A
+        group of ids fills about ``GROUP_PACKS`` packs, so a pack never exceeds its
+        target by more than a chunk, and tasks grow in number with the bytes."""
+        total = rows.agg(F.sum("length")).first()[0] or 0
+        width = 0
+        while 16**width * GROUP_PACKS * self.target < total:
+            width += 1
+        dealt = rows.withColumns({"group": F.substring("chunk", 1, width), "seq": F.lit(0).cast("bigint")})
+        pack = F.sha2(F.concat_ws(":", F.lit(label), "group", F.col("pack_no").cast("string")), 256)
+        dealt = store.assign_packs(dealt, "group", "chunk", "length", self.target)
+        return dealt.withColumn("pack", pack).withColumn("folder", names.pack_folder(F.col("pack")))
+
+    def ingest(self, files: DataFrame, job: str, created: datetime, now: datetime | None = None, entries: DataFrame | None = None) -> str:
+        """Store the files (path, bytes) as a snapshot; its name.
+
+        ``entries`` are rows of a scan: modes, times, owners, attributes, links
+        and folders to keep with it. Without them every file has its path alone.
+        """
         name = f"{job}-{created:%Y%m%dT%H%M%SZ}-{uuid.uuid4()}{names.SUFFIX}"
-        staging = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        chunking.chunked(files, "path", "bytes", *self.sizes, keep_bytes=True).write.parquet(staging)
-        chunks = self.spark.read.parquet(staging)
-        new = chunks.dropDuplicates(["chunk"]).join(self.table("pack_entry").select("chunk").distinct(), "chunk", "left_anti")
-        form = codec.compress(F.col("bytes"))
-        packed = new.select("chunk", "size", form.alias("form")).select("chunk", "size", "form.stored", "form.compressed")
-        packed = packed.withColumns({"group": F.substring("chunk", 1, 1), "seq": F.lit(0).cast("bigint"), "length": F.octet_length("stored").cast("bigint")})
-        packed = store.assign_packs(packed, "group", "chunk", "length", self.target)
-        pack = F.sha2(F.concat_ws(":", F.lit(name), "group", F.col("pack_no").cast("string")), 256)
-        rows = packed.withColumns({"pack": pack, "folder": names.pack_folder(pack)})
-        written = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        rows.write.parquet(written)
-        rows = self.spark.read.parquet(written)
-        self._append("chunk_data", rows)
-        self._append("pack_entry", rows.withColumns({"stored": F.col("length"), "modified": F.lit(now or created).cast("timestamp_ntz")}))
-        recipe = chunks.select(F.lit(name).alias("name"), "path", "seq", "chunk", "size")
-        if store.incomplete(recipe, self.table("pack_entry")).limit(1).count():
-            raise ValueError("chunks of the snapshot are missing")
-        self._append("snapshot_chunk", recipe)
-        total = recipe.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("size"), F.count(F.lit(1)).alias("chunks"))
-        self._append("snapshot", total.select(F.lit(job).alias("job"), F.lit(name).alias("name"), F.lit(created).cast("timestamp_ntz").alias("created"), "size", "chunks"))
+        if entries is None:
+            kept = files.select("path", F.lit("file").alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("mode", "int"), ("mtime", "bigint"), ("mtime_ns", "bigint"), ("uid", "int"), ("gid", "int"), ("link_target", "string"), ("hard_target", "string"), ("xattrs", "array<struct<name:string,value:binary>>"))])
+        else:
+            stored = entries.where("disposition = 'stored'")
+            hard = catalog.hardlink_targets(stored.where("kind = 'file'")).withColumnRenamed("target", "hard_target")
+            kept = stored.join(hard, "path", "left")
+        with self._staged(kept.select(F.lit(name).alias("name"), *[c for c in self._read("snapshot_entry", []).columns if c != "name"])) as kept:
+            own = files.join(kept.where("kind = 'file' and hard_target is null").select("path"), "path", "left_semi")
+            with self._staged(chunking.chunked(own, "path", "bytes", *self.sizes, keep_bytes=True)) as chunks:
+                new = chunks.dropDuplicates(["chunk"]).join(self.table("pack_entry").select("chunk").distinct(), "chunk", "left_anti")
+                form = new.select("chunk", "size", codec.compress(F.col("bytes")).alias("form")).select("chunk", "size", "form.stored", "form.compressed")
+                with self._staged(form.withColumn("length", F.octet_length("stored").cast("bigint"))) as sized, self._staged(self._packed(sized, name)) as rows:
+                    recipe = chunks.select(F.lit(name).alias("name"), "path", "seq", "chunk", "size")
+                    total = recipe.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("size"), F.count(F.lit(1)).alias("chunks"))
+                    added = {
+                        "chunk_data": rows,
+                        "pack_entry": rows.withColumns({"stored": F.col("length"), "modified": F.lit(now or created).cast("timestamp_ntz")}),
+                        "snapshot_chunk": recipe,
+                        "snapshot_entry": kept,
+                        "snapshot": total.select(F.lit(job).alias("job"), F.lit(name).alias("name"), F.lit(created).cast("timestamp_ntz").alias("created"), "size", "chunks"),
+                    }
+                    self._add(added, lambda parts: not store.incomplete(recipe, self.table("pack_entry", parts)).limit(1).count())
+        self._compact()
         return name
 
+    def _compact(self) -> None:
+        """Merge the index and the list of snapshots once they have too many parts."""
+        version, parts = self._state()
+        many = {name: self.table(name, parts) for name in ("pack_entry", "snapshot") if len(parts.get(name, [])) > MAX_INDEX_FILES}
+        if many:
+            try:
+                self._swap(version, parts, many)
+            except Changed:
+                pass  # the next writer finds it as long
+
     # -- read
 
     def snapshots(self, job: str | None = None) -> DataFrame:
@@ -101,25 +248,39 @@ class Store:
     def list_sized(self) -> DataFrame:
         return listing.list_sized_stored(self.table("snapshot"), self.table("snapshot_chunk"), self.table("pack_entry"))
 
-    def contents(self) -> DataFrame:
-        """pack, chunk, bytes of what reads as its id says."""
+    def contents(self, wanted: DataFrame | None = None) -> DataFrame:
+        """pack, chunk, bytes of what reads as its id says, of all chunks or of
+        those in ``wanted``; others aren't decoded."""
         data = self.table("chunk_data")
+        if wanted is not None:
+            data = data.join(wanted.select("chunk").distinct(), "chunk", "left_semi")
         plain = data.withColumn("bytes", codec.decompress(F.col("stored"), F.col("size"), F.col("compressed")))
         return plain.where(F.sha2("bytes", 256) == F.col("chunk")).select("pack", "chunk", "bytes")
 
-    def restore(self, name: str, *peers: Store) -> DataFrame:
-        """path, bytes of a snapshot, each chunk from the first store that has it
-        intact. A file's chunks come together to form it."""
-        recipe = self.table("snapshot_chunk").where(F.col("name") == name)
-        copies = self.contents().withColumn("priority", F.lit(0))
+    def entries(self, name: str) -> DataFrame:
+        """The paths of a snapshot with what is known of them, and ``size``."""
+        sizes = self.table("snapshot_chunk").where(F.col("name") == name).groupBy("path").agg(F.sum("size").alias("size"))
+        rows = self.table("snapshot_entry").where(F.col("name") == name).drop("name")
+        return rows.join(sizes, "path", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("bigint")))
+
+    def pieces(self, name: str, *peers: Store) -> DataFrame:
+        """path, seq, bytes of the chunks of a snapshot's files, each from the
+        first store that has it intact; bytes are null where none has."""
+        recipe = self.table("snapshot_chunk").where(F.col("name") == name).drop("name")
+        copies = self.contents(recipe).withColumn("priority", F.lit(0))
         for i, peer in enumerate(peers, 1):
-            copies = copies.unionByName(peer.contents().withColumn("priority", F.lit(i)))
-        wanted = copies.join(recipe.select("chunk").distinct(), "chunk", "left_semi")
-        best = verify.best_copies(wanted, F.struct("priority", "pack"), F.lit(True))
-        rows = recipe.join(best.select("chunk", "bytes"), "chunk", "left")
-        parts = F.array_sort(F.collect_list(F.struct("seq", "bytes")))
-        whole = F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["bytes"]))
-        return rows.groupBy("path").agg(F.when(F.count_if(F.col("bytes").isNull()) == 0, whole).alias("bytes"))
+            copies = copies.unionByName(peer.contents(recipe).withColumn("priority", F.lit(i)))
+        best = verify.best_copies(copies, F.struct("priority", "pack"), F.lit(True))
+        return recipe.join(best.select("chunk", "bytes"), "chunk", "left").select("path", "seq", "bytes")
+
+    def restore(self, name: str, *peers: Store) -> DataFrame:
+        """path, bytes of a snapshot's files, null where chunks are lost. A file's
+        chunks come together to form it; ``pieces`` has those of larger files."""
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "bytes"))), lambda p: F.hex(p["bytes"]))
+        formed = self.pieces(name, *peers).groupBy("path").agg(F.when(F.count_if(F.col("bytes").isNull()) == 0, F.unhex(F.array_join(parts, ""))).alias("bytes"), F.lit(True).alias("some"))
+        rows = self.entries(name).where("kind = 'file'").select("path", F.coalesce("hard_target", "path").alias("source"))
+        joined = rows.join(formed.withColumnRenamed("path", "source"), "source", "left")
+        return joined.select("path", F.when(F.col("some").isNull(), F.lit(b"")).otherwise(F.col("bytes")).alias("bytes"))
 
     def check(self) -> DataFrame:
         """The store check's one row."""
@@ -133,63 +294,71 @@ class Store:
     def prune(self, now: datetime, count: int | None = None, seconds: int | None = None) -> None:
         """Apply retention, then collect garbage; without a rule only the latter."""
         if count is not None or seconds is not None:
-            kept = retention.apply(self.table("snapshot"), now, count, seconds)
-            self._replace("snapshot", kept)
-            self._replace("snapshot_chunk", self.table("snapshot_chunk").join(self.table("snapshot").select("name"), "name", "left_semi"))
+            version, parts = self._state()
+            with self._staged(retention.apply(self.table("snapshot", parts), now, count, seconds)) as kept:
+                left = {name: self.table(name, parts).join(kept.select("name"), "name", "left_semi") for name in ("snapshot_chunk", "snapshot_entry")}
+                self._swap(version, parts, {"snapshot": kept, **left})
         self.collect_garbage(now)
 
     def collect_garbage(self, now: datetime) -> None:
-        """Drop dead packs and rewrite sparse ones; young packs stay. The new
-        index is in place before any bytes go."""
-        entries = self.table("pack_entry")
+        """Drop dead packs and rewrite sparse ones; young packs stay. Only parts
+        that hold such packs are written anew; index and bytes change together."""
+        version, parts = self._state()
+        found = self.table("pack_entry", parts)
         moment: Column = F.lit(now).cast("timestamp_ntz")
-        old = store.old_enough(entries, moment).select("pack").distinct()
-        live = store.live_chunks(self.table("snapshot_chunk").join(self.table("snapshot").select("name"), "name", "left_semi"))
-        plan = store.gc_plan(entries, live).join(old, "pack", "left_semi")
-        doomed = plan.where("verdict <> 'keep'").select("pack")
-        if not doomed.limit(1).count():
-            return
-        moves = store.repack_moves(entries, live, plan).select("chunk", "pack")
-        fresh = F.sha2(F.concat(F.lit(uuid.uuid4().hex), F.substring("chunk", 1, 1)), 256)
-        data = self.table("chunk_data")
-        moved = data.join(moves, ["pack", "chunk"], "left_semi").withColumn("pack", fresh).withColumn("folder", names.pack_folder(F.col("pack")))
-        rows = data.join(doomed, "pack", "left_anti").unionByName(moved)
-        staged = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        rows.write.parquet(staged)
-        rows = self.spark.read.schema(TABLES["chunk_data"]).parquet(staged)
-        when = entries.select("pack", "modified").distinct()
-        index = rows.select("pack", "chunk", F.octet_length("stored").cast("bigint").alias("stored"), "size", "compressed").join(when, "pack", "left").withColumn("modified", F.coalesce("modified", moment))
-        self._replace("pack_entry", index)
-        self._replace("chunk_data", rows)
+        old = store.old_enough(found, moment).select("pack").distinct()
+        live = store.live_chunks(self.table("snapshot_chunk", parts).join(self.table("snapshot", parts).select("name"), "name", "left_semi"))
+        plan = store.gc_plan(found, live).join(old, "pack", "left_semi")
+        with self._staged(plan.where("verdict <> 'keep'").select("pack", "verdict")) as doomed:
+            if doomed.limit(1).count():
+                data = self._read("chunk_data", parts["chunk_data"], with_part=True)
+                hurt = [r["part"] for r in data.select("part", "pack").join(doomed, "pack", "left_semi").select("part").distinct().collect()]
+                touched = self._read("chunk_data", hurt)
+                moves = store.repack_moves(found, live, doomed).select("chunk", "pack")
+                moved = touched.join(moves, ["pack", "chunk"], "left_semi").select("chunk", "size", "stored", "compressed", F.octet_length("stored").cast("bigint").alias("length"))
+                columns = [c.name for c in touched.schema]
+                with self._staged(moved) as sized, self._staged(self._packed(sized, uuid.uuid4().hex)) as fresh:
+                    index = found.join(doomed, "pack", "left_anti").unionByName(fresh.select("pack", "chunk", F.col("length").alias("stored"), "size", "compressed", moment.alias("modified")))
+                    rest = touched.join(doomed, "pack", "left_anti").select(*columns).unionByName(fresh.select(*columns))
+                    self._swap(version, parts, {"pack_entry": index, "chunk_data": rest}, {"chunk_data": [p for p in parts["chunk_data"] if p not in hurt]})
+        self.vacuum()
 
     def repair(self, *peers: Store) -> None:
         """Bring back damaged chunks from peers that hold them intact."""
+        version, parts = self._state()
         good = self.contents().select("pack", "chunk")
-        bad = self.table("pack_entry").select("pack", "chunk").join(good, ["pack", "chunk"], "left_anti")
-        wanted = bad.select("chunk").distinct()
-        found = None
-        for i, peer in enumerate(peers):
-            intact = peer.contents().select(F.col("pack").alias("peer_pack"), "chunk").withColumn("priority", F.lit(i))
-            part = peer.table("chunk_data").withColumnRenamed("pack", "peer_pack").join(intact, ["peer_pack", "chunk"]).join(wanted, "chunk", "left_semi")
-            found = part if found is None else found.unionByName(part)
-        if found is None:
-            return
-        best = verify.best_copies(found, F.struct("priority", "peer_pack"), F.lit(True))
-        healed = bad.join(best, "chunk").withColumn("folder", names.pack_folder(F.col("pack")))
-        rows = self.table("chunk_data").join(bad, ["pack", "chunk"], "left_anti").unionByName(healed.select(*self.table("chunk_data").columns))
-        staged = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        rows.write.parquet(staged)
-        self._replace("chunk_data", self.spark.read.schema(TABLES["chunk_data"]).parquet(staged))
+        with self._staged(self.table("pack_entry", parts).select("pack", "chunk").join(good, ["pack", "chunk"], "left_anti")) as bad:
+            found = None
+            for i, peer in enumerate(peers):
+                intact = peer.contents(bad).select(F.col("pack").alias("peer_pack"), "chunk").withColumn("priority", F.lit(i))
+                part = peer.table("chunk_data").withColumnRenamed("pack", "peer_pack").join(intact, ["peer_pack", "chunk"])
+                found = part if found is None else found.unionByName(part)
+            if found is None:
+                return
+            best = verify.best_copies(found, F.struct("priority", "peer_pack"), F.lit(True))
+            with self._staged(bad.join(best, "chunk").withColumn("folder", names.pack_folder(F.col("pack")))) as healed:
+                data = self.table("chunk_data", parts)
+                rows = data.join(healed, ["pack", "chunk"], "left_anti").select(*data.columns).unionByName(healed.select(*data.columns))
+                # what the index says of a chunk is what its new bytes are
+                index = self.table("pack_entry", parts)
+                whole = healed.select("pack", "chunk", F.octet_length("stored").cast("bigint").alias("stored"), "size", "compressed")
+                when = index.groupBy("pack").agg(F.max("modified").alias("modified"))
+                fresh = index.join(whole, ["pack", "chunk"], "left_anti").select(*index.columns).unionByName(whole.join(when, "pack").select(*index.columns))
+                self._swap(version, parts, {"chunk_data": rows, "pack_entry": fresh})
 
     def copy_to(self, other: Store, name: str) -> None:
         """Send a snapshot: only the chunks that the other store lacks."""
         recipe = self.table("snapshot_chunk").where(F.col("name") == name)
         need = store.unique_missing(recipe, other.table("pack_entry")).select("chunk")
-        best = verify.best_copies(self.table("chunk_data").join(need, "chunk", "left_semi"), F.col("pack"), F.lit(True))
-        other._append("chunk_data", best)
-        when = self.table("pack_entry").select("pack", "modified").distinct()
-        other._append("pack_entry", best.select("pack", "chunk", F.octet_length("stored").cast("bigint").alias("stored"), "size", "compressed").join(when, "pack"))
-        if store.incomplete(recipe, other.table("pack_entry")).limit(1).count():
-            raise ValueError("chunks of the snapshot are missing")
-        other._append("snapshot_chunk", recipe)
-        other._append("snapshot", self.table("snapshot").where(F.col("name") == name))
+        intact = self.contents(need).select("pack", "chunk").distinct()
+        with self._staged(verify.best_copies(self.table("chunk_data").join(intact, ["pack", "chunk"], "left_semi"), F.col("pack"), F.lit(True))) as best:
+            when = self.table("pack_entry").groupBy("pack").agg(F.max("modified").alias("modified"))
+            added = {
+                "chunk_data": best,
+                "pack_entry": best.select("pack", "chunk", F.octet_length("stored").cast("bigint").alias("stored"), "size", "compressed").join(when, "pack"),
+                "snapshot_chunk": recipe,
+                "snapshot_entry": self.table("snapshot_entry").where(F.col("name") == name),
+                "snapshot": self.table("snapshot").where(F.col("name") == name),
+            }
+            other._add(added, lambda parts: not store.incomplete(recipe, other.table("pack_entry", parts)).limit(1).count())
+        other._compact()

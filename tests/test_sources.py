@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packlake.operators import files
 from packlake.sources import archive, config, filesystem
-from packlake.sources.tables import Store
+from packlake.sources.tables import TABLES, Changed, Store
 from packlake.streaming import loops
 from test_functions import noise
 
@@ -105,6 +105,95 @@ def test_store_round_trip(spark, tmp_path):
     assert live <= store.table("pack_entry").select("chunk").distinct().count() <= live + 5
 
 
+def test_snapshots_keep_what_a_scan_knows(spark, tmp_path):
+    source = tmp_path / "source"
+    (source / "empty").mkdir(parents=True)
+    (source / "deep").mkdir()
+    (source / "a.txt").write_bytes(b"text")
+    (source / "none.txt").write_bytes(b"")
+    (source / "deep/big.bin").write_bytes(noise(30_000, 3))
+    os.link(source / "a.txt", source / "b.txt")
+    (source / "away").symlink_to("deep/big.bin")
+    os.chmod(source / "a.txt", 0o640)
+    os.chmod(source / "empty", 0o700)
+    os.utime(source / "a.txt", ns=(1, 1_500_000_000_123_456_789))
+    store = Store(spark, f"file://{tmp_path}/s", 256, 1024, 4096, 20_000)
+    entries, contents = filesystem.scan(spark, str(source)), filesystem.contents(spark, f"file://{source}")
+    name = store.ingest(contents.select("path", "bytes"), "j", datetime(2026, 7, 17, 2), entries=entries)
+    data = {"a.txt": b"text", "b.txt": b"text", "none.txt": b"", "deep/big.bin": noise(30_000, 3)}
+    assert {r["path"]: bytes(r["bytes"]) for r in store.restore(name).collect()} == data
+    assert archive.restore_to(store, name, f"{tmp_path}/out") == 4
+    out = tmp_path / "out"
+    assert {p: (out / p).read_bytes() for p in data} == data and (out / "empty").is_dir() and os.readlink(out / "away") == "deep/big.bin"
+    assert os.path.samefile(out / "a.txt", out / "b.txt") and (out / "a.txt").stat().st_mtime_ns == 1_500_000_000_123_456_789
+    assert [(out / p).stat().st_mode & 0o777 for p in ("a.txt", "empty")] == [0o640, 0o700]
+    assert archive.export(store, name, f"{tmp_path}/{name}") == 4
+    rows = {r["path"]: r for r in archive.unpacked(archive.originals(spark, str(tmp_path))).collect()}
+    assert {p: bytes(rows[p]["bytes"]) for p in data if rows[p]["hard_target"] is None} == {p: v for p, v in data.items() if p != "b.txt"}
+    assert rows["b.txt"]["hard_target"] == "a.txt" and rows["away"]["link_target"] == "deep/big.bin" and rows["empty"]["kind"] == "dir" and rows["a.txt"]["mode"] == 0o640
+    # a link that a snapshot brings leads no file out of the folder
+    (out / "deep/big.bin").unlink()
+    (out / "deep").rmdir()
+    (out / "deep").symlink_to(tmp_path)
+    with pytest.raises(ValueError, match="outside"):
+        archive.restore_to(store, name, str(out))
+
+
+def test_a_store_changes_in_one_step(spark, tmp_path, monkeypatch):
+    now = datetime(2026, 7, 17, 2)
+    store = Store(spark, f"file://{tmp_path}/s", 256, 1024, 4096, 20_000)
+    frame = lambda seed: spark.createDataFrame([("f", bytearray(noise(90_000, seed)))], "path string, bytes binary")
+    state = lambda: {t: store.table(t).count() for t in TABLES}
+    first = store.ingest(frame(5), "j", now)
+    biggest = store.table("pack_entry").groupBy("pack").agg(F.sum("stored").alias("n")).agg(F.max("n"), F.count("n")).first()
+    assert biggest[0] < 20_000 + 4096 and biggest[1] in (4, 5)
+    before, commit = state(), Store._commit
+
+    def killed(self, version, parts):
+        raise OSError("killed")
+
+    monkeypatch.setattr(Store, "_commit", killed)
+    for step in (lambda: store.ingest(frame(6), "j", now), lambda: store.prune(now + timedelta(days=900), count=0)):
+        with pytest.raises(OSError, match="killed"):
+            step()
+        assert state() == before and store.check().first()["clean"]
+
+    # another writer comes first: what is added follows it, what replaces is refused
+    def overtaken(self, version, parts):
+        monkeypatch.setattr(Store, "_commit", commit)
+        Store(spark, store.root, 256, 1024, 4096, 20_000).ingest(frame(7), "other", now)
+        commit(self, version, parts)
+
+    monkeypatch.setattr(Store, "_commit", overtaken)
+    second = store.ingest(frame(6), "j", now + timedelta(days=1))
+    assert store.table("snapshot").count() == 3 and store.check().first()["clean"]
+    monkeypatch.setattr(Store, "_commit", overtaken)
+    with pytest.raises(Changed):
+        store.prune(now + timedelta(days=900), count=1)
+    assert store.table("snapshot").count() == 4 and store.check().first()["clean"]
+    monkeypatch.undo()
+    store.prune(now + timedelta(days=3), seconds=86_400)
+    assert {r["name"] for r in store.snapshots("j").collect()} <= {first, second} and store.check().first()["clean"]
+    store.vacuum(0)
+    listed = {(t, p) for t, parts in store._state()[1].items() for p in parts}
+    assert listed == {(t, f.name[5:]) for t in TABLES for f in (tmp_path / "s" / t).iterdir()} and not list((tmp_path / "s/_staging").iterdir())
+    assert len([f for f in (tmp_path / "s/_log").iterdir() if f.name[0] != "."]) == 1 and store.check().first()["clean"]
+
+
+def test_an_index_of_many_parts_is_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("packlake.sources.tables.MAX_INDEX_FILES", 2)
+    store, peer = Store(spark, f"file://{tmp_path}/s", 256, 1024, 4096, 20_000), Store(spark, f"file://{tmp_path}/p", 256, 1024, 4096, 20_000)
+    for day in range(3):
+        name = store.ingest(spark.createDataFrame([("f", bytearray(noise(9_000, day + 1)))], "path string, bytes binary"), "j", datetime(2026, 7, 17 + day))
+    parts = store._state()[1]
+    assert len(parts["pack_entry"]) == len(parts["snapshot"]) == 1 and len(parts["chunk_data"]) == 3 and store.check().first()["clean"]
+    # damaged bytes are sent nowhere
+    store._replace("chunk_data", store.table("chunk_data").withColumn("stored", F.encode(F.lit("junk"), "utf-8")).withColumn("compressed", F.lit(False)))
+    with pytest.raises(ValueError, match="missing"):
+        store.copy_to(peer, name)
+    assert peer.table("snapshot").count() == peer.table("chunk_data").count() == 0
+
+
 def test_streams(spark, tmp_path):
     rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=i), i % 5, "error" if i % 3 else "click", 0.0, "{}") for i in range(60)]
     spark.createDataFrame(rows, loops.EVENTS).repartition(3).write.parquet(f"{tmp_path}/in/events.parquet")
