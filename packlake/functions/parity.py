@@ -7,6 +7,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,11 +54,19 @@ def split(data: bytes) -> np.ndarray:
     return out.reshape(DATA_PIECES, n)
 
 
+#: Bytes of each piece that are worked on at once.
+BLOCK = 1 << 15
+
+
 def parity(pieces: np.ndarray) -> np.ndarray:
-    p = np.bitwise_xor.reduce(pieces, axis=0)
-    weighted = EXP[LOG[pieces] + np.arange(len(pieces))[:, None]]
-    weighted[pieces == 0] = 0
-    return np.stack([p, np.bitwise_xor.reduce(weighted, axis=0)])
+    out, shift = np.empty((PARITY_PIECES, pieces.shape[1]), np.uint8), np.arange(len(pieces))[:, None]
+    for at in range(0, pieces.shape[1], BLOCK):
+        part = pieces[:, at : at + BLOCK]
+        weighted = EXP[LOG[part] + shift]
+        weighted[part == 0] = 0
+        out[0, at : at + BLOCK] = np.bitwise_xor.reduce(part, axis=0)
+        out[1, at : at + BLOCK] = np.bitwise_xor.reduce(weighted, axis=0)
+    return out
 
 
 def seal(data: bytes) -> tuple[list[bytes], list[str]]:
@@ -123,3 +132,37 @@ def healed(data: pd.Series, first: pd.Series, count: pd.Series) -> pd.Series:
             return None
 
     return pd.Series([one(x, int(at), int(n)) for x, at, n in zip(data, first, count, strict=True)])
+
+
+def pack_seals(rows: DataFrame) -> DataFrame:
+    """pack, length, hashes, p, q of packs (pack, chunk, stored): the seal of a
+    pack's chunks in the order of their ids. A pack is bounded, and a task's group."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        data = b"".join(bytes(x) for x in frame.sort_values("chunk")["stored"])
+        pieces, hashes = seal(data)
+        return pd.DataFrame([(frame["pack"].iloc[0], len(data), hashes, *pieces[DATA_PIECES:])], columns=["pack", "length", "hashes", "p", "q"])
+
+    return rows.select("pack", "chunk", "stored").groupBy("pack").applyInPandas(one, "pack string, length bigint, hashes array<string>, p binary, q binary")
+
+
+def healed_packs(rows: DataFrame, seals: DataFrame) -> DataFrame:
+    """pack, chunk, stored of packs that their seals could rebuild. ``rows`` (pack,
+    chunk, length, stored) are what the index lists, with the bytes that are left."""
+
+    def one(frame: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        frame, out = frame.sort_values("chunk"), []
+        left = [(bytes(x) if x is not None else b"")[:n].ljust(n, b"\0") for x, n in zip(frame["stored"], frame["length"], strict=True)]
+        if len(found) == 1 and len(data := b"".join(left)) == found["length"].iloc[0]:
+            pieces = [*(x.tobytes() for x in split(data)), bytes(found["p"].iloc[0]), bytes(found["q"].iloc[0])]
+            try:
+                data, at = unseal(pieces, list(found["hashes"].iloc[0]), len(data))[0], 0
+                for pack, chunk, n in zip(frame["pack"], frame["chunk"], frame["length"], strict=True):
+                    out.append((pack, chunk, data[at : at + n]))
+                    at += n
+            except ValueError:
+                pass  # too many pieces are damaged
+        return pd.DataFrame(out, columns=["pack", "chunk", "stored"])
+
+    packs = rows.select("pack", "chunk", "length", "stored").groupBy("pack")
+    return packs.cogroup(seals.groupBy("pack")).applyInPandas(one, "pack string, chunk string, stored binary")

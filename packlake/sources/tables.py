@@ -1,36 +1,30 @@
-"""A chunk store as Parquet tables below one root, local or remote.
+"""A chunk store as versioned tables.
 
-``chunk_data`` holds bytes by pack, ``pack_entry`` is the index, ``snapshot``,
-``snapshot_entry`` and ``snapshot_chunk`` are the recipes. A table is a list of
-parts, folders that never change once written. ``_log`` holds one small file a
-version, which lists the parts of all tables; writing the next one is the only
-step that changes the store, so every change of several tables shows at once or
-not at all. Two writers meet at the number of that file: additions go on after
-it, replacements are refused. What a failed run left behind is in no version and
-goes with ``vacuum``. The file system must refuse to rename onto a file.
+``chunk_data`` holds bytes by pack, ``pack_entry`` is the index, ``pack_seal``
+lets a damaged pack heal itself, ``snapshot``, ``snapshot_entry`` and
+``snapshot_chunk`` are the recipes. A snapshot shows with all that it needs or
+not at all.
 """
 
 from __future__ import annotations
 
-import json
-import time
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from datetime import datetime
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlake.functions import chunking, codec, names
+from packlake.functions import chunking, codec, names, parity
 from packlake.operators import files as catalog
 from packlake.operators import listing, retention, store, verify
-from packlake.schemas import CHUNK_AVG, CHUNK_MAX, CHUNK_MIN, MAX_INDEX_FILES, PACK_TARGET, STALE_PARTIAL_SECONDS
+from packlake.operators.sizes import one_row
+from packlake.schemas import CHUNK_AVG, CHUNK_MAX, CHUNK_MIN, MAX_INDEX_FILES, PACK_TARGET
+from packlake.sources.versions import Changed, Versioned
 
 TABLES = {
     "chunk_data": "pack string, chunk string, seq bigint, stored binary, size bigint, compressed boolean, folder string",
     "pack_entry": "pack string, chunk string, stored bigint, size bigint, compressed boolean, modified timestamp_ntz",
+    "pack_seal": "pack string, length bigint, hashes array<string>, p binary, q binary",
     "snapshot_chunk": "name string, path string, seq int, chunk string, size bigint",
     "snapshot_entry": (
         "name string, path string, kind string, mode int, mtime bigint, mtime_ns bigint, uid int, gid int, "
@@ -42,145 +36,12 @@ TABLES = {
 GROUP_PACKS = 16
 
 
-class Changed(RuntimeError):
-    """Another writer has changed the store meanwhile."""
+class Store(Versioned):
+    TABLES, DEALT = TABLES, {"chunk_data": "folder"}
 
-
-class Store:
     def __init__(self, spark: SparkSession, root: str, least: int = CHUNK_MIN, average: int = CHUNK_AVG, most: int = CHUNK_MAX, target: int = PACK_TARGET):
-        self.spark, self.root, self.sizes, self.target = spark, root.rstrip("/"), (least, average, most), target
-
-    # -- versions
-
-    def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
-
-    def _fs(self):
-        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _children(self, *parts: str) -> list[tuple[str, float]]:
-        """Names below a folder with the seconds of their last change."""
-        fs, where = self._fs(), self._path(*parts)
-        return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(where)] if fs.exists(where) else []
-
-    def _versions(self) -> dict[int, float]:
-        return {int(n[:-5]): at for n, at in self._children("_log") if n.endswith(".json") and n[:-5].isdigit()}
-
-    def _parts(self, version: int) -> dict[str, list[str]]:
-        if not version:
-            return {name: [] for name in TABLES}
-        stream = self._fs().open(self._path("_log", f"{version:012}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _state(self) -> tuple[int, dict[str, list[str]]]:
-        """The last version and the parts of each table in it."""
-        version = max(self._versions(), default=0)
-        return version, self._parts(version)
-
-    def _commit(self, version: int, parts: dict[str, list[str]]) -> None:
-        """Make ``parts`` the version after ``version``, unless there is one."""
-        fs, jvm = self._fs(), self.spark._jvm
-        partial, final = self._path("_log", f".{uuid.uuid4().hex}.partial"), self._path("_log", f"{version + 1:012}.json")
-        out = fs.create(partial, False)
-        out.write(bytearray(json.dumps(parts).encode()))
-        out.close()
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(partial, final, options)
-        except Py4JJavaError as e:
-            fs.delete(partial, False)
-            if fs.exists(final):
-                raise Changed("the store has changed meanwhile") from e
-            raise
-
-    def _write(self, name: str, rows: DataFrame) -> str:
-        """Write a part that no version lists yet; its name."""
-        part = f"p{uuid.uuid4().hex}"
-        columns = [c.name for c in self._read(name, []).schema]
-        writer = rows.select(*columns).write
-        (writer.partitionBy("folder") if name == "chunk_data" else writer).parquet(f"{self.root}/{name}/part={part}")
-        return part
-
-    def _drop(self, name: str, part: str) -> None:
-        self._fs().delete(self._path(name, f"part={part}"), True)
-
-    def _read(self, name: str, parts: list[str], with_part: bool = False) -> DataFrame:
-        schema = f"{TABLES[name]}, part string"
-        if parts:
-            rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*[f"{self.root}/{name}/part={p}" for p in parts])
-        else:
-            rows = self.spark.createDataFrame([], schema)
-        return rows if with_part else rows.drop("part")
-
-    def table(self, name: str, parts: dict[str, list[str]] | None = None) -> DataFrame:
-        return self._read(name, (parts or self._state()[1]).get(name, []))
-
-    def _add(self, added: dict[str, DataFrame], whole: Callable[[dict[str, list[str]]], bool] = lambda parts: True) -> None:
-        """Append rows to tables in one version. ``whole`` judges each version
-        that they would make; when it says no, nothing is added."""
-        written = {name: self._write(name, rows) for name, rows in added.items()}
-        try:
-            while True:
-                version, parts = self._state()
-                after = {name: parts.get(name, []) + ([written[name]] if name in written else []) for name in TABLES}
-                if not whole(after):
-                    raise ValueError("chunks of the snapshot are missing")
-                if not all(self._fs().exists(self._path(n, f"part={p}")) for n, p in written.items()):
-                    raise RuntimeError("a part went with a vacuum before it was listed")
-                try:
-                    return self._commit(version, after)
-                except Changed:
-                    continue
-        except BaseException:
-            for name, part in written.items():
-                self._drop(name, part)
-            raise
-
-    def _swap(self, version: int, parts: dict[str, list[str]], fresh: dict[str, DataFrame], kept: dict[str, list[str]] | None = None) -> None:
-        """Put new rows in the place of tables as they were in ``version``, beside
-        the parts in ``kept``; all in one step, or ``Changed``."""
-        written = {}
-        try:
-            for name, rows in fresh.items():
-                written[name] = self._write(name, rows)
-            self._commit(version, {**parts, **{name: (kept or {}).get(name, []) + [part] for name, part in written.items()}})
-        except BaseException:
-            for name, part in written.items():
-                self._drop(name, part)
-            raise
-
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        self._swap(*self._state(), {name: rows})
-
-    @contextmanager
-    def _staged(self, rows: DataFrame) -> Iterator[DataFrame]:
-        """The rows written once, for several uses, and gone after them."""
-        where = f"_staging/{uuid.uuid4().hex}"
-        try:
-            rows.write.parquet(f"{self.root}/{where}")
-            yield self.spark.read.schema(rows.schema).parquet(f"{self.root}/{where}")
-        finally:
-            self._fs().delete(self._path(where), True)
-
-    def vacuum(self, seconds: int = STALE_PARTIAL_SECONDS) -> None:
-        """Delete parts and staged rows that have been in no version for so long;
-        writers and readers must be done by then."""
-        edge, versions = time.time() - seconds, self._versions()
-        order = sorted(versions)
-        # a version was read until its successor came
-        kept = [v for v, after in zip(order, [*order[1:], None], strict=True) if after is None or versions[after] > edge]
-        listed = {(name, p) for v in kept for name, parts in self._parts(v).items() for p in parts}
-        for name in TABLES:
-            for child, at in self._children(name):
-                if child.startswith("part=") and at <= edge and (name, child[5:]) not in listed:
-                    self._drop(name, child[5:])
-        for folder, old in (("_staging", lambda n: True), ("_log", lambda n: n.endswith(".partial") or n in {f"{v:012}.json" for v in set(order) - set(kept)})):
-            for child, at in self._children(folder):
-                if at <= edge and old(child):
-                    self._fs().delete(self._path(folder, child), True)
+        super().__init__(spark, root)
+        self.sizes, self.target = (least, average, most), target
 
     # -- write
 
@@ -197,19 +58,18 @@ class Store:
         dealt = store.assign_packs(dealt, "group", "chunk", "length", self.target)
         return dealt.withColumn("pack", pack).withColumn("folder", names.pack_folder(F.col("pack")))
 
-    def ingest(self, files: DataFrame, job: str, created: datetime, now: datetime | None = None, entries: DataFrame | None = None) -> str:
+    def ingest(self, files: DataFrame, job: str, created: datetime, now: datetime | None = None, entries: DataFrame | None = None, name: str | None = None) -> str:
         """Store the files (path, bytes) as a snapshot; its name.
 
         ``entries`` are rows of a scan: modes, times, owners, attributes, links
         and folders to keep with it. Without them every file has its path alone.
         """
-        name = f"{job}-{created:%Y%m%dT%H%M%SZ}-{uuid.uuid4()}{names.SUFFIX}"
+        name = name or f"{job}-{created:%Y%m%dT%H%M%SZ}-{uuid.uuid4()}{names.SUFFIX}"
         if entries is None:
             kept = files.select("path", F.lit("file").alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("mode", "int"), ("mtime", "bigint"), ("mtime_ns", "bigint"), ("uid", "int"), ("gid", "int"), ("link_target", "string"), ("hard_target", "string"), ("xattrs", "array<struct<name:string,value:binary>>"))])
         else:
             stored = entries.where("disposition = 'stored'")
-            hard = catalog.hardlink_targets(stored.where("kind = 'file'")).withColumnRenamed("target", "hard_target")
-            kept = stored.join(hard, "path", "left")
+            kept = stored if "hard_target" in stored.columns else stored.join(catalog.hardlink_targets(stored.where("kind = 'file'")).withColumnRenamed("target", "hard_target"), "path", "left")
         with self._staged(kept.select(F.lit(name).alias("name"), *[c for c in self._read("snapshot_entry", []).columns if c != "name"])) as kept:
             own = files.join(kept.where("kind = 'file' and hard_target is null").select("path"), "path", "left_semi")
             with self._staged(chunking.chunked(own, "path", "bytes", *self.sizes, keep_bytes=True)) as chunks:
@@ -221,6 +81,7 @@ class Store:
                     added = {
                         "chunk_data": rows,
                         "pack_entry": rows.withColumns({"stored": F.col("length"), "modified": F.lit(now or created).cast("timestamp_ntz")}),
+                        "pack_seal": parity.pack_seals(rows),
                         "snapshot_chunk": recipe,
                         "snapshot_entry": kept,
                         "snapshot": total.select(F.lit(job).alias("job"), F.lit(name).alias("name"), F.lit(created).cast("timestamp_ntz").alias("created"), "size", "chunks"),
@@ -232,7 +93,7 @@ class Store:
     def _compact(self) -> None:
         """Merge the index and the list of snapshots once they have too many parts."""
         version, parts = self._state()
-        many = {name: self.table(name, parts) for name in ("pack_entry", "snapshot") if len(parts.get(name, [])) > MAX_INDEX_FILES}
+        many = {name: self.table(name, parts) for name in ("pack_entry", "pack_seal", "snapshot") if len(parts.get(name, [])) > MAX_INDEX_FILES}
         if many:
             try:
                 self._swap(version, parts, many)
@@ -282,12 +143,29 @@ class Store:
         joined = rows.join(formed.withColumnRenamed("path", "source"), "source", "left")
         return joined.select("path", F.when(F.col("some").isNull(), F.lit(b"")).otherwise(F.col("bytes")).alias("bytes"))
 
+    def damaged(self, parts: dict[str, list[str]] | None = None) -> DataFrame:
+        """pack, chunk of what the index lists and doesn't read as its id says."""
+        return self.table("pack_entry", parts).select("pack", "chunk").join(self.contents().select("pack", "chunk"), ["pack", "chunk"], "left_anti")
+
+    def findings(self) -> DataFrame:
+        """kind, item: what stands and what is damaged. A pack counts as damaged
+        once nothing in it reads; other bad chunks are listed by themselves."""
+        found, bad, recipes = self.table("pack_entry"), self.damaged(), self.table("snapshot_chunk")
+        dead = bad.select("pack").distinct().join(found.join(bad, ["pack", "chunk"], "left_anti").select("pack").distinct(), "pack", "left_anti")
+        torn = self.table("snapshot").groupBy("name").agg(F.sum("chunks").alias("chunks")).join(recipes.groupBy("name").agg(F.count(F.lit(1)).alias("listed")), "name", "left")
+        return verify.findings(found, dead, bad, recipes, torn.where("chunks <> coalesce(listed, 0)").select("name"))
+
     def check(self) -> DataFrame:
-        """The store check's one row."""
-        entries, good = self.table("pack_entry"), self.contents().select("pack", "chunk")
-        bad = entries.select("pack", "chunk").join(good, ["pack", "chunk"], "left_anti")
-        found = verify.findings(entries, bad.select("pack").limit(0), bad, self.table("snapshot_chunk"), self.table("snapshot").select("name").limit(0))
-        return verify.summary(entries.select("pack").distinct(), found).withColumn("clean", F.col("clean") & F.lit(not bad.limit(1).count()))
+        """The store check's one row; bad chunks of which another copy reads aren't clean either."""
+        row = verify.summary(self.table("pack_entry").select("pack").distinct(), self.findings())
+        return row.withColumn("clean", F.col("clean") & F.lit(not self.damaged().limit(1).count()))
+
+    def verify(self, *peers: Store) -> DataFrame:
+        """kind, item that stay damaged after a check, a repair by seals and peers,
+        and another check."""
+        if self.damaged().limit(1).count():
+            self.repair(*peers)
+        return self.findings().where("kind <> 'intact'")
 
     # -- maintain
 
@@ -320,45 +198,68 @@ class Store:
                 with self._staged(moved) as sized, self._staged(self._packed(sized, uuid.uuid4().hex)) as fresh:
                     index = found.join(doomed, "pack", "left_anti").unionByName(fresh.select("pack", "chunk", F.col("length").alias("stored"), "size", "compressed", moment.alias("modified")))
                     rest = touched.join(doomed, "pack", "left_anti").select(*columns).unionByName(fresh.select(*columns))
-                    self._swap(version, parts, {"pack_entry": index, "chunk_data": rest}, {"chunk_data": [p for p in parts["chunk_data"] if p not in hurt]})
+                    seals = self.table("pack_seal", parts).join(doomed, "pack", "left_anti").unionByName(parity.pack_seals(fresh))
+                    self._swap(version, parts, {"pack_entry": index, "chunk_data": rest, "pack_seal": seals}, {"chunk_data": [p for p in parts["chunk_data"] if p not in hurt]})
         self.vacuum()
 
     def repair(self, *peers: Store) -> None:
-        """Bring back damaged chunks from peers that hold them intact."""
+        """Bring damaged chunks back, from the seal of their pack or else from the
+        first peer that holds them intact. They go to new packs; a pack keeps its
+        damaged rows while one of them can't be brought back."""
         version, parts = self._state()
-        good = self.contents().select("pack", "chunk")
-        with self._staged(self.table("pack_entry", parts).select("pack", "chunk").join(good, ["pack", "chunk"], "left_anti")) as bad:
-            found = None
-            for i, peer in enumerate(peers):
-                intact = peer.contents(bad).select(F.col("pack").alias("peer_pack"), "chunk").withColumn("priority", F.lit(i))
-                part = peer.table("chunk_data").withColumnRenamed("pack", "peer_pack").join(intact, ["peer_pack", "chunk"])
-                found = part if found is None else found.unionByName(part)
-            if found is None:
-                return
-            best = verify.best_copies(found, F.struct("priority", "peer_pack"), F.lit(True))
-            with self._staged(bad.join(best, "chunk").withColumn("folder", names.pack_folder(F.col("pack")))) as healed:
-                data = self.table("chunk_data", parts)
-                rows = data.join(healed, ["pack", "chunk"], "left_anti").select(*data.columns).unionByName(healed.select(*data.columns))
-                # what the index says of a chunk is what its new bytes are
-                index = self.table("pack_entry", parts)
-                whole = healed.select("pack", "chunk", F.octet_length("stored").cast("bigint").alias("stored"), "size", "compressed")
-                when = index.groupBy("pack").agg(F.max("modified").alias("modified"))
-                fresh = index.join(whole, ["pack", "chunk"], "left_anti").select(*index.columns).unionByName(whole.join(when, "pack").select(*index.columns))
-                self._swap(version, parts, {"chunk_data": rows, "pack_entry": fresh})
+        index, data, seals = (self.table(t, parts) for t in ("pack_entry", "chunk_data", "pack_seal"))
+        with self._staged(self.damaged(parts)) as bad:
+            hurt = bad.select("pack").distinct()
+            good = index.join(bad, ["pack", "chunk"], "left_anti").select("chunk").distinct()
+            wanted = bad.select("chunk").distinct().join(good, "chunk", "left_anti")
+            listed = index.join(hurt, "pack", "left_semi").withColumnRenamed("stored", "length")
+            own = parity.healed_packs(listed.join(data.select("pack", "chunk", "stored"), ["pack", "chunk"], "left"), seals.join(hurt, "pack", "left_semi"))
+            copies = own.join(listed.select("pack", "chunk", "size", "compressed"), ["pack", "chunk"]).withColumn("priority", F.lit(0))
+            for i, peer in enumerate(peers, 1):
+                theirs = peer.table("chunk_data").select("pack", "chunk", "stored", "size", "compressed").withColumn("priority", F.lit(i))
+                copies = copies.unionByName(theirs.join(peer.contents(wanted).select("pack", "chunk"), ["pack", "chunk"], "left_semi"))
+            copies = copies.join(wanted, "chunk", "left_semi")
+            sound = copies.withColumn("reads", F.sha2(codec.decompress(F.col("stored"), F.col("size"), F.col("compressed")), 256) == F.col("chunk"))
+            best = verify.best_copies(sound, F.struct("priority", "pack"), F.col("reads")).select("chunk", "size", "stored", "compressed", F.octet_length("stored").cast("bigint").alias("length"))
+            with self._staged(best) as found, self._staged(self._packed(found, uuid.uuid4().hex)) as fresh:
+                cured = bad.join(good.unionByName(found.select("chunk")), "chunk", "left_semi")
+                lost = bad.join(cured, ["pack", "chunk"], "left_anti").select("pack").distinct()
+                with self._staged(cured.join(lost, "pack", "left_anti").select("pack", "chunk")) as gone:
+                    if not gone.limit(1).count() and not fresh.limit(1).count():
+                        return
+                    # only parts with rows that go are written anew, beside those of the new packs
+                    touched = self._read("chunk_data", parts["chunk_data"], with_part=True).select("part", "pack", "chunk").join(gone, ["pack", "chunk"], "left_semi")
+                    old = [r["part"] for r in touched.select("part").distinct().collect()]
+                    rest = self._read("chunk_data", old).join(gone, ["pack", "chunk"], "left_anti")
+                    columns = data.columns
+                    healed = gone.select("pack").distinct()
+                    when = index.agg(F.max("modified").alias("modified"))
+                    new = fresh.select("pack", "chunk", F.col("length").alias("stored"), "size", "compressed").join(one_row(when))
+                    left = data.join(gone, ["pack", "chunk"], "left_anti").join(healed, "pack", "left_semi").select("pack", "chunk", "stored")
+                    tables = {
+                        "chunk_data": rest.select(*columns).unionByName(fresh.select(*columns)),
+                        "pack_entry": index.join(gone, ["pack", "chunk"], "left_anti").select(*index.columns).unionByName(new.select(*index.columns)),
+                        "pack_seal": seals.join(healed, "pack", "left_anti").unionByName(parity.pack_seals(left.unionByName(fresh.select("pack", "chunk", "stored")))),
+                    }
+                    self._swap(version, parts, tables, {"chunk_data": [p for p in parts["chunk_data"] if p not in old]})
 
     def copy_to(self, other: Store, name: str) -> None:
         """Send a snapshot: only the chunks that the other store lacks."""
         recipe = self.table("snapshot_chunk").where(F.col("name") == name)
         need = store.unique_missing(recipe, other.table("pack_entry")).select("chunk")
         intact = self.contents(need).select("pack", "chunk").distinct()
-        with self._staged(verify.best_copies(self.table("chunk_data").join(intact, ["pack", "chunk"], "left_semi"), F.col("pack"), F.lit(True))) as best:
-            when = self.table("pack_entry").groupBy("pack").agg(F.max("modified").alias("modified"))
+        best = verify.best_copies(self.table("chunk_data").join(intact, ["pack", "chunk"], "left_semi"), F.col("pack"), F.lit(True))
+        best = best.select("chunk", "size", "stored", "compressed", F.octet_length("stored").cast("bigint").alias("length"))
+        own = self.table("snapshot").where(F.col("name") == name)
+        with self._staged(best) as sized, self._staged(other._packed(sized, uuid.uuid4().hex)) as rows:
+            when = own.agg(F.max("created").alias("modified"))
             added = {
-                "chunk_data": best,
-                "pack_entry": best.select("pack", "chunk", F.octet_length("stored").cast("bigint").alias("stored"), "size", "compressed").join(when, "pack"),
+                "chunk_data": rows,
+                "pack_entry": rows.drop("stored").withColumnRenamed("length", "stored").join(one_row(when)),
+                "pack_seal": parity.pack_seals(rows),
                 "snapshot_chunk": recipe,
                 "snapshot_entry": self.table("snapshot_entry").where(F.col("name") == name),
-                "snapshot": self.table("snapshot").where(F.col("name") == name),
+                "snapshot": own,
             }
             other._add(added, lambda parts: not store.incomplete(recipe, other.table("pack_entry", parts)).limit(1).count())
         other._compact()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from packlake.operators import files
 from packlake.sources import archive, config, filesystem
-from packlake.sources.tables import TABLES, Changed, Store
+from packlake.sources.tables import TABLES, Store
+from packlake.sources.versions import Changed
 from packlake.streaming import loops
 from test_functions import noise
 
@@ -189,11 +190,37 @@ def test_an_index_of_many_parts_is_merged(spark, tmp_path, monkeypatch):
     assert len(parts["pack_entry"]) == len(parts["snapshot"]) == 1 and len(parts["chunk_data"]) == 3 and store.check().first()["clean"]
     # damaged bytes are sent nowhere
     store._replace("chunk_data", store.table("chunk_data").withColumn("stored", F.encode(F.lit("junk"), "utf-8")).withColumn("compressed", F.lit(False)))
-    with pytest.raises(ValueError, match="missing"):
+    with pytest.raises(ValueError, match="whole"):
         store.copy_to(peer, name)
     assert peer.table("snapshot").count() == peer.table("chunk_data").count() == 0
 
 
+def test_a_pack_heals_itself(spark, tmp_path):
+    now = datetime(2026, 7, 17, 2)
+    store, data = Store(spark, f"file://{tmp_path}/s", 256, 1024, 4096, 60_000), noise(150_000, 9)
+    name = store.ingest(spark.createDataFrame([("f", bytearray(data))], "path string, bytes binary"), "j", now)
+    packs = sorted(r["pack"] for r in store.table("pack_entry").select("pack").distinct().collect())
+    assert len(packs) == 3 and store.table("pack_seal").count() == 3
+    rows = store.table("chunk_data").toPandas().sort_values(["pack", "chunk"])
+    # some bytes within two pieces of one pack, more than that of another
+    few = rows[rows["pack"] == packs[0]]["chunk"].iloc[0]
+    many = set(rows[rows["pack"] == packs[1]]["chunk"].iloc[::2])
+    broken = lambda x, n: bytes(x[:5]) + bytes(n) + bytes(x[5 + n :])
+    rows["stored"] = [broken(x, 100) if c == few or c in many else bytes(x) for c, x in zip(rows["chunk"], rows["stored"], strict=True)]
+    schema = "pack string, chunk string, seq bigint, stored binary, size bigint, compressed boolean, folder string"
+    store._replace("chunk_data", spark.createDataFrame([tuple(map(lambda v: bytearray(v) if isinstance(v, bytes) else v, r)) for r in rows[[c.split()[0] for c in schema.split(", ")]].values.tolist()], schema))
+    assert {r["chunk"] for r in store.damaged().collect()} == {few} | many
+    left = store.verify().collect()
+    assert {r["item"] for r in left if r["kind"] == "bad_chunks"} == many and {r["item"] for r in left if r["kind"] == "incomplete"} == {name}
+    # the lost pack comes back from a peer, and the store is whole again
+    peer = Store(spark, f"file://{tmp_path}/p", 256, 1024, 4096, 60_000)
+    peer.ingest(spark.createDataFrame([("f", bytearray(data))], "path string, bytes binary"), "j", now)
+    assert not store.verify(peer).count() and store.check().first()["clean"]
+    assert bytes(store.restore(name).first()["bytes"]) == data
+    seals = {r["pack"]: r["length"] for r in store.table("pack_seal").collect()}
+    assert seals == {r["pack"]: r["n"] for r in store.table("pack_entry").groupBy("pack").agg(F.sum("stored").alias("n")).collect()}
+
+
 def test_streams(spark, tmp_path):
     rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=i), i % 5, "error" if i % 3 else "click", 0.0, "{}") for i in range(60)]
     spark.createDataFrame(rows, loops.EVENTS).repartition(3).write.parquet(f"{tmp_path}/in/events.parquet")
