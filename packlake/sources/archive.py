@@ -15,6 +15,7 @@ import shutil
 import tarfile
 import uuid
 from collections.abc import Iterator
+from decimal import ROUND_FLOOR, Decimal
 from itertools import chain, groupby
 from typing import TYPE_CHECKING
 
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from packlake.functions.codec import unframe
-from packlake.functions.names import first_token, is_archive_name
+from packlake.functions.names import first_token, is_archive_name, parsed_created, parsed_job
+from packlake.operators.legacy import in_order
 
 if TYPE_CHECKING:
     from packlake.sources.tables import Store
@@ -71,7 +73,7 @@ def _header(row: Row) -> tarfile.TarInfo:
     if row["mode"] is not None:
         info.mode, info.uid, info.gid, info.mtime = row["mode"] & 0o7777, row["uid"], row["gid"], row["mtime"]
         if row["mtime_ns"]:
-            info.pax_headers["mtime"] = f"{row['mtime']}.{row['mtime_ns']:09}" if row["mtime"] >= 0 else f"{row['mtime'] + row['mtime_ns'] / 10**9:.9f}"
+            info.pax_headers["mtime"] = f"{row['mtime'] + Decimal(row['mtime_ns']).scaleb(-9):f}"
     info.pax_headers |= {XATTR + x["name"]: bytes(x["value"]).decode("utf-8", "surrogateescape") for x in row["xattrs"] or []}
     return info
 
@@ -171,17 +173,21 @@ def originals(spark: SparkSession, root: str) -> DataFrame:
 
 def unpacked(archives: DataFrame) -> DataFrame:
     """archive, path, bytes, error of what is in each archive, with kind, mode,
-    mtime, uid, gid and links. An archive that doesn't match its checksum, or
+    times, owners, links and attributes. An archive that doesn't match its checksum, or
     doesn't decode, gives one row with the error."""
     schema = pa.schema([
         ("archive", pa.string()), ("path", pa.string()), ("bytes", pa.binary()), ("error", pa.string()), ("kind", pa.string()), ("mode", pa.int32()), ("mtime", pa.int64()),
-        ("uid", pa.int32()), ("gid", pa.int32()), ("link_target", pa.string()), ("hard_target", pa.string()),
+        ("mtime_ns", pa.int64()), ("uid", pa.int32()), ("gid", pa.int32()), ("link_target", pa.string()), ("hard_target", pa.string()),
+        ("xattrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.binary())]))),
     ])
 
     def row(archive: str, tar: tarfile.TarFile, m: tarfile.TarInfo) -> tuple:
         kind = "dir" if m.isdir() else "symlink" if m.issym() else "file"
         data = tar.extractfile(m).read() if m.isfile() else None
-        return archive, m.name, data, None, kind, m.mode, int(m.mtime // 1), m.uid, m.gid, m.linkname if m.issym() else None, m.linkname if m.islnk() else None
+        at = Decimal(m.pax_headers.get("mtime", m.mtime))
+        seconds = at.to_integral_value(ROUND_FLOOR)
+        attrs = [{"name": k[len(XATTR) :], "value": v.encode("utf-8", "surrogateescape")} for k, v in m.pax_headers.items() if k.startswith(XATTR)]
+        return archive, m.name, data, None, kind, m.mode, int(seconds), int((at - seconds) * 10**9), m.uid, m.gid, m.linkname if m.issym() else None, m.linkname if m.islnk() else None, attrs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +200,53 @@ def unpacked(archives: DataFrame) -> DataFrame:
                     with tarfile.open(fileobj=io.BytesIO(plain), mode="r:") as tar:
                         rows = [row(archive, tar, m) for m in tar if m.isfile() or m.isdir() or m.issym() or m.islnk()]
                 except (ValueError, OSError, tarfile.TarError, pa.ArrowException) as e:
-                    rows = [(archive, None, None, str(e), *[None] * 7)]
+                    rows = [(archive, None, None, str(e), *[None] * 9)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return archives.select("archive", "bytes", "expected").mapInArrow(run, "archive string, path string, bytes binary, error string, kind string, mode int, mtime bigint, uid int, gid int, link_target string, hard_target string")
+    return archives.select("archive", "bytes", "expected").mapInArrow(run, "archive string, path string, bytes binary, error string, kind string, mode int, mtime bigint, mtime_ns bigint, uid int, gid int, link_target string, hard_target string, xattrs array<struct<name:string,value:binary>>")
+
+
+def import_into(stores: list[Store], archives: DataFrame) -> list[tuple[str, str, str | None]]:
+    """(archive, root of the store, error or null) of old archives, oldest first.
+
+    ``archives`` (archive, bytes, expected, and position where a name has several
+    copies) holds each copy; the first that matches its checksum feeds every store
+    that lacks it, under its own name. A store's outcome is judged on its own,
+    after its chunks were read back; only then may its original go. A name that
+    doesn't parse is an error of its own.
+    """
+    out = []
+    if "position" not in archives.columns:
+        archives = archives.withColumn("position", F.lit(0))
+    listed = archives.select("archive").distinct().select("archive", parsed_job(F.col("archive")).alias("job"), parsed_created(F.col("archive")).alias("created"))
+    for archive, job, created in [(r["archive"], r["job"], r["created"]) for r in in_order(listed).collect()]:
+        lacking = [s for s in stores if not s.table("snapshot").where(F.col("name") == archive).limit(1).count()]
+        if job is None or created is None:
+            out += [(archive, s.root, "the name doesn't parse") for s in stores]
+            continue
+        if not lacking:
+            continue
+        copies, error = archives.where(F.col("archive") == archive), "there is no copy"
+        for position in [r["position"] for r in copies.select("position").distinct().orderBy("position").collect()]:
+            with lacking[0]._staged(unpacked(copies.where(F.col("position") == position))) as rows:
+                bad = rows.where("error is not null").select("error").first()
+                error = bad["error"] if bad else None
+                if error is None:
+                    entries = rows.withColumn("disposition", F.lit("stored"))
+                    for store in lacking:
+                        out.append((archive, store.root, _imported(store, archive, job, created, rows, entries)))
+                    break
+        if error is not None:
+            out += [(archive, s.root, error) for s in lacking]
+    return out
+
+
+def _imported(store: Store, name: str, job: str, created, rows: DataFrame, entries: DataFrame) -> str | None:
+    """The error of one store's import, or null once its chunks read."""
+    files = rows.where("kind = 'file' and hard_target is null").select("path", F.coalesce("bytes", F.lit(b"")).alias("bytes"))
+    try:
+        store.ingest(files, job, created, entries=entries, name=name)
+    except (ValueError, RuntimeError) as e:
+        return str(e)
+    lost = store.pieces(name).where("bytes is null").limit(1).count()
+    return "chunks are lost" if lost else None

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from packlake.operators import files
+from packlake.schemas import IMPORT_FAILURE
 from packlake.sources import archive, config, filesystem
+from packlake.sources.state import State
 from packlake.sources.tables import TABLES, Store
 from packlake.sources.versions import Changed
 from packlake.streaming import loops
@@ -132,6 +134,17 @@ def test_snapshots_keep_what_a_scan_knows(spark, tmp_path):
     rows = {r["path"]: r for r in archive.unpacked(archive.originals(spark, str(tmp_path))).collect()}
     assert {p: bytes(rows[p]["bytes"]) for p in data if rows[p]["hard_target"] is None} == {p: v for p, v in data.items() if p != "b.txt"}
     assert rows["b.txt"]["hard_target"] == "a.txt" and rows["away"]["link_target"] == "deep/big.bin" and rows["empty"]["kind"] == "dir" and rows["a.txt"]["mode"] == 0o640
+    # an import is the same snapshot, each store's for itself; damaged copies and odd names are told
+    other = Store(spark, f"file://{tmp_path}/o", 256, 1024, 4096, 20_000)
+    copies = archive.originals(spark, str(tmp_path))
+    bad = copies.select("archive", F.encode(F.lit("junk"), "utf-8").alias("bytes"), F.lit("00").alias("expected"), F.lit(0).alias("position"))
+    odd = bad.withColumn("archive", F.lit("x.tar.lz4"))
+    both = bad.unionByName(copies.withColumn("position", F.lit(1)).select(*bad.columns)).unionByName(odd)
+    assert sorted(archive.import_into([store, other], both)) == sorted([(name, other.root, None), ("x.tar.lz4", store.root, "the name doesn't parse"), ("x.tar.lz4", other.root, "the name doesn't parse")])
+    assert {r["path"]: r.asDict(True) for r in other.entries(name).collect()} == {r["path"]: {**r.asDict(True), "mode": r["mode"] & 0o7777} for r in store.entries(name).collect()}
+    assert {r["path"]: bytes(r["bytes"]) for r in other.restore(name).collect()} == data and archive.import_into([other], copies) == []
+    alone = Store(spark, f"file://{tmp_path}/n", 256, 1024, 4096, 20_000)
+    assert archive.import_into([alone], bad) == [(name, alone.root, "the checksum doesn't match")] and not alone.table("snapshot").count()
     # a link that a snapshot brings leads no file out of the folder
     (out / "deep/big.bin").unlink()
     (out / "deep").rmdir()
@@ -221,6 +234,38 @@ def test_a_pack_heals_itself(spark, tmp_path):
     assert seals == {r["pack"]: r["n"] for r in store.table("pack_entry").groupBy("pack").agg(F.sum("stored").alias("n")).collect()}
 
 
+def test_state_lasts(spark, tmp_path):
+    kept = State(spark, f"file://{tmp_path}/state")
+    run = lambda i, job: (i, job, f"{job}-20260717T020000Z-00000000-0000-0000-0000-00000000000{i}.tar.lz4", "c", 10, 100 + int(i), None, ["/a", "/b"])
+    runs = spark.createDataFrame([run("1", "docs"), run("2", "docs")], "run_id string, job string, archive_name string, checksum string, size bigint, created_at bigint, completed_at bigint, destinations array<string>")
+    results = lambda *rows: spark.createDataFrame(list(rows), "run_id string, destination string, ok boolean, error string")
+    done = results(("1", "/a", True, None), ("1", "/b", False, "offline"), ("2", "/a", True, None))
+    for _ in range(2):  # the same runs again change nothing
+        kept.register(runs, done, F.lit(1000))
+    rows = {(r["run_id"], r["destination"]): (r["delivered"], r["attempts"], r["next_retry"]) for r in kept.table("delivery").collect()}
+    assert rows == {("1", "/a"): (True, 1, None), ("1", "/b"): (False, 1, 1060), ("2", "/a"): (True, 1, None), ("2", "/b"): (False, 0, 1000)}
+    with pytest.raises(ValueError, match="still open"):
+        kept.rename("docs", "papers")
+    again = State(spark, kept.root)
+    again.mark(results(("1", "/b", True, None)), F.lit(2000))
+    assert {r["run_id"]: r["completed_at"] for r in kept.table("run").collect()} == {"1": 2000, "2": None}
+    again.forget("docs")
+    assert [r["run_id"] for r in kept.table("run").collect()] == ["1"] and kept.table("delivery").count() == 2
+    again.rename("docs", "papers", spark.createDataFrame([("/a", "/c")], "destination string, target string"))
+    assert kept.table("run").first()["archive_name"].startswith("papers-") and {r["destination"] for r in kept.table("delivery").collect()} == {"/c", "/b"}
+    problems = lambda *x: spark.createDataFrame([(p,) for p in x], "problem string")
+    kept.verified("/b", 50, problems("bad", "worse"))
+    kept.verified("/b", 60, problems("bad"))
+    assert [tuple(r) for r in kept.table("verified").collect()] == [("/b", 60)] and kept.table("verify_problem").count() == 1
+    kept.upsert("import_failure", spark.createDataFrame([("/b", "x", "why", 5)], IMPORT_FAILURE))
+    kept.upsert("import_failure", spark.createDataFrame([("/b", "x", "again", 6)], IMPORT_FAILURE))
+    assert [r["error"] for r in kept.table("import_failure").collect()] == ["again"]
+    kept.delete("import_failure", kept.table("import_failure").select("destination", "archive"))
+    assert not kept.table("import_failure").count()
+    kept.purge(2000 + 31 * 86_400)
+    assert not kept.table("run").count() and not kept.table("delivery").count()
+
+
 def test_streams(spark, tmp_path):
     rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=i), i % 5, "error" if i % 3 else "click", 0.0, "{}") for i in range(60)]
     spark.createDataFrame(rows, loops.EVENTS).repartition(3).write.parquet(f"{tmp_path}/in/events.parquet")
