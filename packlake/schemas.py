@@ -36,5 +36,6 @@ GRACE_SECONDS, BUSY_GRACE_SECONDS = 3600, 86_400
 VERIFY_SECONDS, OVERDUE_SECONDS = 7 * 86_400, 8 * 86_400
 IMPORT_RETRY_SECONDS = 24 * 3600
 STALL_SECONDS = 900
+STATE_ERROR_SECONDS = 60
 PROGRESS_BYTES = 64 << 20
 CHANGED_PATHS_SHOWN = 20

@@ -3,8 +3,9 @@
 ``spark.read.format("packlake_files").option("root", path).load()`` lists a
 folder, or one file, without following links. Exclusions prune while walking:
 an excluded folder is never entered. Each row has a disposition: stored, or why
-it isn't (mount, special, unreadable). The scan splits by the entries of the
-root, so large trees are walked by many tasks; all of them must see the root.
+it isn't (mount, special, unreadable). Folders are opened from the root downwards
+until there are enough of them to deal, so one large folder below the root is
+walked by many tasks too; all of them must see the root.
 """
 
 from __future__ import annotations
@@ -49,8 +50,10 @@ class Excluder:
 
 
 class Part(InputPartition):
-    def __init__(self, names: list[str]):
-        self.names = names
+    """Paths to walk below the root, and folders to list by themselves."""
+
+    def __init__(self, names: list[str], alone: list[str]):
+        self.names, self.alone = names, alone
 
 
 class Reader(DataSourceReader):
@@ -63,15 +66,40 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if not os.path.isdir(self.root):
-            return [Part([""])]
-        names = sorted(os.listdir(self.root))
-        return [Part(part) for i in range(self.tasks) if (part := names[i :: self.tasks])] or [Part([])]
+            return [Part([""], [])]
+        excluded, mounts = Excluder(self.exclude), mount_points()
+        device, names, alone, closed = os.lstat(self.root).st_dev, sorted(os.listdir(self.root)), [], []
+
+        def children(name: str) -> list[str] | None:
+            """The entries of a folder that the scan enters, else null."""
+            path = os.path.join(self.root, name)
+            try:
+                info = os.lstat(path)
+                if not stat.S_ISDIR(info.st_mode) or info.st_dev != device or path in mounts or excluded(name, True):
+                    return None
+                return [f"{name}/{x}" for x in sorted(os.listdir(path))]
+            except OSError:
+                return None
+
+        # level by level: what isn't a folder stays as it is
+        while names and len(names) + len(closed) < self.tasks * 4:
+            below = []
+            for name in names:
+                found = children(name)
+                if found is None:
+                    closed.append(name)
+                else:
+                    alone.append(name)
+                    below += found
+            names = below
+        names = sorted(names + closed)
+        return [Part(part, alone[i :: self.tasks]) for i in range(self.tasks) if (part := names[i :: self.tasks]) or alone[i :: self.tasks]] or [Part([], [])]
 
     def read(self, partition: Part) -> Iterator[tuple]:
         excluded, mounts = Excluder(self.exclude), mount_points()
         device = os.lstat(self.root).st_dev
 
-        def visit(path: str, relative: str) -> Iterator[tuple]:
+        def visit(path: str, relative: str, below: bool = True) -> Iterator[tuple]:
             try:
                 info = os.lstat(path)
             except OSError as e:
@@ -98,9 +126,11 @@ class Reader(DataSourceReader):
                 relative, kind, info.st_size, info.st_dev, info.st_ino, info.st_nlink, info.st_mtime_ns // 10**9, info.st_mtime_ns % 10**9, info.st_ctime_ns // 10**9, info.st_ctime_ns % 10**9,
                 info.st_mode, info.st_uid, info.st_gid, target, attrs, "stored", None,
             )
-            for name in names:
+            for name in names if below else []:
                 yield from visit(os.path.join(path, name), f"{relative}/{name}" if relative else name)
 
+        for name in partition.alone:
+            yield from visit(os.path.join(self.root, name), name, False)
         for name in partition.names:
             yield from visit(os.path.join(self.root, name) if name else self.root, name or os.path.basename(self.root))
 

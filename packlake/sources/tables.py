@@ -106,6 +106,10 @@ class Store(Versioned):
         rows = self.table("snapshot")
         return listing.newest_first(rows if job is None else rows.where(F.col("job") == job))
 
+    def packs(self) -> DataFrame:
+        """pack, chunks, stored, by id."""
+        return self.table("pack_entry").groupBy("pack").agg(F.count(F.lit(1)).alias("chunks"), F.sum("stored").alias("stored")).orderBy("pack")
+
     def list_sized(self) -> DataFrame:
         return listing.list_sized_stored(self.table("snapshot"), self.table("snapshot_chunk"), self.table("pack_entry"))
 

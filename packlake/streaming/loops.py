@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packlake.schemas import BACKOFF_SECONDS
+from packlake.schemas import BACKOFF_SECONDS, STATE_ERROR_SECONDS
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -95,3 +96,14 @@ def gaps(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
 
 def hourly(events: DataFrame, time: str, kind: str) -> DataFrame:
     return events.groupBy(F.date_trunc("hour", time).cast("timestamp_ntz").alias("hour"), kind).agg(F.count(F.lit(1)).alias("n"))
+
+
+def kept_running(step: Callable[[], None], failed: Callable[[Exception], None], stop: Callable[[], bool], pause: float = STATE_ERROR_SECONDS, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Run ``step`` until ``stop`` says so. An error ends no loop: it is told, and
+    the step rests for a while, so that a lasting one doesn't run at every tick."""
+    while not stop():
+        try:
+            step()
+        except Exception as e:  # noqa: BLE001  whatever it is, the loop goes on
+            failed(e)
+            sleep(pause)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from packlake.operators import files
 from packlake.schemas import IMPORT_FAILURE
-from packlake.sources import archive, config, filesystem
+from packlake.sources import archive, config, endpoints, filesystem
 from packlake.sources.state import State
 from packlake.sources.tables import TABLES, Store
 from packlake.sources.versions import Changed
@@ -46,6 +46,59 @@ def test_scan(spark, tmp_path):
         filesystem.scan(spark, str(tmp_path / "link")).collect()
 
 
+def test_scan_deals_deep_folders(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"one/two/d{i % 5}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"one/two/d{i % 5}/f{i}.{'tmp' if i % 7 == 0 else 'txt'}").write_bytes(bytes(i))
+    (tmp_path / "one/skipped/x").mkdir(parents=True)
+    for tasks in (1, 2, 16):
+        reader = filesystem.Reader({"root": str(tmp_path), "exclude": "*.tmp\nskipped/", "tasks": str(tasks)})
+        rows = [r[0] for part in reader.partitions() for r in reader.read(part)]
+        want = [str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.suffix != ".tmp" and "skipped" not in p.parts]
+        assert sorted(rows) == sorted(want)
+    assert len([p for p in filesystem.Reader({"root": str(tmp_path)}).partitions() if p.names]) == 16
+
+
+def test_endpoints(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "link").symlink_to("src")
+    (tmp_path / "file").write_text("x")
+    job = lambda n, source, *places: config.Job(n, source, list(places), "0 2 * * *")
+    asked = []
+    jobs = [
+        job("good", f"{tmp_path}/src", f"{tmp_path}/new/here", f"file://{tmp_path}/as-uri", "ssh://u@h:22/a", "ssh://u@h:22/b", "ssh://u@other/c"),
+        job("bad", f"{tmp_path}/link", f"{tmp_path}/file"),
+        job("gone", f"{tmp_path}/none", f"{tmp_path}/new/here"),
+    ]
+    found = endpoints.problems(spark, jobs, lambda place: asked.append(place) or ("no answer" if "other" in place else None))
+    assert asked == ["ssh://u@h:22/a", "ssh://u@other/c"]
+    assert [(j, p.rsplit("/", 1)[1]) for j, p, _ in found] == [("good", "c"), ("bad", "link"), ("bad", "file"), ("gone", "none")]
+    assert (tmp_path / "new/here").is_dir() and not list((tmp_path / "new/here").iterdir())
+    # moves go together or not at all
+    (tmp_path / "x/docs").mkdir(parents=True)
+    (tmp_path / "y/docs").mkdir(parents=True)
+    moves = [(f"{tmp_path}/{d}/docs", f"{tmp_path}/{d}/papers") for d in "xyz"]
+    (tmp_path / "y/papers").mkdir()
+    with pytest.raises(ValueError, match="such a folder"):
+        endpoints.move(spark, moves)
+    assert (tmp_path / "x/docs").is_dir()
+    (tmp_path / "y/papers").rmdir()
+    endpoints.move(spark, moves)
+    assert (tmp_path / "x/papers").is_dir() and (tmp_path / "y/papers").is_dir() and not (tmp_path / "x/docs").exists()
+
+
+def test_a_loop_outlives_errors():
+    log, ticks = [], iter(range(4))
+
+    def step():
+        log.append(tick := next(ticks))
+        if tick % 2:
+            raise OSError(f"tick {tick}")
+
+    loops.kept_running(step, lambda e: log.append(str(e)), lambda: len(log) >= 6, sleep=lambda s: log.append(s) if s != 60 else None)
+    assert log == [0, 1, "tick 1", 2, 3, "tick 3"]
+
+
 def test_config(spark):
     jobs = config.parse(CONFIG)
     assert jobs[0].age_seconds == 6 * 604_800 and config.job_table(spark, jobs).first()["exclude"] == ["*.tmp"]
@@ -213,7 +266,7 @@ def test_a_pack_heals_itself(spark, tmp_path):
     store, data = Store(spark, f"file://{tmp_path}/s", 256, 1024, 4096, 60_000), noise(150_000, 9)
     name = store.ingest(spark.createDataFrame([("f", bytearray(data))], "path string, bytes binary"), "j", now)
     packs = sorted(r["pack"] for r in store.table("pack_entry").select("pack").distinct().collect())
-    assert len(packs) == 3 and store.table("pack_seal").count() == 3
+    assert len(packs) == 3 and [r["pack"] for r in store.packs().collect()] == packs and store.table("pack_seal").count() == 3
     rows = store.table("chunk_data").toPandas().sort_values(["pack", "chunk"])
     # some bytes within two pieces of one pack, more than that of another
     few = rows[rows["pack"] == packs[0]]["chunk"].iloc[0]
