@@ -3,12 +3,17 @@ one at a time, with their SQL."""
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from packlake.functions import codec, events, location, names, parity
 from packlake.operators import files, health, legacy, listing, schedule, state, store, verify
 from packlake.plans import roles
 from packlake.plans.registry import query
+from packlake.sources.tables import Store
+from packlake.streaming import loops
 
 # -- locations and names
 
@@ -194,3 +199,45 @@ def config_reloads(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "create").when(F.col("event_type") == "view", "modify").when(F.col("event_type") == "error", "remove").otherwise("access")
     paths = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("/other"), F.lit("/jobs.toml"))).otherwise(F.array(F.lit("/other")))
     return roles.table(spark, sf_dir, "events").select("event_id", events.reloads(kind, paths, F.lit("/jobs.toml")).alias("reload"))
+
+
+# -- a store from end to end
+
+STORED_SQL = "SELECT doc_id, sha256(coalesce(text, '')) AS content FROM documents"
+
+
+def _stored(spark, sf_dir):
+    """A new store with all documents as one snapshot, and its name."""
+    held = Store(spark, f"{loops.shared_root(spark)}/store-{uuid.uuid4().hex}")
+    docs = roles.documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("bytes"))
+    return held, held.ingest(docs, "documents", datetime(2026, 7, 17, 2))
+
+
+def _contents(held, name):
+    return held.restore(name).select(F.col("path").cast("bigint").alias("doc_id"), F.sha2("bytes", 256).alias("content"))
+
+
+@query(STORED_SQL)
+def stored_documents(spark, sf_dir):
+    return _contents(*_stored(spark, sf_dir))
+
+
+@query(STORED_SQL)
+def copied_documents(spark, sf_dir):
+    held, name = _stored(spark, sf_dir)
+    other = Store(spark, f"{held.root}-copy")
+    held.copy_to(other, name)
+    return _contents(other, name)
+
+
+@query(STORED_SQL)
+def healed_documents(spark, sf_dir):
+    """The smallest chunk of each pack is overwritten; the packs heal themselves."""
+    held, name = _stored(spark, sf_dir)
+    least = held.table("pack_entry").groupBy("pack").agg(F.min_by("chunk", F.struct("stored", "chunk")).alias("hurt"))
+    data = held.table("chunk_data")
+    lost = F.encode(F.lpad(F.lit(""), F.octet_length("stored"), F.lit("?")), "utf-8")
+    damaged = data.join(least, "pack").withColumn("stored", F.when(F.col("chunk") == F.col("hurt"), lost).otherwise(F.col("stored")))
+    held._replace("chunk_data", damaged.select(*data.columns))
+    held.verify()
+    return _contents(held, name)
