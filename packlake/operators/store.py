@@ -150,10 +150,12 @@ def live_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk").distinct()
 
 
-def gc_plan(entries: DataFrame, live: DataFrame, percent: int = LIVE_PERCENT) -> DataFrame:
-    """pack, total, used, verdict. A live chunk counts in its least pack only."""
-    keeper = entries.groupBy("chunk").agg(F.min("pack").alias("keeper"))
-    marked = entries.join(keeper, "chunk").join(live.select("chunk").distinct().withColumn("live", F.lit(True)), "chunk", "left")
+def gc_plan(entries: DataFrame, live: DataFrame, percent: int = LIVE_PERCENT, unread: DataFrame | None = None) -> DataFrame:
+    """pack, total, used, verdict. A live chunk counts in its least pack only, but
+    for copies in ``unread``, which never count where there is another one."""
+    copies = entries if unread is None else entries.join(unread, ["pack", "chunk"], "left_anti")
+    keeper = copies.groupBy("chunk").agg(F.min("pack").alias("keeper"))
+    marked = entries.join(keeper, "chunk", "left").join(live.select("chunk").distinct().withColumn("live", F.lit(True)), "chunk", "left")
     kept = F.col("live").isNotNull() & (F.col("keeper") == F.col("pack"))
     sums = marked.groupBy("pack").agg(F.sum("stored").alias("total"), F.coalesce(F.sum(F.when(kept, F.col("stored"))), F.lit(0)).cast("bigint").alias("used"))
     verdict = F.when(F.col("used") == 0, "dead").when(F.col("used") * 100 < F.col("total") * percent, "sparse").otherwise("keep")

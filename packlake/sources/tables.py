@@ -113,10 +113,10 @@ class Store(Versioned):
     def list_sized(self) -> DataFrame:
         return listing.list_sized_stored(self.table("snapshot"), self.table("snapshot_chunk"), self.table("pack_entry"))
 
-    def contents(self, wanted: DataFrame | None = None) -> DataFrame:
+    def contents(self, wanted: DataFrame | None = None, parts: dict[str, list[str]] | None = None) -> DataFrame:
         """pack, chunk, bytes of what reads as its id says, of all chunks or of
         those in ``wanted``; others aren't decoded."""
-        data = self.table("chunk_data")
+        data = self.table("chunk_data", parts)
         if wanted is not None:
             data = data.join(wanted.select("chunk").distinct(), "chunk", "left_semi")
         plain = data.withColumn("bytes", codec.decompress(F.col("stored"), F.col("size"), F.col("compressed")))
@@ -149,7 +149,7 @@ class Store(Versioned):
 
     def damaged(self, parts: dict[str, list[str]] | None = None) -> DataFrame:
         """pack, chunk of what the index lists and doesn't read as its id says."""
-        return self.table("pack_entry", parts).select("pack", "chunk").join(self.contents().select("pack", "chunk"), ["pack", "chunk"], "left_anti")
+        return self.table("pack_entry", parts).select("pack", "chunk").join(self.contents(parts=parts).select("pack", "chunk"), ["pack", "chunk"], "left_anti")
 
     def findings(self) -> DataFrame:
         """kind, item: what stands and what is damaged. A pack counts as damaged
@@ -184,19 +184,20 @@ class Store(Versioned):
 
     def collect_garbage(self, now: datetime) -> None:
         """Drop dead packs and rewrite sparse ones; young packs stay. Only parts
-        that hold such packs are written anew; index and bytes change together."""
+        that hold such packs are written anew; index and bytes change together.
+        Of several copies of a chunk only one that reads lets the others go."""
         version, parts = self._state()
         found = self.table("pack_entry", parts)
         moment: Column = F.lit(now).cast("timestamp_ntz")
         old = store.old_enough(found, moment).select("pack").distinct()
         live = store.live_chunks(self.table("snapshot_chunk", parts).join(self.table("snapshot", parts).select("name"), "name", "left_semi"))
-        plan = store.gc_plan(found, live).join(old, "pack", "left_semi")
-        with self._staged(plan.where("verdict <> 'keep'").select("pack", "verdict")) as doomed:
+        several = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(live, "chunk", "left_semi").select("chunk")
+        with self._staged(several) as several, self._staged(self._unread(found, several, parts)) as unread, self._staged(self._doomed(found, live, unread, old)) as doomed:
             if doomed.limit(1).count():
                 data = self._read("chunk_data", parts["chunk_data"], with_part=True)
                 hurt = [r["part"] for r in data.select("part", "pack").join(doomed, "pack", "left_semi").select("part").distinct().collect()]
                 touched = self._read("chunk_data", hurt)
-                moves = store.repack_moves(found, live, doomed).select("chunk", "pack")
+                moves = store.repack_moves(found.join(unread, ["pack", "chunk"], "left_anti"), live, doomed).select("chunk", "pack")
                 moved = touched.join(moves, ["pack", "chunk"], "left_semi").select("chunk", "size", "stored", "compressed", F.octet_length("stored").cast("bigint").alias("length"))
                 columns = [c.name for c in touched.schema]
                 with self._staged(moved) as sized, self._staged(self._packed(sized, uuid.uuid4().hex)) as fresh:
@@ -206,6 +207,21 @@ class Store(Versioned):
                     self._swap(version, parts, {"pack_entry": index, "chunk_data": rest, "pack_seal": seals}, {"chunk_data": [p for p in parts["chunk_data"] if p not in hurt]})
         self.vacuum()
 
+    @staticmethod
+    def _doomed(found: DataFrame, live: DataFrame, unread: DataFrame, old: DataFrame) -> DataFrame:
+        plan = store.gc_plan(found, live, unread=unread).join(old, "pack", "left_semi")
+        return plan.where("verdict <> 'keep'").select("pack", "verdict")
+
+    def _unread(self, found: DataFrame, several: DataFrame, parts: dict[str, list[str]]) -> DataFrame:
+        """pack, chunk of the copies of ``several`` chunks that don't read as their
+        id says while another copy does. Only these chunks are decoded."""
+        if not several.limit(1).count():
+            return found.sparkSession.createDataFrame([], "pack string, chunk string")
+        reads = self.contents(several, parts).select("pack", "chunk").withColumn("reads", F.lit(True))
+        copies = found.join(several, "chunk", "left_semi").select("pack", "chunk").join(reads, ["pack", "chunk"], "left")
+        packs = F.collect_set(F.when(F.col("reads").isNull(), F.col("pack")))
+        return copies.groupBy("chunk").agg(packs.alias("packs"), F.bool_or("reads").alias("some")).where("some").select(F.explode("packs").alias("pack"), "chunk")
+
     def repair(self, *peers: Store) -> None:
         """Bring damaged chunks back, from the seal of their pack or else from the
         first peer that holds them intact. They go to new packs; a pack keeps its

@@ -161,6 +161,21 @@ def test_store_round_trip(spark, tmp_path):
     assert live <= store.table("pack_entry").select("chunk").distinct().count() <= live + 5
 
 
+@pytest.mark.parametrize("pack", ["0" * 64, "f" * 64])
+def test_garbage_collection_keeps_the_copy_that_reads(spark, tmp_path, pack):
+    # a damaged copy of every chunk in a pack of a lesser or greater id than the sound ones
+    now = datetime(2026, 7, 17, 2)
+    store = Store(spark, f"file://{tmp_path}/s", 256, 1024, 4096, 20_000)
+    data = noise(30_000, 5)
+    name = store.ingest(spark.createDataFrame([("a", bytearray(data))], "path string, bytes binary"), "j", now)
+    junk = store.table("chunk_data").withColumns({"pack": F.lit(pack), "folder": F.lit(pack[:2]), "stored": F.encode(F.lit("junk"), "utf-8"), "compressed": F.lit(False)})
+    index = store.table("pack_entry").withColumn("pack", F.lit(pack))
+    store._add({"chunk_data": junk, "pack_entry": index})
+    store.collect_garbage(now + timedelta(days=3))
+    assert bytes(store.restore(name).first()["bytes"]) == data
+    assert not store.table("pack_entry").where(F.col("pack") == pack).count() and store.check().first()["clean"]
+
+
 def test_snapshots_keep_what_a_scan_knows(spark, tmp_path):
     source = tmp_path / "source"
     (source / "empty").mkdir(parents=True)
