@@ -90,8 +90,14 @@ def der_children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] |
 def der_key(data: bytes, at: int = 0, end: int | None = None) -> int:
     """Length of the private key in DER that stands at ``at``, or 0."""
     end = len(data) if end is None else end
+    # every layout below is a sequence that begins with an integer or a sequence, which two bytes tell
+    if end - at < 3 or data[at] != 0x30:
+        return 0
+    first = at + 2 + (data[at + 1] & 0x7F if data[at + 1] & 0x80 else 0)
+    if first >= end or data[first] not in (0x02, 0x30):
+        return 0
     top = der_item(data, at, end)
-    if top is None or top[0] != 0x30:
+    if top is None:
         return 0
     parts = der_children(data, top[1], top[2])
     if not parts:
@@ -142,7 +148,7 @@ def openssh_key(data: bytes, at: int = 0, end: int | None = None) -> int:
 
 
 def key_length(data: bytes, at: int = 0, end: int | None = None) -> int:
-    return der_key(data, at, end) or openssh_key(data, at, end)
+    return der_key(data, at, end) if data[at] == 0x30 else openssh_key(data, at, end)
 
 
 def _base64(text: str) -> bytes:
@@ -189,7 +195,7 @@ class Run:
         return self.starts[k] + offset - self.offsets[k]
 
     def offset(self, place: int) -> int:
-        k = bisect.bisect_right(self.starts, place) - 1
+        k = bisect.bisect_right(self.starts, place) - 1 if len(self.starts) > 1 else 0
         return self.offsets[k] + place - self.starts[k]
 
     def after_key(self, offset: int) -> int:
