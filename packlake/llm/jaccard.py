@@ -13,13 +13,13 @@ Exact throughout: no sketches, no caps.
    shingle. The components of these ties hold every link.
 4. Each such group is searched by T-occurrence: an inverted index over the
    shared shingles of its texts; for each text the L longest of its lists are
-   set aside, the short ones are merged by a heap, candidates found often enough
-   are looked up in the long lists by binary search, and those reaching the
-   required overlap are links (DivideSkip). Lists leave out texts that are
-   already in the text's component. In a group beyond a task's memory, texts are
+   set aside, the short ones are merged by a heap of their runs, candidates found
+   often enough are looked up in the long lists by binary search, and those
+   reaching the required overlap are links (DivideSkip). Lists leave out texts that
+   are already in the text's component. In a group beyond a task's memory, texts are
    first held against a few hubs, which ties most of a large group of near copies
    in passes over its rows; its largest part and the rest are then searched as
-   pairs of blocks, but for pairs within the largest part.
+   pairs of blocks, a task each, but for pairs within the largest part.
 
 A batch sends each shingle once: with the text that holds it, or with the number
 of its texts, where which ones they are stays in a side list of the batch. So the
@@ -69,6 +69,10 @@ HUBS, HUB_ROUNDS = 16, 4
 MANY_COPIES = 10_000
 #: Shingles of a range, and of a group that one task searches.
 RANGE_SHINGLES, GROUP_SHINGLES = 800_000, 1_000_000
+#: Texts of a run, which the merge of lists counts at once.
+SPAN = 4096
+#: Lookups of candidates in long lists that are made at once.
+PROBES = 4096
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -312,6 +316,7 @@ class Links:
         by_token = np.argsort(self.token, kind="stable")
         self.posts = owner[by_token]
         self.lists = np.concatenate([[0], np.cumsum(np.bincount(self.token, minlength=len(known)))]).astype(np.int64)
+        self.places = self.token[by_token] * len(sets) + self.posts  # ascending: each list's place among all
         self.root = np.arange(len(sets))
         if parts is not None:  # texts of equal parts are known to be joined
             _, first, part = np.unique(parts[order], return_index=True, return_inverse=True)
@@ -343,60 +348,87 @@ class Links:
     def candidates(self, x: int, low: int, high: int, skip: int) -> Iterator[int]:
         """Texts y in [low, high) that link with x, but for those whose root is ``skip``."""
         tokens = self.tokens(x)
-        lengths = self.lists[tokens + 1] - self.lists[tokens]
-        tokens = tokens[np.argsort(lengths, kind="stable")]
-        threshold = -(-self.percent * int(self.sizes[x]) // 100)
+        # texts lie by size, so no y needs less than the first one
+        threshold = need(int(self.sizes[x]), int(self.sizes[low]), self.percent)
         if len(tokens) < threshold:
             return
+        lengths = self.lists[tokens + 1] - self.lists[tokens]
+        by_length = np.argsort(lengths, kind="stable")
+        tokens, lengths = tokens[by_length], lengths[by_length]
         # the L longest lists are set aside; L = T - 1 leaves the prefix alone
-        longest = int(np.max(lengths, initial=1))
-        aside = min(threshold - 1, int(threshold / (0.01 * np.log2(longest + 1) + 1)))
+        aside = min(threshold - 1, int(threshold / (0.01 * np.log2(int(lengths[-1]) + 1) + 1)))
         short, long = tokens[: len(tokens) - aside], tokens[len(tokens) - aside :]
-        merged = []
-        for t in short.tolist():
-            posts = self.posts[self.lists[t] : self.lists[t + 1]]
-            posts = posts[np.searchsorted(posts, low) : np.searchsorted(posts, high)]
-            posts = posts[self.flat_root[posts] != skip]
-            if len(posts):
-                merged.append(posts)
-        if not merged:
-            return
-        pairs = self.heap([p.tolist() for p in merged])
-        often = [(y, c, r) for y, c in pairs if c + aside >= (r := need(int(self.sizes[x]), int(self.sizes[y]), self.percent))]
-        for at in range(0, len(often), 64):
-            some = [p for p in often[at : at + 64] if self.flat_root[p[0]] != self.flat_root[x]]
-            if some:
-                yield from self.probe(long, *np.array(some, np.int64).T)
+        # the short lists end to end, without texts that needn't be sought
+        n = lengths[: len(short)]
+        ends = np.cumsum(n)
+        posts = self.posts[np.arange(ends[-1]) + np.repeat(self.lists[short] - (ends - n), n)]
+        open_ = np.flatnonzero((posts >= low) & (posts < high) & (self.flat_root[posts] != skip))
+        for ys, counts in self.merged(posts[open_], np.searchsorted(open_, ends)):
+            required = self.needs(x, ys)
+            often = np.flatnonzero(counts + aside >= required)
+            at, some = 0, 64
+            while at < len(often):  # after a link, what is joined by it is left out
+                take = often[at : at + some]
+                at, some = at + some, 2 * some
+                take = take[self.flat_root[ys[take]] != self.flat_root[x]]
+                if len(take):
+                    yield from self.probe(long, ys[take], counts[take], required[take])
+
+    def needs(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """``need`` of x and each y."""
+        return -(-self.percent * (self.sizes[x] + self.sizes[ys]) // (100 + self.percent))
 
     def probe(self, long: np.ndarray, ys: np.ndarray, counts: np.ndarray, required: np.ndarray) -> list[int]:
-        """Look candidates up in the long lists, all at once in each list; those
-        that can't reach the required overlap any more are given up."""
-        for k, t in enumerate(long.tolist()):
+        """Look candidates up in the long lists by binary search, some lists at
+        once; those that can't reach the required overlap any more are given up."""
+        k, texts = 0, len(self.ids)
+        while True:
             open_ = counts + (len(long) - k) >= required
             if not open_.all():
                 ys, counts, required = ys[open_], counts[open_], required[open_]
-            if not len(ys) or (counts >= required).all():
-                break
-            posts = self.posts[self.lists[t] : self.lists[t + 1]]
-            at = np.minimum(np.searchsorted(posts, ys), len(posts) - 1)
-            counts = counts + (posts[at] == ys)
-        return ys[counts >= required].tolist()
+            if not len(ys) or k == len(long) or (counts >= required).all():
+                return ys[counts >= required].tolist()
+            some = long[k : k + max(1, PROBES // len(ys))]
+            sought = some[:, None] * texts + ys
+            at = np.minimum(np.searchsorted(self.places, sought), len(self.places) - 1)
+            counts = counts + (self.places[at] == sought).sum(axis=0)
+            k += len(some)
 
     @staticmethod
-    def heap(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
-        """Merge sorted lists; each value with the number of lists that hold it."""
-        heap = [(p[0], i, 0) for i, p in enumerate(lists)]
+    def merged(values: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Merge sorted lists, given end to end, by a heap of their runs: what a list
+        holds of ``SPAN`` values is one run, and runs of equal values are counted at
+        once. Ascending values, with the number of lists that hold each."""
+        if not len(values):
+            return
+        span = values // SPAN
+        new = np.concatenate([[True], span[1:] != span[:-1]])
+        starts = np.concatenate([[0], ends[:-1]])
+        new[starts[starts < ends]] = True
+        first = np.flatnonzero(new)
+        owner = np.searchsorted(ends, first, side="right").tolist()
+        spans, cuts = span[first].tolist(), [*first.tolist(), len(values)]
+        heap = [(s, i) for i, s in enumerate(spans) if not i or owner[i] != owner[i - 1]]
         heapq.heapify(heap)
         while heap:
-            y, count = heap[0][0], 0
-            while heap and heap[0][0] == y:
-                _, i, at = heap[0]
-                count += 1
-                if at + 1 < len(lists[i]):
-                    heapq.heapreplace(heap, (lists[i][at + 1], i, at + 1))
+            s, runs = heap[0][0], []
+            while heap and heap[0][0] == s:
+                i = heap[0][1]
+                runs.append(values[cuts[i] : cuts[i + 1]])
+                if i + 1 < len(spans) and owner[i + 1] == owner[i]:
+                    heapq.heapreplace(heap, (spans[i + 1], i + 1))
                 else:
                     heapq.heappop(heap)
-            yield y, count
+            counts = np.bincount(np.concatenate(runs) - s * SPAN)
+            found = np.flatnonzero(counts)
+            yield found + s * SPAN, counts[found]
+
+    @staticmethod
+    def heap(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
+        """``merged`` of separate lists; each value with the number of lists that hold it."""
+        ends = np.cumsum([len(p) for p in lists], dtype=np.int64)
+        for found, counts in Links.merged(np.array([y for p in lists for y in p], np.int64), ends):
+            yield from zip(found.tolist(), counts.tolist(), strict=True)
 
     def run(self) -> list[tuple[int, int]]:
         """Links that join all components, as pairs of ids."""
@@ -432,8 +464,8 @@ class Links:
                 self.flat_root[self.flat_root == r] = new
 
 
-def _search(groups: DataFrame, percent: int) -> DataFrame:
-    """Links of each group and block pair."""
+def _search(groups: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links of each group, or of each of its block pairs."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("id")
@@ -441,7 +473,7 @@ def _search(groups: DataFrame, percent: int) -> DataFrame:
         found = Links(frame["id"].to_numpy(np.int64), frame["n_shingles"].to_numpy(np.int64), sets, percent, frame["part"].to_numpy(np.int64)).run()
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return groups.groupBy("group", "a", "b").applyInPandas(_trimmed(run, 100_000), "u long, v long")
+    return groups.groupBy(*keys).applyInPandas(_trimmed(run, 100_000), "u long, v long")
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -466,9 +498,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_
     grouped = components(ties, name="jaccard-ties").withColumnsRenamed({"u": "id", "component": "group"})
     weighed = partners.select("id", "n_shingles", "shared").join(grouped, "id").withColumn("w", F.octet_length("shared") / 8)
     weighed = common.stage(weighed, "jaccard-groups")
-    parted, hub_links = _hubs(weighed, percent)
-    links = _search(_blocked(parted), percent)
-    links = links if hub_links is None else links.unionByName(hub_links)
+    links = _links(weighed, percent)
     linked = components(links, name="jaccard-links").withColumnsRenamed({"u": "id", "component": "component_id"})
     copies = common.stage(partners.select("id", "copies"), "jaccard-copies")
     common.discard(partners, weighed)
@@ -485,23 +515,31 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY, doc_
     return out.unionByName(alone)
 
 
-def _hubs(weighed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """``weighed`` with part, a component so far, and the links found.
-
-    Only groups beyond ``GROUP_SHINGLES`` take part. In each round a few texts
-    that aren't linked yet become hubs, and all such texts are held against the
-    hubs of their group. What is left is for the search by blocks.
-    """
+def _links(weighed: DataFrame, percent: int) -> DataFrame:
+    """Links of all groups: small ones in a task each, larger ones by ``_hubs`` and
+    then as pairs of blocks."""
     alone = weighed.withColumn("part", F.col("id"))
     large = weighed.groupBy("group").agg(F.sum("w").alias("volume")).where(F.col("volume") > GROUP_SHINGLES).select("group")
     large = common.stage(large, "jaccard-large")
     if not large.limit(1).count():
-        return alone, None
-    big = common.stage(weighed.join(large, "group"), "jaccard-big")
+        return _search(alone, ["group"], percent)
+    parted, hub_links = _hubs(common.stage(weighed.join(large, "group"), "jaccard-big"), percent)
+    # rows that lie by group would stay so, all pairs of a group in one task, unless dealt out anew
+    pair = ["group", "a", "b"]
+    pairs = _search(_blocked(parted).repartition(*pair), pair, percent)
+    return _search(alone.join(large, "group", "left_anti"), ["group"], percent).unionByName(pairs).unionByName(hub_links)
+
+
+def _hubs(big: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Large groups with part, a component so far, and the links found.
+
+    In each round a few texts that aren't linked yet become hubs, and all such texts
+    are held against the hubs of their group. What is left is for the search by blocks.
+    """
     left, links = big, None
     for r in range(HUB_ROUNDS):
         order = Window.partitionBy("group").orderBy(F.xxhash64("id", F.lit(r)), "id")
-        path = common.shared_dir(weighed.sparkSession, "jaccard-hubs")
+        path = common.shared_dir(big.sparkSession, "jaccard-hubs")
         left.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= HUBS).select("group", "id", "n_shingles", "shared").write.parquet(path)
         found = common.stage(_against(left, path, percent), "jaccard-hub-links")
         links = found if links is None else links.unionByName(found)
@@ -509,8 +547,7 @@ def _hubs(weighed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None
         if before is not big:
             common.discard(before)
     tied = components(links, name="jaccard-hub-ties").withColumnsRenamed({"u": "id", "component": "part"})
-    parts = big.join(tied, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    return alone.join(large, "group", "left_anti").unionByName(parts.select(alone.columns)), links
+    return big.join(tied, "id", "left").withColumn("part", F.coalesce("part", "id")), links
 
 
 def _against(texts: DataFrame, path: str, percent: int) -> DataFrame:
@@ -543,7 +580,7 @@ def _against(texts: DataFrame, path: str, percent: int) -> DataFrame:
 
 
 def _blocked(parted: DataFrame) -> DataFrame:
-    """Rows dealt to tasks: small groups whole, larger ones as pairs of blocks.
+    """Rows of large groups, dealt to pairs of blocks.
 
     The largest part of a group makes the first blocks, the other texts the last
     ones. A text goes to every pair of its own block and another, but for pairs
@@ -553,13 +590,12 @@ def _blocked(parted: DataFrame) -> DataFrame:
     volumes = parted.groupBy("group", "part").agg(F.sum("w").alias("volume"))
     volumes = volumes.groupBy("group").agg(F.max(F.struct("volume", "part")).alias("main"), F.sum("volume").alias("volume"))
     count = lambda v: F.ceil(2 * v / GROUP_SHINGLES).cast("int")
-    small = F.col("volume") <= GROUP_SHINGLES
-    volumes = volumes.select("group", F.col("main.part").alias("main"), small.alias("small"), count(F.col("main.volume")).alias("first"), count(F.col("volume") - F.col("main.volume")).alias("last"))
+    volumes = volumes.select("group", F.col("main.part").alias("main"), count(F.col("main.volume")).alias("first"), count(F.col("volume") - F.col("main.volume")).alias("last"))
     salt = F.xxhash64("id")
-    block = F.when(F.col("small"), F.lit(0)).when(F.col("part") == F.col("main"), F.pmod(salt, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(salt, F.greatest("last", F.lit(1)))).cast("int")
+    block = F.when(F.col("part") == F.col("main"), F.pmod(salt, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(salt, F.greatest("last", F.lit(1)))).cast("int")
     dealt = parted.join(volumes, "group").withColumn("block", block)
-    every = F.sequence(F.lit(0), F.greatest(F.col("first") + F.col("last") - 1, F.lit(0)))
-    others = F.filter(every, lambda k: F.when(F.col("small"), k == 0).otherwise((k != F.col("block")) & (F.greatest(k, F.col("block")) >= F.col("first"))))
+    every = F.sequence(F.lit(0), F.col("first") + F.col("last") - 1)
+    others = F.filter(every, lambda k: (k != F.col("block")) & (F.greatest(k, F.col("block")) >= F.col("first")))
     pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))
     return dealt.select("group", "id", "n_shingles", "shared", "part", F.explode(pairs).alias("p")).select("group", "id", "n_shingles", "shared", "part", "p.a", "p.b")
 

@@ -1,7 +1,9 @@
 """The n-gram join, components, top-k search and the pipeline against brute force."""
 
 import random
-from collections import defaultdict
+import re
+import time
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
@@ -118,6 +120,53 @@ def test_divide_skip_equals_brute_force(seed):
     assert got == roots(pairs, ids.tolist())
 
 
+def near_copies(n, seed):
+    """Copies of one text of 400 words with up to 30 words replaced; most pairs lie below the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(31)):
+            words[rng.randrange(400)] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_many_near_copies_take_seconds():
+    sets = [jaccard.Shingler()(t.encode()) for t in near_copies(800, 1)]
+    ids, sizes = np.arange(800), np.array([len(s) for s in sets])
+    search = jaccard.Links(ids, sizes, sets)
+    began = time.process_time()
+    got = roots(search.run(), ids.tolist())
+    assert time.process_time() - began < 8
+    held = np.zeros((800, len(known := np.unique(np.concatenate(sets)))), np.float32)
+    for i, s in enumerate(sets):
+        held[i, np.searchsorted(known, s)] = 1
+    both = (held @ held.T).astype(int)
+    linked = 100 * both >= 75 * (sizes[:, None] + sizes - both)
+    assert got == roots([(int(a), int(b)) for a, b in np.argwhere(linked)], ids.tolist())
+
+
+def test_block_pairs_of_a_group_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_SHINGLES", 4000)
+    rows = [(i, len(s), s.astype("<u8").tobytes(), 0, float(len(s))) for i, s in enumerate(jaccard.Shingler()(t.encode()) for t in near_copies(60, 2))]
+    weighed = spark.createDataFrame(rows, "id long, n_shingles long, shared binary, group long, w double")
+    links = jaccard._links(weighed, 75)
+    assert re.search(r"hashpartitioning\(group#\d+L, a#\d+, b#\d+", links._jdf.queryExecution().executedPlan().toString())
+    sets = [np.frombuffer(r[2], "<u8").astype(np.uint64) for r in rows]
+    whole = jaccard.Links(np.arange(60), np.array([r[1] for r in rows]), sets).run()
+    assert roots([(r["u"], r["v"]) for r in links.collect()], range(60)) == roots(whole, range(60))
+
+
+def test_heap_merge_over_runs(monkeypatch):
+    monkeypatch.setattr(jaccard, "SPAN", 4)
+    rng = random.Random(5)
+    lists = [sorted(rng.sample(range(40), rng.randrange(20))) for _ in range(9)]
+    assert list(jaccard.Links.heap(lists)) == sorted(Counter(y for p in lists for y in p).items())
+    assert list(jaccard.Links.heap([])) == list(jaccard.Links.heap([[], []])) == []
+
+
 def test_heap_merge():
     assert list(jaccard.Links.heap([[1, 3, 5], [3], [], [1, 3]][:2] + [[1, 3]])) == [(1, 2), (3, 3), (5, 1)]
 
