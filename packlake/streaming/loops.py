@@ -88,10 +88,10 @@ def retries(stream: DataFrame, job: str, failed: str, time: str) -> DataFrame:
 
 
 def gaps(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
-    """Pauses longer than the limit; ``gap`` in whole seconds."""
+    """Pauses longer than the limit; ``gap`` in whole seconds, halves to the even one as SQL casts."""
     before = F.lag(time).over(Window.partitionBy(key).orderBy(time))
     exact = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
-    return events.select(key, time, F.round(exact / 1_000_000).cast("bigint").alias("gap")).where(F.col("gap") > seconds)
+    return events.select(key, time, F.rint(exact / 1_000_000).cast("bigint").alias("gap")).where(F.col("gap") > seconds)
 
 
 def hourly(events: DataFrame, time: str, kind: str) -> DataFrame:

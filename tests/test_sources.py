@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packlake.operators import files
+from packlake.plans import catalog
 from packlake.schemas import IMPORT_FAILURE
 from packlake.sources import archive, config, endpoints, filesystem
 from packlake.sources.state import State
@@ -348,3 +349,15 @@ def test_streams(spark, tmp_path):
     out = {}
     loops.each_batch(loops.retries(flagged, "user_id", "failed", "at"), lambda df, n: out.update({r["job"]: r for r in df.collect()}), f"file://{tmp_path}/c2", mode="update")
     assert set(out) == set(range(5)) and all(r["attempts"] in (0, 1, 2) for r in out.values())
+
+
+def test_gaps_of_half_seconds_equal_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    at, rows = datetime(2024, 1, 1), []
+    for i, gap in enumerate([900.5, 901.5, 902.5, 900.500001, 900.499999, 10294.5, 2592000.5, 2592001.5, 0, 900, 901]):
+        rows += [(2 * i, at, i, "view", 0.0, "{}"), (2 * i + 1, at + timedelta(microseconds=round(gap * 1_000_000)), i, "view", 0.0, "{}")]
+    spark.createDataFrame(rows, loops.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r["user_id"], r["gap"]) for r in catalog.QUERIES["stall_gaps"](spark, str(tmp_path)).collect())
+    sql = catalog.ORACLE_SQL["stall_gaps"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted((u, g) for u, _, g in duckdb.sql(sql).fetchall())
+    assert [g for _, g in got] == [902, 902, 901, 10294, 2592000, 2592002, 901]
