@@ -253,6 +253,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                         c.append(x)
                     uid, piece, start, stop = uid + 1, piece + 1, stop, stop + capacity
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        common.release()
 
     return docs.select(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, PIECE)
 

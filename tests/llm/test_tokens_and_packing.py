@@ -3,6 +3,9 @@
 import base64
 import hashlib
 import io
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -22,6 +25,7 @@ TEXTS = [
     "aaaaaaaaaaaaaaaaaaaaaaaaaaa bbbbbbbbb", "\x01mark", "ﬁ ① ² Ⅷ x_y", "the of and " * 2000,
 ]
 SCHEMA = "doc_id long, text string, n_tokens string, ids string"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def frame(spark, texts=TEXTS):
@@ -77,6 +81,32 @@ def test_cache_turns_over(monkeypatch):
     assert [x.tolist() for x in bpe.encode_batch(pa.array(texts))] == [lib(t) for t in texts]
 
 
+HELD = """
+import re
+import numpy as np, pyarrow as pa
+from packlake.llm import tokens
+
+held = lambda name: int(re.search(name + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+bpe = tokens.load(tokens.tokenizer_path("byte_bpe_50k.json"))
+letters = np.random.default_rng(5).integers(97, 123, 9 << 20, np.uint8)
+letters[7::8] = 32
+data = letters.tobytes().decode()
+texts = pa.array([data[i : i + 4999] for i in range(0, len(data), 5000)])
+before = held("VmRSS")
+for _ in bpe.encode_batch(texts):
+    pass
+print(held("VmHWM") - before, held("VmRSS") - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/status"), reason="needs /proc")
+def test_memory_of_encoding_is_bounded():
+    """A million pieces that all are new: an executor holds a worker for each core."""
+    run = subprocess.run([sys.executable, "-c", HELD], cwd=ROOT, capture_output=True, text=True, check=True)
+    most, after = map(int, run.stdout.split())
+    assert most < 350 and after < 100
+
+
 def test_offsets_and_split_characters(spark):
     row = {r["doc_id"]: r for r in tokens.encode(frame(spark), RANKS, offsets=True).collect()}[7]
     text, bpe = TEXTS[7], tokens.load(RANKS)
